@@ -1,0 +1,82 @@
+"""Tables of a configured V2 catalog (``catalog.namespace.table``)."""
+
+from __future__ import annotations
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.names import col
+
+PARQUET, SNAPPY = ("write.format.default", "parquet"), ("write.parquet.compression-codec", "snappy")
+
+
+def _quoted(table: str) -> str:
+    return ".".join(f"`{part}`" for part in table.split("."))
+
+
+def _writer(df: DataFrame, table: str, partition_by: list[str]):
+    writer = df.writeTo(table).tableProperty(*PARQUET).tableProperty(*SNAPPY)
+    return writer.partitionedBy(*[col(p) for p in partition_by]) if partition_by else writer
+
+
+def exists(spark: SparkSession, table: str) -> bool:
+    return spark.catalog.tableExists(table)
+
+
+def create_table(spark: SparkSession, table: str, schema: T.StructType, partition_by: list[str]) -> None:
+    if not exists(spark, table):
+        _writer(spark.createDataFrame([], schema), table, partition_by).create()
+
+
+def create_or_replace(df: DataFrame, table: str, partition_by: list[str]) -> None:
+    _writer(df, table, partition_by).createOrReplace()
+
+
+def append(df: DataFrame, table: str) -> None:
+    df.writeTo(table).append()
+
+
+def overwrite_partitions(df: DataFrame, table: str) -> None:
+    df.writeTo(table).overwritePartitions()
+
+
+def replace_ctas(df: DataFrame, table: str, partition_by: list[str]) -> None:
+    df.sparkSession.sql(f"DROP TABLE IF EXISTS {_quoted(table)}")
+    _writer(df, table, partition_by).create()
+
+
+def read_table(spark: SparkSession, table: str) -> DataFrame:
+    return spark.table(table)
+
+
+def snapshots(spark: SparkSession, table: str) -> DataFrame:
+    return spark.table(f"{table}.snapshots").select("snapshot_id", "committed_at", "operation", "summary")
+
+
+def delete_where(spark: SparkSession, table: str, condition: str) -> None:
+    spark.sql(f"DELETE FROM {_quoted(table)} WHERE {condition}")
+
+
+def merge(df: DataFrame, table: str, key: str) -> None:
+    """Replace rows of equal key, insert the others; one row per key in ``df``."""
+    (
+        df.alias("s").mergeInto(table, F.expr(f"{table}.`{key}` = s.`{key}`"))
+        .whenMatched().updateAll().whenNotMatched().insertAll().merge()
+    )
+
+
+def ensure_namespace(spark: SparkSession, namespace: str) -> None:
+    spark.sql(f"CREATE NAMESPACE IF NOT EXISTS {_quoted(namespace)}")
+
+
+def describe(spark: SparkSession, table: str) -> list[tuple[str, str]]:
+    """Names and types up to the partition section, which repeats columns."""
+    try:
+        rows = spark.sql(f"DESCRIBE TABLE {_quoted(table)}").collect()
+    except AnalysisException:
+        return []
+    names = [r["col_name"] for r in rows]
+    end = next((i for i, n in enumerate(names) if not n or n.startswith("#")), len(names))
+    return [(r["col_name"], r["data_type"]) for r in rows[:end]]

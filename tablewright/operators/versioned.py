@@ -1,0 +1,232 @@
+"""Versioned tables over plain Parquet, for sessions without a table catalog.
+
+A table is a folder. Each write lands in a new folder ``data/_commit=<name>/`` that
+never changes, and then one small JSON record in ``log/`` names the folders that
+make up the new version. The record is renamed into place and the rename fails
+if the id is taken, so of two writers with one base the second gets an error.
+Readers see the newest record; data they read is never written over.
+"""
+
+from __future__ import annotations
+
+import datetime as dt
+import json
+import uuid
+from urllib.parse import unquote
+
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.names import col
+
+COMMIT = "_commit"
+LOG_SCHEMA = (
+    "snapshot_id bigint, committed_at timestamp, operation string, summary map<string,string>, "
+    "schema string, partition_by array<string>, paths array<string>"
+)
+
+
+class ConcurrentCommit(RuntimeError):
+    """Another writer committed first; read again and retry."""
+
+
+def _hadoop(spark: SparkSession, path: str):
+    """Hadoop path and its file system, which know every store that Spark knows."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _log_names(spark: SparkSession, table: str) -> list[str]:
+    folder, fs = _hadoop(spark, f"{table}/log")
+    if not fs.exists(folder):
+        return []
+    names = [status.getPath().getName() for status in fs.listStatus(folder)]
+    return sorted(n for n in names if n.endswith(".json") and not n.startswith((".", "_")))
+
+
+def exists(spark: SparkSession, table: str) -> bool:
+    return bool(_log_names(spark, table))
+
+
+def _head(spark: SparkSession, table: str) -> Row | None:
+    names = _log_names(spark, table)
+    return spark.read.schema(LOG_SCHEMA).json(f"{table}/log/{names[-1]}").first() if names else None
+
+
+def _require_head(spark: SparkSession, table: str) -> Row:
+    head = _head(spark, table)
+    if head is None:
+        raise ValueError(f"no table at {table}")
+    return head
+
+
+def _schema(head: Row) -> T.StructType:
+    return T.StructType.fromJson(json.loads(head["schema"]))
+
+
+def _next_id(head: Row | None) -> int:
+    return head["snapshot_id"] + 1 if head else 1
+
+
+def _commit(
+    spark: SparkSession, table: str, snapshot_id: int, operation: str, schema: T.StructType,
+    partition_by: list[str], paths: list[str], summary: dict[str, int],
+) -> None:
+    record = {
+        "snapshot_id": snapshot_id,
+        "committed_at": dt.datetime.now(dt.timezone.utc).isoformat(),
+        "operation": operation,
+        "summary": {k: str(v) for k, v in summary.items()},
+        "schema": schema.json(),
+        "partition_by": partition_by,
+        "paths": paths,
+    }
+    name = f"{snapshot_id:012d}.json"
+    draft, fs = _hadoop(spark, f"{table}/log/.{name}.{uuid.uuid4().hex}")
+    final, _ = _hadoop(spark, f"{table}/log/{name}")
+    out = fs.create(draft, True)
+    out.write(bytearray(json.dumps(record).encode()))
+    out.close()
+    files = spark._jvm.org.apache.hadoop.fs
+    keep = spark.sparkContext._gateway.new_array(files.Options.Rename, 0)
+    context = files.FileContext.getFileContext(final.toUri(), spark._jsc.hadoopConfiguration())
+    try:
+        context.rename(draft, final, keep)
+    except Exception as e:  # py4j wraps whatever the store raised
+        fs.delete(draft, False)
+        if "FileAlreadyExists" in str(e):
+            raise ConcurrentCommit(f"snapshot {snapshot_id} of {table} is taken") from e
+        raise
+
+
+def _relative(table: str, location: str) -> str:
+    """Folder of a data file, below the data folder of its table."""
+    return unquote(location).rsplit("/data/", 1)[1].rsplit("/", 1)[0]
+
+
+def _partition(path: str) -> str:
+    """Partition part of a folder, without the commit it was written by."""
+    return path.partition("/")[2]
+
+
+def _read(spark: SparkSession, table: str, schema: T.StructType, paths: list[str]) -> DataFrame:
+    if not paths:
+        return spark.createDataFrame([], schema)
+    data = f"{table}/data"
+    stored = T.StructType(schema.fields + [T.StructField(COMMIT, T.StringType())])
+    found = spark.read.schema(stored).option("basePath", data).parquet(*[f"{data}/{p}" for p in paths])
+    return found.select(*[col(n) for n in schema.names])
+
+
+def _write(df: DataFrame, table: str, snapshot_id: int, partition_by: list[str]) -> tuple[list[str], int]:
+    """Write one commit folder; return its data folders and the rows read back from them."""
+    spark = df.sparkSession
+    target = f"{table}/data/{COMMIT}={snapshot_id}-{uuid.uuid4().hex[:12]}"
+    writer = df
+    if partition_by:
+        # Adaptive execution splits the hot partition values and merges the small ones.
+        writer = df.hint("rebalance", *[col(p) for p in partition_by])
+    writer.write.partitionBy(*partition_by).option("compression", "snappy").parquet(target)
+    written = spark.read.schema(df.schema).option("basePath", target).parquet(target)
+    paths = sorted({_relative(table, f) for f in written.inputFiles()})
+    return paths, written.count()
+
+
+def create_table(spark: SparkSession, table: str, schema: T.StructType, partition_by: list[str]) -> None:
+    if not exists(spark, table):
+        try:
+            _commit(spark, table, 1, "create", schema, partition_by, [], {})
+        except ConcurrentCommit:
+            pass  # somebody else created it
+
+
+def create_or_replace(df: DataFrame, table: str, partition_by: list[str]) -> None:
+    spark, head = df.sparkSession, _head(df.sparkSession, table)
+    snapshot_id = _next_id(head)
+    paths, rows = _write(df, table, snapshot_id, partition_by)
+    _commit(spark, table, snapshot_id, "append", df.schema, partition_by, paths, {"added-records": rows})
+
+
+def _conform(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """Columns by name, in the types of the table."""
+    missing = [n for n in schema.names if n not in df.columns]
+    extra = [n for n in df.columns if n not in schema.names]
+    if missing or extra:
+        raise ValueError(f"columns differ from the table: missing {missing}, extra {extra}")
+    return df.select(*[col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
+def append(df: DataFrame, table: str) -> None:
+    spark, head = df.sparkSession, _require_head(df.sparkSession, table)
+    schema, partition_by = _schema(head), list(head["partition_by"])
+    paths, rows = _write(_conform(df, schema), table, _next_id(head), partition_by)
+    _commit(spark, table, _next_id(head), "append", schema, partition_by,
+            list(head["paths"]) + paths, {"added-records": rows})
+
+
+def overwrite_partitions(df: DataFrame, table: str) -> None:
+    spark, head = df.sparkSession, _require_head(df.sparkSession, table)
+    schema, partition_by = _schema(head), list(head["partition_by"])
+    paths, rows = _write(_conform(df, schema), table, _next_id(head), partition_by)
+    replaced = {_partition(p) for p in paths}
+    kept = [p for p in head["paths"] if partition_by and _partition(p) not in replaced]
+    _commit(spark, table, _next_id(head), "overwrite", schema, partition_by, kept + paths, {"added-records": rows})
+
+
+def replace_ctas(df: DataFrame, table: str, partition_by: list[str]) -> None:
+    """The new version is complete before the old log and its data go."""
+    spark = df.sparkSession
+    records = [f"{table}/log/{name}" for name in _log_names(spark, table)]
+    folders = set()
+    if records:
+        named = spark.read.schema(LOG_SCHEMA).json(records).select(F.explode("paths").alias("path"))
+        folders = {r[0] for r in named.select(F.substring_index("path", "/", 1)).distinct().collect()}
+    create_or_replace(df, table, partition_by)
+    for location in records + [f"{table}/data/{folder}" for folder in sorted(folders)]:
+        dropped, fs = _hadoop(spark, location)
+        fs.delete(dropped, True)
+
+
+def read_table(spark: SparkSession, table: str) -> DataFrame:
+    head = _require_head(spark, table)
+    return _read(spark, table, _schema(head), list(head["paths"]))
+
+
+def snapshots(spark: SparkSession, table: str) -> DataFrame:
+    _require_head(spark, table)
+    log = spark.read.schema(LOG_SCHEMA).json(f"{table}/log")
+    return log.filter("operation <> 'create'").select("snapshot_id", "committed_at", "operation", "summary")
+
+
+def delete_where(spark: SparkSession, table: str, condition: Column) -> None:
+    """Rewrite only the folders that hold a row to delete."""
+    head = _require_head(spark, table)
+    schema, partition_by, paths = _schema(head), list(head["partition_by"]), list(head["paths"])
+    hit = F.coalesce(condition, F.lit(False))
+    current = _read(spark, table, schema, paths)
+    if not paths:
+        return
+    folder = F.regexp_extract(F.col("_metadata.file_path"), "^(.*)/[^/]*$", 1)
+    hits = {_relative(table, r[0] + "/") for r in current.filter(hit).select(folder).distinct().collect()}
+    if not hits:
+        return
+    survivors = _read(spark, table, schema, sorted(hits)).filter(~hit)
+    rewritten, rows = _write(survivors, table, _next_id(head), partition_by)
+    kept = [p for p in paths if p not in hits]
+    _commit(spark, table, _next_id(head), "overwrite", schema, partition_by,
+            kept + rewritten, {"added-records": rows})
+
+
+def ensure_namespace(spark: SparkSession, namespace: str) -> None:
+    folder, fs = _hadoop(spark, namespace)
+    fs.mkdirs(folder)
+
+
+def describe(spark: SparkSession, table: str) -> list[tuple[str, str]]:
+    try:
+        head = _head(spark, table)
+    except PySparkException:
+        return []
+    return [(f.name, f.dataType.simpleString()) for f in _schema(head).fields] if head else []
