@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import strip
+
 # Characters that become "_" in a column name, and those that go.
 UNDERSCORED = " -./"
 REMOVED = "()"
@@ -53,15 +55,11 @@ def clean_names(df: DataFrame, on_collision: str = "error") -> DataFrame:
     return df.toDF(*numbered)
 
 
-def _strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
-
-
 def clean_identifier(c: Column) -> Column:
     """Table or job id: trimmed, lower-cased, space and ``-`` become ``_`` (M4)."""
-    return F.translate(F.lower(_strip(c)), " -", "__")
+    return F.translate(F.lower(strip(c)), " -", "__")
 
 
 def clean_path(c: Column) -> Column:
     """Warehouse path: trimmed, outer slashes off, space becomes ``_`` (M4)."""
-    return F.translate(F.regexp_replace(_strip(c), "^/+|/+$", ""), " ", "_")
+    return F.translate(F.regexp_replace(strip(c), "^/+|/+$", ""), " ", "_")

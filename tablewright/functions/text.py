@@ -11,9 +11,15 @@ NOISE_WORDS = ("Warning", "graphviz", "INFO")
 NO_ERROR_LINE = "Trigger failed"
 
 
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(c: Column) -> Column:
     """White space of every kind off both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def error_tail(c: Column, n: int = TAIL_CHARACTERS) -> Column:
@@ -24,7 +30,7 @@ def error_tail(c: Column, n: int = TAIL_CHARACTERS) -> Column:
 def last_error(c: Column, default: str | None = NO_ERROR_LINE) -> Column:
     """The last line that is not blank and holds no noise word, trimmed."""
     def meaningful(line: Column) -> Column:
-        keep = line.rlike(r"(?U)\S")
+        keep = strip(line) != ""
         for word in NOISE_WORDS:
             keep = keep & ~line.contains(word)
         return keep

@@ -118,19 +118,27 @@ def profile_samples(df: DataFrame, order_by: str, n: int = 3) -> DataFrame:
         "position", "name", F.coalesce("sample", F.array().cast("array<string>")).alias("sample"))
 
 
-def _facts(df: DataFrame) -> DataFrame:
+def _row_width(df: DataFrame) -> Column:
+    return reduce(lambda a, b: a + b, [byte_width(col(f.name), f.dataType) for f in df.schema.fields])
+
+
+def _facts(df: DataFrame, sized: bool = False) -> DataFrame:
     """One row: rows, duplicate rows, and nulls per column as ``n<position>``.
 
     One grouping by all columns yields all of it: copies of a row meet on the map
-    side, long text travels as a digest, and a null key is a null value.
+    side, long text travels as a digest, and a null key is a null value. ``sized``
+    adds ``bytes``: equal rows have one width, so the width can be a key as well.
     """
     fields = df.schema.fields
-    keys = [group_key(col(f.name), f.dataType).alias(f"k{i}") for i, f in enumerate(fields)]
-    groups = df.select(*keys).groupBy(*[f"k{i}" for i in range(len(fields))]).agg(F.count("*").alias("copies"))
+    keys = {f"k{i}": group_key(col(f.name), f.dataType) for i, f in enumerate(fields)}
+    if sized:
+        keys["width"] = _row_width(df)
+    groups = df.select(*[c.alias(k) for k, c in keys.items()]).groupBy(*keys).agg(F.count("*").alias("copies"))
     total = lambda c: F.coalesce(F.sum(c), F.lit(0))
     return groups.agg(
         total(F.col("copies")).alias("rows"),
         total(F.col("copies") - 1).alias("duplicate_rows"),
+        *([total(F.col("copies") * F.col("width")).alias("bytes")] if sized else []),
         *[total(F.when(F.col(f"k{i}").isNull(), F.col("copies")).otherwise(0)).alias(f"n{i}")
           for i in range(len(fields))],
     )
@@ -189,11 +197,12 @@ def quality_score(df: DataFrame) -> DataFrame:
 
 def size_report(df: DataFrame) -> DataFrame:
     """Rows, columns, and the size of the values in bytes and MB (P9). One scan."""
-    width = reduce(lambda a, b: a + b, [byte_width(col(f.name), f.dataType) for f in df.schema.fields])
-    sized = df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes"))
-    return sized.select(
-        "rows", F.lit(len(df.columns)).alias("columns"), "bytes",
-        F.round(F.col("bytes") / 1024 / 1024, 2).alias("memory_mb"))
+    sized = df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(_row_width(df)), F.lit(0)).alias("bytes"))
+    return sized.select("rows", F.lit(len(df.columns)).alias("columns"), "bytes", _megabytes().alias("memory_mb"))
+
+
+def _megabytes() -> Column:
+    return F.round(F.col("bytes") / 1024 / 1024, 2)
 
 
 def preview(df: DataFrame, n: int = 5, order_by: str | None = None) -> DataFrame:
@@ -202,21 +211,29 @@ def preview(df: DataFrame, n: int = 5, order_by: str | None = None) -> DataFrame
 
 
 def profile(df: DataFrame, order_by: str, file: str | None = None) -> DataFrame:
-    """The whole report in one nested row."""
+    """The whole report in one nested row.
+
+    The grouping by all columns runs once: the summary and the nulls per column
+    read the same shuffle.
+    """
     fields = df.schema.fields
-    facts = _facts(df).select(
+    facts = _facts(df, sized=True)
+    summary = facts.select(
         F.lit(file).alias("file"),
         "rows",
         F.lit(len(fields)).alias("columns"),
+        _megabytes().alias("memory_mb"),
         _issue_list(fields).alias("issues"),
         _score(len(fields)).alias("quality_score"),
         F.lit([f.name for f in fields]).alias("column_names"),
         F.create_map(*[F.lit(x) for f in fields for x in (f.name, f.dataType.simpleString())]).alias("dtypes"),
     )
-    size = size_report(df).select("memory_mb")
+    nulls = facts.select(
+        *[f"n{i}" for i in range(len(fields))],
+        *[_null_pct(F.col(f"n{i}"), F.col("rows")).alias(f"p{i}") for i in range(len(fields))])
     per_column = (
         profile_types(df)
-        .join(profile_nulls(df).drop("name"), "position")
+        .join(_per_column(nulls, fields, {"n": "nulls", "p": "null_pct"}).drop("name"), "position")
         .join(profile_distinct(df).drop("name"), "position")
         .join(profile_samples(df, order_by).drop("name"), "position")
     )
@@ -232,6 +249,6 @@ def profile(df: DataFrame, order_by: str, file: str | None = None) -> DataFrame:
         F.transform(
             F.array_sort(F.collect_list(F.struct(col(order_by).alias("k"), F.struct(*map(col, df.columns)).alias("r")))),
             lambda s: s["r"]).alias("preview"))
-    return _merge_rows([facts, size, schema, top]).select(
+    return _merge_rows([summary, schema, top]).select(
         "file", "rows", "columns", "memory_mb", "schema", "issues", "quality_score",
         "column_names", "dtypes", "preview")

@@ -24,6 +24,8 @@ MAX_ROUNDS = 60
 
 @dataclass
 class _Bracket:
+    """Ends between which the answer lies, the ends included."""
+
     low: float = -math.inf
     high: float = math.inf
     outer: tuple[float, float] = (-math.inf, math.inf)
@@ -32,6 +34,17 @@ class _Bracket:
     done: bool = False
 
 
+@dataclass
+class _Counts:
+    """Values under the bracket, at its ends and between them, with a sketch of the latter."""
+
+    below: int
+    at_low: int
+    between: int
+    at_high: int
+    grid: list[float] | None
+
+
 def exact_quantiles(df: DataFrame, columns: list[str], p: float = 0.5) -> dict[str, float | None]:
     """The smallest value with at least ``p`` of the non-missing values at or below it.
 
@@ -45,42 +58,44 @@ def exact_quantiles(df: DataFrame, columns: list[str], p: float = 0.5) -> dict[s
             return {n: brackets[n].answer for n in columns}
         aggregates = []
         for i, name in enumerate(pending):
-            b = brackets[name]
+            low, high = F.lit(brackets[name].low), F.lit(brackets[name].high)
             value = col(name).cast("double")
             value = F.when(~F.isnan(value), value)
-            inside = F.when(value.between(F.lit(b.low), F.lit(b.high)), value)
+            between = F.when((value > low) & (value < high), value)
             aggregates += [
-                F.count_if(value < F.lit(b.low)).alias(f"below{i}"),
-                F.count(inside).alias(f"n{i}"),
-                F.percentile_approx(inside, grid, ACCURACY).alias(f"grid{i}"),
+                F.count_if(value < low).alias(f"below{i}"),
+                F.count_if(value == low).alias(f"low{i}"),
+                F.count(between).alias(f"between{i}"),
+                F.count_if(value == high).alias(f"high{i}"),
+                F.percentile_approx(between, grid, ACCURACY).alias(f"grid{i}"),
             ]
         row = df.agg(*aggregates).first()
         for i, name in enumerate(pending):
-            _narrow(brackets[name], row[f"below{i}"], row[f"n{i}"], row[f"grid{i}"], p)
+            _narrow(brackets[name], _Counts(*[row[f"{c}{i}"] for c in ("below", "low", "between", "high", "grid")]), p)
     raise RuntimeError(f"no exact quantile after {MAX_ROUNDS} rounds: {pending}")
 
 
-def _narrow(b: _Bracket, below: int, n: int, grid: list[float] | None, p: float) -> None:
+def _narrow(b: _Bracket, found: _Counts, p: float) -> None:
     if b.rank is None:
-        if n == 0:
+        total = found.at_low + found.between + found.at_high
+        if total == 0:
             b.done = True
             return
-        b.rank = max(1, math.ceil(p * n))
-    if b.rank <= below:  # the sketch missed: the answer lies under the bracket
+        b.rank = max(1, math.ceil(p * total))
+    n, k = found.between, b.rank - found.below - found.at_low
+    if b.rank <= found.below:  # the sketch missed: the answer lies under the bracket
         b.low, b.high = b.outer[0], b.low
-        return
-    if b.rank > below + n:  # ... or over it
+    elif k <= 0:
+        b.answer, b.done = b.low, True
+    elif k > n and b.low < b.high and k <= n + found.at_high:
+        b.answer, b.done = b.high, True
+    elif k > n:  # missed: it lies over the bracket
         b.low, b.high = b.high, b.outer[1]
-        return
-    k = b.rank - below
-    if b.low == b.high or grid[0] == grid[-1]:
-        b.answer, b.done = grid[0], True
     elif n <= GRID // 2:  # the sketch is exact, and each rank has a grid point
-        b.answer, b.done = grid[math.floor(GRID * (k - 0.5) / n)], True
+        b.answer, b.done = found.grid[math.floor(GRID * (k - 0.5) / n)], True
     else:
         slack = n / ACCURACY + 1
-        lower = math.floor(GRID * (k - slack) / n)
-        upper = math.ceil(GRID * (k + slack) / n)
+        lower = max(math.floor(GRID * (k - slack) / n), 0)
+        upper = min(math.ceil(GRID * (k + slack) / n), GRID)
         b.outer = (b.low, b.high)
-        b.low = grid[lower] if lower >= 0 else grid[0]
-        b.high = grid[upper] if upper <= GRID else grid[-1]
+        b.low, b.high = found.grid[lower], found.grid[upper]

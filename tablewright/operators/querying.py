@@ -132,9 +132,11 @@ def guard_sql(spark: SparkSession, sql: str) -> Verdict:
     is a known reading plan and no node under it writes.
     """
     try:
-        text = spark.sql("EXPLAIN EXTENDED " + sql).first()[0]
+        text = "\n".join(r[0] for r in spark.sql("EXPLAIN EXTENDED " + sql).collect())
     except PySparkException as e:
         return Verdict(False, "unparsed", str(e))
+    if not text.startswith("== Parsed Logical Plan =="):
+        return Verdict(False, "unplanned", text)
     parsed = text.split("== Analyzed Logical Plan ==")[0].split("\n")[1:]
     nodes = [m.group(1) for m in map(_NODE.match, parsed) if m]
     if not nodes:

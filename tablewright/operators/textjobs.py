@@ -44,11 +44,13 @@ def route_requests(df: DataFrame, column: str, table: str, compat: bool = False)
     that holds "year" filters the column ``year``. Without it, words match whole,
     nulls and statistics have routes of their own, and the column named is used.
     """
-    request = F.lower(col(column))
-    compared = F.regexp_extract(request, COMPARISON, 1)
-    number = F.regexp_extract(request, COMPARISON, 2)
-    number_in_text = F.regexp_extract(col(column), FIRST_NUMBER, 0)
-    limit = F.when(number_in_text == "", F.lit(DEFAULT_LIMIT)).otherwise(number_in_text)
+    read = df.withColumn("__request", F.lower(col(column))).withColumns({
+        "__compared": F.regexp_extract("__request", COMPARISON, 1),
+        "__number": F.regexp_extract("__request", COMPARISON, 2),
+    })
+    request, compared, number = F.col("__request"), F.col("__compared"), F.col("__number")
+    first_number = F.regexp_extract(col(column), FIRST_NUMBER, 0)
+    limit = F.coalesce(F.nullif(first_number, F.lit("")), F.lit(DEFAULT_LIMIT))
 
     routes: list[tuple[str, Column]] = [
         ("fiscal_after", (compared != "") & compared.contains("year")),
@@ -65,18 +67,13 @@ def route_requests(df: DataFrame, column: str, table: str, compat: bool = False)
         ("describe", _has_any(request, SCHEMA_WORDS, not compat)),
     ]
     intent = reduce(lambda chain, r: chain.when(r[1], r[0]), routes[1:], F.when(routes[0][1], routes[0][0]))
-    routed = df.withColumns({
-        "intent": intent.otherwise("top_n"),
-        "__compared": compared,
-        "__number": number,
-        "__limit": limit,
-    })
+    routed = read.withColumns({"intent": intent.otherwise("top_n"), "__limit": limit})
 
     kind = F.col("intent")
     filters = kind.isin("fiscal_after", "where_above")
-    year = F.lit("year") if compat else F.col("__compared")
-    fiscal = F.concat(F.lit("SUBSTR("), year, F.lit(",1,4) > '"), F.col("__number"), F.lit("'"))
-    above = F.concat(F.col("__compared"), F.lit(" > "), F.col("__number"))
+    year = F.lit("year") if compat else compared
+    fiscal = F.concat(F.lit("SUBSTR("), year, F.lit(",1,4) > '"), number, F.lit("'"))
+    above = F.concat(compared, F.lit(" > "), number)
     sql = (
         F.when(filters, F.concat(F.lit(f"SELECT * FROM {table} WHERE "),
                                  F.when(kind == "fiscal_after", fiscal).otherwise(above),
@@ -88,10 +85,10 @@ def route_requests(df: DataFrame, column: str, table: str, compat: bool = False)
         .when(kind == "top_n", F.concat(F.lit(f"SELECT * FROM {table} LIMIT "), F.col("__limit")))
     )
     return routed.withColumns({
-        "column": F.when(filters, F.col("__compared")),
-        "value": F.when(filters, F.col("__number")).when(kind == "top_n", F.col("__limit")),
+        "column": F.when(filters, compared),
+        "value": F.when(filters, number).when(kind == "top_n", F.col("__limit")),
         "sql": sql,
-    }).drop("__compared", "__number", "__limit")
+    }).drop("__request", "__compared", "__number", "__limit")
 
 
 def parse_replies(df: DataFrame, column: str) -> DataFrame:
@@ -102,18 +99,12 @@ def parse_replies(df: DataFrame, column: str) -> DataFrame:
     ``warning`` and ``is_valid``: a reply without ``sql`` is not valid and is left
     to ``route_requests``.
     """
-    bare = strip(F.regexp_replace(col(column), "```json|```", ""))
-    braced = F.regexp_extract(F.col("__bare"), r"(?s)\{.*\}", 0)
-    direct, inner = F.col("__direct"), F.col("__inner")
-    # A struct whose fields are all null is what the parser makes of broken text.
-    parsed = F.when(F.json_object_keys(F.col("__bare")).isNotNull(), direct).otherwise(inner)
+    bare = F.col("__bare")
+    braced = F.regexp_extract(bare, r"(?s)\{.*\}", 0)
     return (
-        df.withColumn("__bare", bare)
-        .withColumns({
-            "__direct": F.from_json(F.col("__bare"), REPLY_SCHEMA),
-            "__inner": F.from_json(braced, REPLY_SCHEMA),
-        })
-        .withColumn("__reply", parsed)
+        df.withColumn("__bare", strip(F.regexp_replace(col(column), "```json|```", "")))
+        .withColumn("__json", F.when(F.json_object_keys(bare).isNotNull(), bare).otherwise(braced))
+        .withColumn("__reply", F.from_json("__json", REPLY_SCHEMA))
         .withColumns({
             "sql": F.col("__reply.sql"),
             "explanation": F.col("__reply.explanation"),
@@ -121,7 +112,7 @@ def parse_replies(df: DataFrame, column: str) -> DataFrame:
             "warning": F.col("__reply.warning"),
             "is_valid": F.col("__reply.sql").isNotNull(),
         })
-        .drop("__bare", "__direct", "__inner", "__reply")
+        .drop("__bare", "__json", "__reply")
     )
 
 
@@ -175,7 +166,7 @@ def match_rules(df: DataFrame, column: str, rules: list[tuple[str, str, str]]) -
     order. They become one chain of conditions per row, which stops at the first
     hit: no join, no shuffle, and no row per rule. Long lists go in blocks.
     """
-    text = F.lower(col(column))
+    text = F.col("__lower")
     blocks = []
     for start in range(0, len(rules), RULE_BLOCK):
         chain = None
@@ -187,9 +178,10 @@ def match_rules(df: DataFrame, column: str, rules: list[tuple[str, str, str]]) -
     if not blocks:
         return df.withColumns({c: F.lit(None).cast("string") for c in ("fix", "fix_message")})
     return (
-        df.withColumn("__rule", F.coalesce(*blocks))
+        df.withColumn("__lower", F.lower(col(column)))
+        .withColumn("__rule", F.coalesce(*blocks))
         .withColumns({"fix": F.col("__rule.fix"), "fix_message": F.col("__rule.fix_message")})
-        .drop("__rule")
+        .drop("__lower", "__rule")
     )
 
 
@@ -205,11 +197,16 @@ def run_status(
     ``end_date`` stand. One aggregate keeps the newest line on the map side.
     """
     start, end = (header.index("start_date"), header.index("end_date")) if header else (3, 4)
-    fields = F.filter(F.transform(F.split(col(column), r"\|"), strip), lambda p: p != "")
-    lowered = F.lower(col(column))
+    fields = F.filter(F.transform(F.split("__line", r"\|"), strip), lambda p: p != "")
+    lowered = F.col("__lower")
     state = reduce(lambda chain, s: chain.when(lowered.contains(s), s), RUN_STATES[1:],
                    F.when(lowered.contains(RUN_STATES[0]), RUN_STATES[0])).otherwise("unknown")
-    lines = df.select(col(order_by).alias("__order"), state.alias("state"), fields.alias("__f"))
+    with_fields = df.filter(col(column).rlike(r"[^|\s]"))  # any other line has no job
+    lines = (
+        with_fields.select(col(order_by).alias("__order"), col(column).alias("__line"))
+        .withColumn("__lower", F.lower("__line"))
+        .select("__order", state.alias("state"), fields.alias("__f"))
+    )
 
     def part(i: int) -> Column:
         return F.when((F.col("state") != "unknown") & (F.size("__f") > i), F.get("__f", F.lit(i))).otherwise("")
@@ -217,7 +214,7 @@ def run_status(
     read = lines.select(
         F.get("__f", F.lit(0)).alias("job"), "__order", "state",
         part(1).alias("run_id"), part(start).alias("start_date"), part(end).alias("end_date"))
-    newest = read.filter(F.col("job").isNotNull()).groupBy("job").agg(
+    newest = read.groupBy("job").agg(
         F.max(F.struct("__order", "state", "run_id", "start_date", "end_date")).alias("newest"))
     return newest.select("job", "newest.state", "newest.run_id", "newest.start_date", "newest.end_date")
 

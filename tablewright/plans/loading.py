@@ -22,7 +22,7 @@ from . import jobs
 from .contract import query
 from .inputs import DIRTY_ORDERS, PLAYERS, REGISTRY, table
 
-RECORDS_PER_DOCUMENT = 5000
+RECORDS_PER_DOCUMENT = 20_000
 
 _CUSTOMER = "select c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment from customer"
 # Inferred types: these whole numbers are read as int.

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import profiling
+from ..operators.querying import row_count
 from .contract import query
 from .inputs import DIRTY_ORDERS, table
 
@@ -59,7 +60,7 @@ def profile_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     _DIRTY, "select {i} as position, '{c}' as name, '{t}' as dtype, count({c}) as filled from d"))
 def profile_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     dirty = DIRTY_ORDERS.frame(spark, sf_dir)
-    rows = profiling.size_report(dirty).first()["rows"]
+    rows = row_count(dirty).first()["total_rows"]
     filled = profiling.profile_nulls(dirty).select("position", (rows - F.col("nulls")).alias("filled"))
     return profiling.profile_types(dirty).join(filled, "position")
 

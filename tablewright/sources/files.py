@@ -27,9 +27,9 @@ def read_json(
     return (reader.schema(schema) if schema else reader).json(path)
 
 
-def read_parquet(spark: SparkSession, path: str) -> DataFrame:
+def read_parquet(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """Parquet (S3)."""
-    return spark.read.parquet(path)
+    return (spark.read.schema(schema) if schema else spark.read).parquet(path)
 
 
 READERS = {".csv": read_csv, ".json": read_json, ".parquet": read_parquet, ".xlsx": read_xlsx}
@@ -42,8 +42,13 @@ def extension(path: str) -> str:
     return (dot + suffix).lower() if stem else ""
 
 
-def load_file(spark: SparkSession, path: str, on_unknown: str = "error") -> DataFrame:
-    """Read by extension (S5); an unknown one raises, or is read as CSV if ``on_unknown="csv"``."""
+def load_file(
+    spark: SparkSession, path: str, on_unknown: str = "error", schema: T.StructType | None = None
+) -> DataFrame:
+    """Read by extension (S5); an unknown one raises, or is read as CSV if ``on_unknown="csv"``.
+
+    A known ``schema`` saves the pass over the data that infers one.
+    """
     if on_unknown not in ("error", "csv"):
         raise ValueError(f"unknown on_unknown: {on_unknown!r}")
     reader = READERS.get(extension(path))
@@ -51,4 +56,4 @@ def load_file(spark: SparkSession, path: str, on_unknown: str = "error") -> Data
         if on_unknown == "error":
             raise ValueError(f"unsupported file type: {extension(path) or path!r}")
         reader = read_csv
-    return reader(spark, path)
+    return reader(spark, path, schema)
