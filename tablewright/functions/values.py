@@ -16,6 +16,8 @@ FIXED_WIDTHS = {
 
 LONG_TEXT = 64
 
+NESTED = (T.ArrayType, T.MapType, T.StructType)
+
 
 def present(c: Column, dtype: T.DataType) -> Column:
     """The value, with NaN turned into null so that both count as missing."""
@@ -24,28 +26,43 @@ def present(c: Column, dtype: T.DataType) -> Column:
     return c
 
 
+def _short(text: Column) -> Column:
+    return F.when(F.octet_length(text) > LONG_TEXT, F.concat(F.lit("#"), F.sha2(text, 256))).otherwise(text)
+
+
 def group_key(c: Column, dtype: T.DataType) -> Column:
     """A short grouping key, equal exactly when the values are equal.
 
     Text longer than 64 bytes travels through the shuffle as a SHA-256 digest.
     The digest carries a ``#`` and is 65 bytes long, so it can never equal a
-    value that was short enough to stay as it is.
+    value that was short enough to stay as it is. Nested values become JSON, with
+    the entries of a map in order.
     """
     if isinstance(dtype, T.StringType):
-        return F.when(F.octet_length(c) > LONG_TEXT, F.concat(F.lit("#"), F.sha2(c, 256))).otherwise(c)
+        return _short(c)
     if isinstance(dtype, T.BinaryType):
         return F.sha2(c, 256)
     if isinstance(dtype, T.MapType):
-        return F.array_sort(F.map_entries(c))
+        return _short(F.to_json(F.array_sort(F.map_entries(c))))
+    if isinstance(dtype, NESTED):
+        return _short(F.to_json(c))
     return present(c, dtype)
 
 
-def text_key(c: Column, dtype: T.DataType) -> Column:
-    """``group_key`` as text, so that columns of all types share one column."""
+def lane_key(c: Column, dtype: T.DataType) -> tuple[str, Column]:
+    """``group_key`` in the widest type of its family, and the name of that type.
+
+    Columns of one family share a lane, so that values of many columns can stand
+    in few columns without being turned into text.
+    """
     key = group_key(c, dtype)
+    if isinstance(dtype, T.IntegralType):
+        return "bigint", key.cast("bigint")
     if isinstance(dtype, FLOATS):
-        key = key + F.lit(0.0).cast(dtype)  # -0.0 and 0.0 are one value
-    return key.cast("string")
+        return "double", key.cast("double")
+    if isinstance(dtype, (T.BinaryType, *NESTED)):
+        return "string", key
+    return dtype.simpleString(), key
 
 
 def byte_width(c: Column, dtype: T.DataType) -> Column:

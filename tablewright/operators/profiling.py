@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import col
-from ..functions.values import byte_width, group_key, present, text_key
+from ..functions.values import byte_width, group_key, lane_key, present
 
 # Fixed value: the text of a report without findings.
 NO_ISSUES = "No major issues found ✅"
@@ -71,9 +71,9 @@ def _small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFra
 def profile_distinct(df: DataFrame, rsd: float | None = None) -> DataFrame:
     """Distinct non-missing values per column.
 
-    Exact: the columns go into one ``(position, value)`` column that is grouped
-    once, so no row is copied per aggregate and a hot value collapses on the map
-    side. With ``rsd`` an approximate count in one scan without a shuffle of rows.
+    Exact: the columns are stacked and grouped once, so no row is copied per
+    aggregate and a hot value collapses on the map side. With ``rsd`` an
+    approximate count in one scan without a shuffle of rows.
     """
     fields = df.schema.fields
     if rsd is not None:
@@ -82,15 +82,26 @@ def profile_distinct(df: DataFrame, rsd: float | None = None) -> DataFrame:
             for i, f in enumerate(fields)
         ])
         return _per_column(estimates, fields, {"d": "distinct_values"})
-    counted = (
-        _long_values(df, lambda f: text_key(col(f.name), f.dataType))
-        .groupBy("position").agg(F.count_distinct("value").alias("distinct_values"))
-    )
+    counted = _distinct_values(df).groupBy("position").agg(F.count("*").alias("distinct_values"))
     names = profile_types(df).select("position", "name")
     return names.join(counted, "position", "left").select(
         "position", "name", F.coalesce("distinct_values", F.lit(0)).alias("distinct_values"))
 
 
+def _distinct_values(df: DataFrame) -> DataFrame:
+    """Distinct ``(position, lanes)``: one lane per type in the schema, all but one null."""
+    keys = [lane_key(col(f.name), f.dataType) for f in df.schema.fields]
+    lanes = list(dict.fromkeys(lane for lane, _ in keys))
+    prepared = df.select(*[key.alias(f"v{i}") for i, (_, key) in enumerate(keys)])
+    cells: list[Column] = []
+    for i, (lane, _) in enumerate(keys):
+        cells.append(F.lit(i))
+        cells += [F.col(f"v{i}") if lane == other else F.lit(None).cast(other) for other in lanes]
+    names = [f"lane{j}" for j in range(len(lanes))]
+    stacked = prepared.select(F.stack(F.lit(len(keys)), *cells).alias("position", *names))
+    return stacked.filter(F.coalesce(*[F.when(F.col(n).isNotNull(), True) for n in names])).distinct()
+
+
 def _long_values(df: DataFrame, as_text, *keep: Column) -> DataFrame:
     """Rows ``(kept columns, position, value)`` without the missing values."""
     fields = df.schema.fields

@@ -139,8 +139,8 @@ def choose_partition(df: DataFrame) -> str | None:
     texts = [f.name for f in fields if isinstance(f.dataType, T.StringType)]
     if not texts:
         return None
-    estimates = df.agg(*[F.approx_count_distinct(col(n), 0.02).alias(f"d{i}") for i, n in enumerate(texts)]).first()
-    near = [n for i, n in enumerate(texts) if estimates[i] <= MAX_CATEGORIES * 1.2]
+    estimates = df.agg(*[F.approx_count_distinct(col(n)).alias(f"d{i}") for i, n in enumerate(texts)]).first()
+    near = [n for i, n in enumerate(texts) if estimates[i] <= MAX_CATEGORIES * 2]
     if not near:
         return None
     # A missing value is a category of its own, as in a list of distinct rows.

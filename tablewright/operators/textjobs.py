@@ -94,16 +94,18 @@ def route_requests(df: DataFrame, column: str, table: str, compat: bool = False)
 def parse_replies(df: DataFrame, column: str) -> DataFrame:
     """Read structured replies.
 
-    Code fences go; the text is read as JSON, and failing that, the part from the
-    first ``{`` to the last ``}``. Adds ``sql``, ``explanation``, ``is_destructive``,
+    Code fences go; what lies between the first ``{`` and the last ``}`` is read as
+    JSON, unless the whole is JSON of another kind. Adds ``sql``, ``explanation``, ``is_destructive``,
     ``warning`` and ``is_valid``: a reply without ``sql`` is not valid and is left
     to ``route_requests``.
     """
     bare = F.col("__bare")
-    braced = F.regexp_extract(bare, r"(?s)\{.*\}", 0)
+    # A whole reply that is valid JSON, but a list or a text, holds no record.
+    other_json = bare.rlike(r'^[\["]') & F.try_parse_json(bare).isNotNull()
+    braced = F.when(~other_json, F.regexp_extract(bare, r"(?s)\{.*\}", 0))
     return (
         df.withColumn("__bare", strip(F.regexp_replace(col(column), "```json|```", "")))
-        .withColumn("__json", F.when(F.json_object_keys(bare).isNotNull(), bare).otherwise(braced))
+        .withColumn("__json", braced)
         .withColumn("__reply", F.from_json("__json", REPLY_SCHEMA))
         .withColumns({
             "sql": F.col("__reply.sql"),
@@ -194,29 +196,29 @@ def run_status(
     known one that the line holds anywhere, in a fixed order, else ``unknown``
     with empty fields. Start and end are fields 3 and 4 counted from 0, unless
     ``header`` names the fields and thereby says where ``start_date`` and
-    ``end_date`` stand. One aggregate keeps the newest line on the map side.
+    ``end_date`` stand. One aggregate keeps the newest line on the map side, and
+    only that line is taken apart.
     """
     start, end = (header.index("start_date"), header.index("end_date")) if header else (3, 4)
-    fields = F.filter(F.transform(F.split("__line", r"\|"), strip), lambda p: p != "")
+    newest = (
+        df.filter(col(column).rlike(r"[^|\s]"))  # any other line has no job
+        .groupBy(strip(F.regexp_extract(col(column), r"^[|\s]*([^|]*)", 1)).alias("job"))
+        .agg(F.max(F.struct(col(order_by).alias("place"), col(column).alias("line"))).alias("newest"))
+        .select("job", F.col("newest.line").alias("__line"))
+        .withColumns({
+            "__lower": F.lower("__line"),
+            "__f": F.filter(F.transform(F.split("__line", r"\|"), strip), lambda p: p != ""),
+        })
+    )
     lowered = F.col("__lower")
     state = reduce(lambda chain, s: chain.when(lowered.contains(s), s), RUN_STATES[1:],
                    F.when(lowered.contains(RUN_STATES[0]), RUN_STATES[0])).otherwise("unknown")
-    with_fields = df.filter(col(column).rlike(r"[^|\s]"))  # any other line has no job
-    lines = (
-        with_fields.select(col(order_by).alias("__order"), col(column).alias("__line"))
-        .withColumn("__lower", F.lower("__line"))
-        .select("__order", state.alias("state"), fields.alias("__f"))
-    )
 
     def part(i: int) -> Column:
         return F.when((F.col("state") != "unknown") & (F.size("__f") > i), F.get("__f", F.lit(i))).otherwise("")
 
-    read = lines.select(
-        F.get("__f", F.lit(0)).alias("job"), "__order", "state",
-        part(1).alias("run_id"), part(start).alias("start_date"), part(end).alias("end_date"))
-    newest = read.groupBy("job").agg(
-        F.max(F.struct("__order", "state", "run_id", "start_date", "end_date")).alias("newest"))
-    return newest.select("job", "newest.state", "newest.run_id", "newest.start_date", "newest.end_date")
+    return newest.withColumn("state", state).select(
+        "job", "state", part(1).alias("run_id"), part(start).alias("start_date"), part(end).alias("end_date"))
 
 
 def error_tail(df: DataFrame, column: str, **options) -> DataFrame:

@@ -26,9 +26,12 @@ def test_distinct_values(spark):
     df = spark.createDataFrame(
         [(0.0, long, b"a", {"a": 1, "b": 2}), (-0.0, long, b"a", {"b": 2, "a": 1}),
          (float("nan"), long + "y", b"b", None), (1.0, None, None, {"a": 1})],
-        "f double, s string, y binary, m map<string,int>")
+        "f double, s string, y binary, m map<string,int>").selectExpr(
+        "*", "array(s, cast(f as string)) as a", "named_struct('q', s) as t", "cast(f > 0 as boolean) as b",
+        "cast(1 as smallint) as h", "date'2024-01-01' as d", "cast(1.5 as decimal(5,2)) as e")
     found = {r["name"]: r["distinct_values"] for r in profiling.profile_distinct(df).collect()}
-    assert found == {"f": 2, "s": 2, "y": 2, "m": 2}
+    assert found == {"f": 2, "s": 2, "y": 2, "m": 2, "a": 4, "t": 3, "b": 2, "h": 1, "d": 1,
+                     "e": 1}
     rough = {r["name"]: r["distinct_values"] for r in
              profiling.profile_distinct(df.select("f", "s"), rsd=0.02).collect()}
     assert rough["s"] == 2

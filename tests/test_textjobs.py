@@ -46,7 +46,8 @@ def test_strict_route_filters_the_named_column(spark):
     ('{"sql": "select 1", "is_destructive": true}', "select 1", True),
     ('```json\n{"sql": "select 1"}\n```', "select 1", False),
     ('Here: {"sql": "select {x}"} bye', "select {x}", False),
-    ('{"sql": null}', None, False), ('["sql"]', None, False), ("{broken", None, False), ("", None, False),
+    ('{"sql": null}', None, False), ('["sql"]', None, False), ('[{"sql": "select 1"}]', None, False),
+    ('"{\\"sql\\": 1}"', None, False), ('[note] {"sql": "select 1"}', "select 1", False), ("{broken", None, False), ("", None, False),
     (None, None, False),
 ])
 def test_replies(spark, reply, sql, destructive):
