@@ -22,6 +22,12 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """Hadoop path and its file system, which know every store that Spark knows."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def stage(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write once as Parquet and read back.
 

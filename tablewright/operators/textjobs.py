@@ -126,6 +126,16 @@ def qualify_sql(df: DataFrame, column: str, table: str, full: str) -> DataFrame:
     return df.withColumn(column, F.when(text.contains(full), text).otherwise(replaced))
 
 
+def resolve_requests(df: DataFrame, request: str, reply: str, table: str, full: str) -> DataFrame:
+    """SQL for each request: that of a valid reply, its table qualified, else the routed one.
+
+    Adds ``sql``, ``explanation``, ``is_destructive``, ``warning`` and ``is_valid``.
+    """
+    replied = qualify_sql(parse_replies(df, reply), "sql", table, full).withColumnRenamed("sql", "__replied")
+    routed = route_requests(replied, request, full, compat=True)
+    return routed.withColumn("sql", F.coalesce("__replied", "sql")).drop("__replied", "intent", "column", "value")
+
+
 def last_turns(df: DataFrame, conversation: str, order_by: str, n: int = 4) -> DataFrame:
     """The last ``n`` turns of each conversation, oldest first (T4).
 
@@ -151,14 +161,11 @@ def schema_text(df: DataFrame) -> DataFrame:
             ", ").alias("schema_text"))
 
 
-def read_rules(spark: SparkSession, path: str) -> DataFrame:
-    """Rules from a JSON object ``{pattern: {fix, message}}``, numbered in file order."""
-    whole = spark.read.text(path, wholetext=True)
+def read_rules(spark: SparkSession, path: str) -> list[tuple[str, str, str]]:
+    """Rules ``(pattern, fix, message)`` of a JSON object ``{pattern: {fix, message}}``, in file order."""
     parsed = F.from_json("value", "map<string,struct<fix:string,message:string>>")
-    return (
-        whole.select(F.posexplode(F.map_entries(parsed)).alias("rule_no", "rule"))
-        .select("rule_no", F.col("rule.key").alias("pattern"), "rule.value.fix", "rule.value.message")
-    )
+    entries = spark.read.text(path, wholetext=True).select(F.map_entries(parsed).alias("rules")).first()["rules"]
+    return [(e["key"], e["value"]["fix"], e["value"]["message"]) for e in entries]
 
 
 def match_rules(df: DataFrame, column: str, rules: list[tuple[str, str, str]]) -> DataFrame:

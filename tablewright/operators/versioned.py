@@ -3,7 +3,8 @@
 A table is a folder. Each write lands in a new folder ``data/_commit=<name>/`` that
 never changes, and then one small JSON record in ``log/`` names the folders that
 make up the new version. The record is renamed into place and the rename fails
-if the id is taken, so of two writers with one base the second gets an error.
+if the id is taken, so of two writers with one base the second gets an error (on
+file systems with an atomic rename; object stores need a table catalog for that).
 Readers see the newest record; data they read is never written over.
 """
 
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import col
+from .staging import hadoop_path
 
 COMMIT = "_commit"
 LOG_SCHEMA = (
@@ -32,14 +34,8 @@ class ConcurrentCommit(RuntimeError):
     """Another writer committed first; read again and retry."""
 
 
-def _hadoop(spark: SparkSession, path: str):
-    """Hadoop path and its file system, which know every store that Spark knows."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
 def _log_names(spark: SparkSession, table: str) -> list[str]:
-    folder, fs = _hadoop(spark, f"{table}/log")
+    folder, fs = hadoop_path(spark, f"{table}/log")
     if not fs.exists(folder):
         return []
     names = [status.getPath().getName() for status in fs.listStatus(folder)]
@@ -84,8 +80,8 @@ def _commit(
         "paths": paths,
     }
     name = f"{snapshot_id:012d}.json"
-    draft, fs = _hadoop(spark, f"{table}/log/.{name}.{uuid.uuid4().hex}")
-    final, _ = _hadoop(spark, f"{table}/log/{name}")
+    draft, fs = hadoop_path(spark, f"{table}/log/.{name}.{uuid.uuid4().hex}")
+    final, _ = hadoop_path(spark, f"{table}/log/{name}")
     out = fs.create(draft, True)
     out.write(bytearray(json.dumps(record).encode()))
     out.close()
@@ -101,11 +97,6 @@ def _commit(
         raise
 
 
-def _relative(table: str, location: str) -> str:
-    """Folder of a data file, below the data folder of its table."""
-    return unquote(location).rsplit("/data/", 1)[1].rsplit("/", 1)[0]
-
-
 def _partition(path: str) -> str:
     """Partition part of a folder, without the commit it was written by."""
     return path.partition("/")[2]
@@ -129,9 +120,15 @@ def _write(df: DataFrame, table: str, snapshot_id: int, partition_by: list[str])
         # Adaptive execution splits the hot partition values and merges the small ones.
         writer = df.hint("rebalance", *[col(p) for p in partition_by])
     writer.write.partitionBy(*partition_by).option("compression", "snappy").parquet(target)
-    written = spark.read.schema(df.schema).option("basePath", target).parquet(target)
-    paths = sorted({_relative(table, f) for f in written.inputFiles()})
-    return paths, written.count()
+    stored = spark.read.schema(df.schema).option("basePath", target).parquet(target)
+    return _data_folders(spark, target, len(partition_by)), stored.count()
+
+
+def _data_folders(spark: SparkSession, target: str, depth: int) -> list[str]:
+    """Folders that hold the files of a commit: itself, or one per partition."""
+    pattern, fs = hadoop_path(spark, target + "/*=*" * depth)
+    found = [status.getPath().toString() for status in fs.globStatus(pattern) or []]
+    return sorted(path.rsplit("/data/", 1)[1] for path in found)
 
 
 def create_table(spark: SparkSession, table: str, schema: T.StructType, partition_by: list[str]) -> None:
@@ -185,7 +182,7 @@ def replace_ctas(df: DataFrame, table: str, partition_by: list[str]) -> None:
         folders = {r[0] for r in named.select(F.substring_index("path", "/", 1)).distinct().collect()}
     create_or_replace(df, table, partition_by)
     for location in records + [f"{table}/data/{folder}" for folder in sorted(folders)]:
-        dropped, fs = _hadoop(spark, location)
+        dropped, fs = hadoop_path(spark, location)
         fs.delete(dropped, True)
 
 
@@ -208,8 +205,8 @@ def delete_where(spark: SparkSession, table: str, condition: Column) -> None:
     current = _read(spark, table, schema, paths)
     if not paths:
         return
-    folder = F.regexp_extract(F.col("_metadata.file_path"), "^(.*)/[^/]*$", 1)
-    hits = {_relative(table, r[0] + "/") for r in current.filter(hit).select(folder).distinct().collect()}
+    folder = F.regexp_extract(F.col("_metadata.file_path"), "^.*/data/(.*)/[^/]*$", 1)
+    hits = {unquote(r[0]) for r in current.filter(hit).select(folder).distinct().collect()}
     if not hits:
         return
     survivors = _read(spark, table, schema, sorted(hits)).filter(~hit)
@@ -220,7 +217,7 @@ def delete_where(spark: SparkSession, table: str, condition: Column) -> None:
 
 
 def ensure_namespace(spark: SparkSession, namespace: str) -> None:
-    folder, fs = _hadoop(spark, namespace)
+    folder, fs = hadoop_path(spark, namespace)
     fs.mkdirs(folder)
 
 

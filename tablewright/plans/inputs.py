@@ -85,8 +85,7 @@ ERROR_TEXTS = Derived("events", ((("event_id",
     f"concat('INFO start ', event_type, chr(10), case when event_id % 8 = 7 then 'INFO idle' else {_MESSAGE} end, "
     "chr(10), 'Warning: ', props, chr(10), '  ', chr(10), 'graphviz missing', chr(10)) as output"), None),))
 
-#: Plain-language requests.
-REQUESTS = Derived("events", ((("event_id",
+_REQUEST = (
     "case when event_id % 8 = 0 then concat('show value above ', cast(event_id % 100 as varchar(20))) "
     "when event_id % 8 = 1 then 'Year greater than 2020' "
     "when event_id % 8 = 2 then 'show snapshot history' "
@@ -94,17 +93,23 @@ REQUESTS = Derived("events", ((("event_id",
     "when event_id % 8 = 4 then 'describe the columns' "
     "when event_id % 8 = 5 then concat('top ', cast(1 + event_id % 30 as varchar(20))) "
     "when event_id % 8 = 6 then 'count null values per column' "
-    "else 'hello' end as request"), None),))
+    "else 'hello' end as request"
+)
 
-#: Replies with and without valid JSON.
-REPLIES = Derived("events", ((("event_id",
+_REPLY = (
     "case when event_id % 4 = 0 then concat('{\"sql\":\"SELECT * FROM events LIMIT ', "
     "cast(event_id % 50 as varchar(20)), '\",\"explanation\":\"first rows\",\"is_destructive\":false,\"warning\":\"\"}') "
     "when event_id % 4 = 1 then concat('Sure! ```json', chr(10), "
     "'{\"sql\":\"DELETE FROM events WHERE value IS NULL\",\"explanation\":\"drop nulls\","
     "\"is_destructive\":true,\"warning\":\"Permanently deletes rows\"}', chr(10), '``` done') "
     "when event_id % 4 = 2 then 'I cannot answer that.' "
-    "else '{\"explanation\":\"no sql key\"}' end as reply"), None),))
+    "else '{\"explanation\":\"no sql key\"}' end as reply"
+)
+
+#: Plain-language requests, replies with and without valid JSON, and both.
+REQUESTS = Derived("events", ((("event_id", _REQUEST), None),))
+REPLIES = Derived("events", ((("event_id", _REPLY), None),))
+DIALOGUES = Derived("events", ((("event_id", _REQUEST, _REPLY), None),))
 
 #: Players with clubs, ratings, a decimal value and a fiscal season.
 PLAYERS = Derived("customer", ((

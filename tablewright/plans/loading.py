@@ -6,13 +6,15 @@ import io
 import os
 import uuid
 import zipfile
+from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.staging import scratch_dir
+from ..operators.staging import hadoop_path, scratch_dir
 from ..operators.tables import read_table
 from ..sources import jdbc, registry
 from ..sources.files import load_file, read_csv, read_json, read_parquet
@@ -22,8 +24,6 @@ from . import jobs
 from .contract import query
 from .inputs import DIRTY_ORDERS, PLAYERS, REGISTRY, table
 
-RECORDS_PER_DOCUMENT = 20_000
-
 _CUSTOMER = "select c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment from customer"
 # Inferred types: these whole numbers are read as int.
 _CUSTOMER_INFERRED = (
@@ -31,13 +31,14 @@ _CUSTOMER_INFERRED = (
 )
 
 
-def _json_documents(df: DataFrame, number: str, path: str) -> None:
-    """Write records as JSON arrays, one document per file and range of a unique number."""
-    documents = (
-        df.withColumn("__document", F.floor(F.col(number) / RECORDS_PER_DOCUMENT))
-        .groupBy("__document").agg(F.to_json(F.collect_list(F.struct(*df.columns))).alias("value"))
-    )
-    documents.select("value").write.option("maxRecordsPerFile", 1).text(path)
+def _json_documents(df: DataFrame, path: str) -> None:
+    """Write records as JSON arrays, one document per file; each Arrow batch makes one."""
+    def arrays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"value": ["[" + ",".join(batch["record"]) + "]"]})
+
+    records = df.select(F.to_json(F.struct(*df.columns)).alias("record"))
+    records.mapInPandas(arrays, "value string").write.option("maxRecordsPerFile", 1).text(path)
 
 
 @query("scan_csv", _CUSTOMER_INFERRED)
@@ -51,7 +52,7 @@ def scan_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scan_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark) + "/customer.json"
     customer = table(spark, sf_dir, "customer")
-    _json_documents(customer, "c_custkey", path)
+    _json_documents(customer, path)
     return read_json(spark, path).select(
         *[F.col(f.name).cast(f.dataType).alias(f.name) for f in customer.schema.fields])
 
@@ -69,7 +70,7 @@ def load_by_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
     customer.write.option("header", True).csv(f"{root}/customer.CSV")
     customer.write.parquet(f"{root}/customer.parquet")
-    _json_documents(customer, "c_custkey", f"{root}/customer.json")
+    _json_documents(customer, f"{root}/customer.json")
     loaded = None
     for name in ("csv", "json", "parquet"):
         file = f"{root}/customer.{'CSV' if name == 'csv' else name}"
@@ -109,29 +110,21 @@ def workbook_bytes(frame: pd.DataFrame) -> bytes:
     return out.getvalue()
 
 
-def _workbooks(df: DataFrame, number: str) -> DataFrame:
-    """One workbook per range of a unique number, as ``(name, content)``."""
-    columns = df.columns
+def _workbooks(df: DataFrame) -> DataFrame:
+    """Workbooks as ``(name, content)``; each Arrow batch makes one."""
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part = TaskContext.get().partitionId()
+        for i, batch in enumerate(batches):
+            yield pd.DataFrame({"name": [f"part-{part:06d}-{i:06d}.xlsx"], "content": [workbook_bytes(batch)]})
 
-    def build(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"name": [f"part-{int(key[0]):08d}.xlsx"], "content": [workbook_bytes(frame[columns])]})
+    return df.mapInPandas(build, "name string, content binary")
 
-    ranges = df.withColumn("__book", F.floor(F.col(number) / RECORDS_PER_DOCUMENT))
-    return ranges.groupBy("__book").applyInPandas(build, "name string, content binary")
-
-
-@query("scan_xlsx", "select s_suppkey, s_name, s_nationkey, s_acctbal from supplier")
-def scan_xlsx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    supplier = table(spark, sf_dir, "supplier")
-    books = _workbooks(supplier, "s_suppkey")
-    folder = scratch_dir(spark)
-    if "://" in folder:  # tasks can write bytes to a mounted folder only
-        return parse_workbooks(books, supplier.schema)
-    folder = folder.removeprefix("file:")
 
-    def save(batches):
+def _save(books: DataFrame, folder: str) -> None:
+    """Write the workbooks from the tasks. Names are fixed, so a task run twice changes nothing."""
+    def save(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        os.makedirs(folder, exist_ok=True)
         for batch in batches:
-            os.makedirs(folder, exist_ok=True)
             for name, content in zip(batch["name"], batch["content"]):
                 draft = f"{folder}/.{name}.{uuid.uuid4().hex}"
                 with open(draft, "wb") as f:
@@ -140,7 +133,17 @@ def scan_xlsx(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield batch[["name"]]
 
     books.mapInPandas(save, "name string").count()
-    return read_xlsx(spark, "file:" + folder, supplier.schema)
+
+
+@query("scan_xlsx", "select s_suppkey, s_name, s_nationkey, s_acctbal from supplier")
+def scan_xlsx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    supplier = table(spark, sf_dir, "supplier")
+    books, folder = _workbooks(supplier), scratch_dir(spark)
+    path, file_system = hadoop_path(spark, folder)
+    if file_system.getScheme() != "file":  # tasks can write bytes to a mounted folder only
+        return parse_workbooks(books, supplier.schema)
+    _save(books, path.toUri().getPath())
+    return read_xlsx(spark, folder, supplier.schema)
 
 
 # --- JDBC -----------------------------------------------------------------
@@ -256,7 +259,7 @@ _REGISTRY_COLUMNS = "dag_id string, seq bigint, source string, row_count bigint,
 @query("registry_read", REGISTRY.sql())
 def registry_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark) + "/registry.json"
-    _json_documents(REGISTRY.frame(spark, sf_dir), "seq", path)
+    _json_documents(REGISTRY.frame(spark, sf_dir), path)
     absent = registry.read_registry(spark, path + ".absent", _REGISTRY_COLUMNS)
     return registry.read_registry(spark, path, _REGISTRY_COLUMNS).union(absent)
 

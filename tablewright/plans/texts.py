@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import textjobs
 from .contract import query
-from .inputs import ERROR_LINES, ERROR_RULES, ERROR_TEXTS, REPLIES, REQUESTS, RUN_HEADER, RUN_LINES, table
+from .inputs import DIALOGUES, ERROR_LINES, ERROR_RULES, ERROR_TEXTS, REPLIES, REQUESTS, RUN_HEADER, RUN_LINES, table
 
 _TABLE = "lake.sales.events"
 _COMPARED = r"(\w+)\s+(?:above|greater than|>)\s*(\d+)"
@@ -71,6 +71,16 @@ def qualify_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     return textjobs.qualify_sql(parsed, "sql", "events", _TABLE)
 
 
+@query("resolve_requests", f"""
+    with routed as ({_route_oracle(compat=True)}), parsed as ({_PARSED} select * from p)
+    select event_id, coalesce(replace(p.sql, 'events', '{_TABLE}'), r.sql) as sql, explanation, is_destructive, warning,
+      p.sql is not null as is_valid
+    from routed r join parsed p using (event_id)""")
+def resolve_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    resolved = textjobs.resolve_requests(DIALOGUES.frame(spark, sf_dir), "request", "reply", "events", _TABLE)
+    return resolved.drop("request", "reply")
+
+
 @query("last_turns", """
     select conv_id, count(*) as turns, string_agg(turn || ' ' || role || ': ' || text, chr(10) order by turn) as context
     from (select *, row_number() over (partition by conv_id order by turn desc) as newest from conversations) c

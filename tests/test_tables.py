@@ -1,6 +1,8 @@
 """Stored tables: versions, partitions, deletes, conflicts."""
 
 import datetime as dt
+import uuid
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -145,15 +147,38 @@ def test_partition_pruning_reaches_the_scan(spark, table):
     assert "PartitionFilters: [isnotnull(g" in plan
 
 
-def test_session_catalog_names(spark):
-    """The session catalog supports a part of the table operations: create, describe, read."""
-    import uuid
-    name = "t_" + uuid.uuid4().hex
-    spark.sql(f"CREATE TABLE {name} (id bigint, g int) USING parquet PARTITIONED BY (g) "
-              f"LOCATION '{scratch_dir(spark)}'")
-    assert [r["name"] for r in tables.describe(spark, name).collect()] == ["id", "g"]
+def test_catalog_tables(spark):
+    """The session catalog supports a part of what a table format does."""
+    namespace, table = "ns_" + uuid.uuid4().hex, "t"
+    spark.sql(f"CREATE DATABASE {namespace} LOCATION '{scratch_dir(spark)}'")
+    tables.ensure_namespace(spark, namespace)
+    name = f"{namespace}.{table}"
+    for _ in range(2):
+        tables.create_table(spark, name, spark.range(1).selectExpr("id", "1 as g").schema, ["g"])
     assert tables.read_table(spark, name).count() == 0
-    assert tables.describe(spark, "no_such_table").count() == 0
+    assert [r["name"] for r in tables.describe(spark, name).collect()] == ["id", "g"]
+    df = spark.range(9).selectExpr("id", "cast(id % 2 as string) as kind")
+    tables.replace_ctas(df, name, "kind")
+    assert tables.verify_count(spark, name) == 9
+    assert [tuple(r)[1:] for r in tables.describe(spark, name).collect()] == [("id", "bigint"), ("kind", "string")]
+    assert tables.delete_where(spark, name, "id > 6").count() == 2
+    assert tables.describe(spark, f"{namespace}.absent").count() == 0
+    spark.sql(f"DROP DATABASE {namespace} CASCADE")
+
+
+def test_hot_partition_is_split_over_files(spark, table):
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "200k")
+    try:
+        df = spark.range(0, 300_000, 1, 8).selectExpr("id", "sha2(string(id), 256) as v",
+                                                      "case when id % 3 = 0 then id % 50 else 7 end as g")
+        tables.create_or_replace(df, table, ["g"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    stored = tables.read_table(spark, table)
+    assert stored.count() == 300_000
+    files = Counter(f.rsplit("/", 2)[1] for f in stored.inputFiles())
+    assert files["g=7"] > 3
+    assert sorted(files.values())[len(files) // 2] == 1
 
 
 def test_stage_reads_back_what_it_wrote(spark):

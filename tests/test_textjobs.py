@@ -81,8 +81,16 @@ def test_first_rule_wins_over_many_blocks(spark):
 def test_rules_keep_file_order(spark, tmp_path):
     rules = {f"p{i}": {"fix": f"f{9 - i}", "message": f"m{i}"} for i in (3, 1, 2, 0)}
     (tmp_path / "rules.json").write_text(json.dumps(rules, indent=2))
-    read = textjobs.read_rules(spark, str(tmp_path / "rules.json")).orderBy("rule_no")
-    assert [r["pattern"] for r in read.collect()] == ["p3", "p1", "p2", "p0"]
+    read = textjobs.read_rules(spark, str(tmp_path / "rules.json"))
+    assert [r[0] for r in read] == ["p3", "p1", "p2", "p0"] and read[0] == ("p3", "f6", "m3")
+
+
+def test_requests_without_a_valid_reply_are_routed(spark):
+    df = spark.createDataFrame([("top 5", '{"sql": "select * from t", "warning": "w"}'), ("top 5", "no idea")],
+                               "request string, reply string")
+    found = [(r["sql"], r["warning"], r["is_valid"])
+             for r in textjobs.resolve_requests(df, "request", "reply", "t", "c.d.t").collect()]
+    assert found == [("select * from c.d.t", "w", True), ("SELECT * FROM c.d.t LIMIT 5", None, False)]
 
 
 def test_run_status(spark):
