@@ -178,7 +178,7 @@ def test_hot_partition_is_split_over_files(spark, table):
     assert stored.count() == 300_000
     files = Counter(f.rsplit("/", 2)[1] for f in stored.inputFiles())
     assert files["g=7"] > 3
-    assert sorted(files.values())[len(files) // 2] == 1
+    assert files["g=7"] > 2 * sorted(files.values())[len(files) // 2]
 
 
 def test_stage_reads_back_what_it_wrote(spark):
