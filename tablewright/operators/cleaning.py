@@ -34,8 +34,21 @@ def _is_text(field: T.StructField) -> bool:
     return isinstance(field.dataType, T.StringType)
 
 
+# What a number can start and end with, and what the cast skips around it.
+NUMBER_STARTS = list("0123456789+-.nNiI")
+NUMBER_ENDS = list("0123456789.dDfFnNyY")
+SKIPPED = "".join(map(chr, range(33)))
+
+
 def _as_number(c: Column) -> Column:
-    return c.try_cast("double")
+    """The text as a double, or null.
+
+    A failed cast costs an exception that holds the whole text, so the ends of the
+    text are looked at first: they rule out most words and all prose.
+    """
+    text = F.btrim(c, F.lit(SKIPPED))
+    likely = F.left(text, F.lit(1)).isin(NUMBER_STARTS) & F.right(text, F.lit(1)).isin(NUMBER_ENDS)
+    return F.when(likely, c.try_cast("double"))
 
 
 def _count_columns(counts: dict[str, Column]) -> tuple[list[Column], dict[str, str]]:

@@ -64,6 +64,17 @@ def test_cast_needs_more_than_the_threshold(spark):
     assert cleaning.infer_numeric(odd).dtypes == [("s", "double")]
 
 
+def test_numbers_in_text(spark):
+    texts = ["1", "-1.5", "+.5", "5.", "1e3", "1E-3", "1d", "2F", "0x1p3", "0x1.8p1d", "NaN", "nan", "NAN", "inf", "-Inf",
+             "+infinity", "Infinity", "-INFINITY", " 7 ", "\t8\n", "\x007\x1f", "", " ", ".", "-", "e", "1-URGENT", "n",
+             "in", "d", "1,000", "1_0", "٣", "１", "--1", "1e", "0x", "true", "Nancy", "x" * 10_000, "\u00a01", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, s string")
+    compared = df.select("s", cleaning._as_number(F.col("s")).cast("string").alias("found"),
+                         F.col("s").try_cast("double").cast("string").alias("expected")).collect()
+    assert [(r["s"], r["found"]) for r in compared] == [(r["s"], r["expected"]) for r in compared]
+    assert sum(r["found"] is not None for r in compared) >= 20
+
+
 def test_fills(spark):
     df = spark.createDataFrame(
         [(None, 1.0, None, None), (2, float("nan"), None, "a"), (3, None, None, None)],
@@ -73,6 +84,13 @@ def test_fills(spark):
     assert filled.dtypes == df.dtypes
 
 
+def test_approximate_median_is_near(spark):
+    df = spark.range(30_000).selectExpr("case when id % 3 = 0 then null else cast(id * id as double) end as x")
+    fill = cleaning.medians(df, ["x"], 0.01)["x"]
+    share = df.filter(F.col("x") <= fill).count() / 20_000
+    assert abs(share - 0.5) <= 0.02
+
+
 def test_nan_stays_where_no_value_is_null(spark):
     df = spark.createDataFrame([(1.0,), (float("nan"),)], "f double")
     assert cleaning.fill_nulls(df).filter(F.isnan("f")).count() == 1

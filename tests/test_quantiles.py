@@ -6,7 +6,7 @@ import random
 import pytest
 
 from tablewright.operators import quantiles
-from tablewright.operators.quantiles import _Bracket, _Counts, _narrow, exact_quantiles
+from tablewright.operators.quantiles import exact_quantiles
 
 
 def expected(values, p):
@@ -47,16 +47,28 @@ def test_whole_numbers(spark):
     assert exact_quantiles(df, ["i", "id"]) == {"i": 5000.0, "id": 5000.0}
 
 
-def test_a_missed_bracket_widens():
-    b = _Bracket(low=10.0, high=20.0, outer=(0.0, 30.0), rank=5)
-    _narrow(b, _Counts(7, 1, 2, 1, [11.0, 12.0]), p=0.5)
-    assert (b.low, b.high, b.done) == (0.0, 10.0, False)
-    b = _Bracket(low=10.0, high=20.0, outer=(0.0, 30.0), rank=50)
-    _narrow(b, _Counts(7, 1, 2, 1, [11.0, 12.0]), p=0.5)
-    assert (b.low, b.high, b.done) == (20.0, 30.0, False)
+def test_every_size_of_double(spark, monkeypatch):
+    values = [sign * 2.0 ** e for e in range(-1074, 1024, 7) for sign in (-1, 1)] + [0.0, -0.0, math.inf, -math.inf]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    rounds = []
+    narrow = quantiles._narrow
+    monkeypatch.setattr(quantiles, "_narrow", lambda *a: rounds.append(1) or narrow(*a))
+    for p in (0.0001, 0.25, 0.5, 0.501, 0.9, 1.0):
+        rounds.clear()
+        assert exact_quantiles(df, ["x"], p) == {"x": expected(values, p)}
+        assert len(rounds) <= 7
 
 
-def test_grid_covers_every_rank_of_a_small_bracket():
-    for n in range(1, quantiles.GRID // 2 + 1):
-        ranks = [math.ceil(math.floor(quantiles.GRID * (k - 0.5) / n) / quantiles.GRID * n) for k in range(1, n + 1)]
-        assert [max(r, 1) for r in ranks] == list(range(1, n + 1))
+def test_neighbours_take_few_rounds(spark, monkeypatch):
+    values = [1e15 + i / 8 for i in range(9000)] + [1e-300, -1e300]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    rounds = []
+    narrow = quantiles._narrow
+    monkeypatch.setattr(quantiles, "_narrow", lambda *a: rounds.append(1) or narrow(*a))
+    assert exact_quantiles(df, ["x"]) == {"x": expected(values, 0.5)}
+    assert len(rounds) <= 7
+
+
+def test_no_columns_and_no_rows(spark):
+    assert exact_quantiles(spark.range(3), []) == {}
+    assert exact_quantiles(spark.range(0), ["id"]) == {"id": None}
