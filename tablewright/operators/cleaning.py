@@ -174,6 +174,9 @@ def clean(
     2. One aggregation of the staged copy counts values, numbers and nulls; one
        median call reads only the columns that need a fill.
     3. One projection casts, fills, drops and adds the metadata.
+
+    The result reads the staged copy, at ``staging_path`` or under the scratch
+    folder; the caller may remove it once the result is written.
     """
     log: list[str] = []
     named = clean_names(df, on_collision)

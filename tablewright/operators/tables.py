@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions.names import col
 from . import catalog, versioned
-from .profiling import profile_types
+from .profiling import distinct_estimates, profile_types
 
 # Column groups that never partition a table, and what counts as a category.
 METADATA_COLUMNS = ("_ingested_at", "_source")
@@ -39,6 +39,11 @@ def create_table(spark: SparkSession, table: str, schema: T.StructType, partitio
     _backend(table).create_table(spark, table, schema, list(partition_by))
 
 
+def table_exists(spark: SparkSession, table: str) -> bool:
+    """Whether the table has been created."""
+    return _backend(table).exists(spark, table)
+
+
 def create_or_replace(df: DataFrame, table: str, partition_by: list[str] = ()) -> None:
     """Create the table or replace its rows and columns; history stays (K4)."""
     _backend(table).create_or_replace(df, table, list(partition_by))
@@ -139,7 +144,7 @@ def choose_partition(df: DataFrame) -> str | None:
     texts = [f.name for f in fields if isinstance(f.dataType, T.StringType)]
     if not texts:
         return None
-    estimates = df.agg(*[F.approx_count_distinct(col(n)).alias(f"d{i}") for i, n in enumerate(texts)]).first()
+    estimates = distinct_estimates(df.select(*map(col, texts))).first()
     near = [n for i, n in enumerate(texts) if estimates[i] <= MAX_CATEGORIES * 2]
     if not near:
         return None

@@ -167,6 +167,7 @@ _DERBY_ROW_SQL = "select " + ", ".join(f'{v} as "{k}"' for k, v in _NEW_ROW.item
 
 def _database(spark: SparkSession, sf_dir: str, name: str = "players") -> str:
     """A fresh in-process database that holds the players; its URL."""
+    spark._jvm.java.lang.System.setProperty("derby.stream.error.file", "/dev/null")  # no derby.log
     url = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true"
     jdbc.append_jdbc(PLAYERS.frame(spark, sf_dir), url, name, {**DERBY, "createTableColumnTypes": _TEXT_COLUMNS})
     return url

@@ -8,6 +8,9 @@ import zipfile
 import pytest
 from pyspark.sql import types as T
 
+from tablewright.operators.staging import scratch_dir
+from tablewright.operators.tables import read_table
+from tablewright.plans import jobs
 from tablewright.sources import jdbc, registry
 from tablewright.sources.files import extension, load_file, read_json
 from tablewright.sources.ingest import ingest_typed
@@ -131,6 +134,32 @@ def test_an_update_wins_even_if_it_is_older(spark):
     assert merged.first()["v"] == "update"
 
 
+def test_loads_are_recorded_once_per_job(spark):
+    target = scratch_dir(spark) + "/registry"
+    fields = registry.read_registry(spark, target + ".none").columns
+    for dag_id, rows, at in (("a", 1, "2024-01-01 10:00"), ("b", 2, "2024-01-02 10:00"), ("a", 3, "2024-01-03 10:00")):
+        jobs.record_load(spark, target, dict.fromkeys(fields) | {"dag_id": dag_id, "row_count": rows, "created_at": at})
+    stored = read_table(spark, target)
+    assert sorted((r["dag_id"], r["row_count"], r["place"]) for r in stored.collect()) == [
+        ("a", 3, "2024-01-01 10:00"), ("b", 2, "2024-01-02 10:00")]
+    assert [r["row_count"] for r in registry.list_registry(stored).collect()] == ["3 rows", "2 rows"]
+    assert [r["dag_id"] for r in registry.list_registry(stored, order_by="place").collect()] == ["b", "a"]
+
+
+def test_files_load_into_tables(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('Big Id,note\n1,"say ""hi"", ok"\n,\n')
+    loaded = jobs.load_file_table(spark, str(tmp_path / "a.csv"), scratch_dir(spark) + "/t")
+    assert loaded.rows == 2
+    assert sorted(map(tuple, read_table(spark, loaded.table).collect())) == [(0, None), (1, 'say "hi", ok')]
+
+
+def test_files_are_cleaned_into_staging(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("a,b\n1,x\n1,x\n2,\n")
+    path, log = jobs.clean_file(spark, str(tmp_path / "a.csv"), str(tmp_path), "t", "src")
+    assert path == f"{tmp_path}/staging/t_cleaned" and "Dropped 1 duplicate rows" in log
+    assert sorted(tuple(r)[:2] for r in spark.read.parquet(path).collect()) == [(1, "x"), (2, "UNKNOWN")]
+
+
 def test_missing_registry_is_empty(spark, tmp_path):
     empty = registry.read_registry(spark, str(tmp_path / "none.json"))
     assert empty.count() == 0 and "dag_id" in empty.columns
