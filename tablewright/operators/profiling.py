@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import col
-from ..functions.values import byte_width, group_key, lane_key, present
+from ..functions.values import NESTED, byte_width, group_key, lane_key, present
 
 # Fixed value: the text of a report without findings.
 NO_ISSUES = "No major issues found ✅"
 
 SKETCH_GROUPS = 256
+BOUND_GROUPS = 64
 
 
 def _per_column(one_row: DataFrame, fields: list[T.StructField], measures: dict[str, str]) -> DataFrame:
@@ -104,39 +105,80 @@ def distinct_estimates(df: DataFrame, rsd: float = 0.05) -> DataFrame:
         F.coalesce(F.hll_sketch_estimate(F.hll_union_agg(f"s{i}")), F.lit(0)).alias(f"d{i}") for i in numbers])
 
 
-def _distinct_values(df: DataFrame) -> DataFrame:
-    """Distinct ``(position, lanes)``: one lane per type in the schema, all but one null."""
-    keys = [lane_key(col(f.name), f.dataType) for f in df.schema.fields]
-    lanes = list(dict.fromkeys(lane for lane, _ in keys))
-    prepared = df.select(*[key.alias(f"v{i}") for i, (_, key) in enumerate(keys)])
+def _stacked(df: DataFrame, lanes_of: list[tuple[str, Column]], *keep: Column) -> tuple[DataFrame, list[str]]:
+    """Rows ``(kept columns, position, lanes)``, and the names of the lanes.
+
+    There is a lane per type, given with each column's expression; a row has a value
+    in one lane. Missing values have no row.
+    """
+    lanes = list(dict.fromkeys(lane for lane, _ in lanes_of))
+    kept = [f"k{i}" for i in range(len(keep))]
+    prepared = df.select(*[c.alias(k) for c, k in zip(keep, kept)],
+                         *[value.alias(f"v{i}") for i, (_, value) in enumerate(lanes_of)])
     cells: list[Column] = []
-    for i, (lane, _) in enumerate(keys):
+    for i, (lane, _) in enumerate(lanes_of):
         cells.append(F.lit(i))
         cells += [F.col(f"v{i}") if lane == other else F.lit(None).cast(other) for other in lanes]
     names = [f"lane{j}" for j in range(len(lanes))]
-    stacked = prepared.select(F.stack(F.lit(len(keys)), *cells).alias("position", *names))
-    return stacked.filter(F.coalesce(*[F.when(F.col(n).isNotNull(), True) for n in names])).distinct()
+    stacked = prepared.select(*kept, F.stack(F.lit(len(lanes_of)), *cells).alias("position", *names))
+    return stacked.filter(F.coalesce(*[F.when(F.col(n).isNotNull(), True) for n in names])), names
 
 
-def _long_values(df: DataFrame, as_text, *keep: Column) -> DataFrame:
-    """Rows ``(kept columns, position, value)`` without the missing values."""
-    fields = df.schema.fields
-    kept = [c.alias(f"__k{i}") for i, c in enumerate(keep)]
-    texts = df.select(*kept, *[as_text(f).alias(str(i)) for i, f in enumerate(fields)])
-    long = texts.unpivot(
-        [f"__k{i}" for i in range(len(keep))], [str(i) for i in range(len(fields))], "position", "value")
-    return long.filter(F.col("value").isNotNull()).withColumn("position", F.col("position").cast("int"))
+def _distinct_values(df: DataFrame) -> DataFrame:
+    """Distinct ``(position, lanes)``."""
+    return _stacked(df, [lane_key(col(f.name), f.dataType) for f in df.schema.fields])[0].distinct()
+
+
+def _sample_lane(f: T.StructField) -> tuple[str, Column]:
+    if isinstance(f.dataType, (*NESTED, T.BinaryType)):
+        return "string", col(f.name).cast("string")
+    return f.dataType.simpleString(), present(col(f.name), f.dataType)
+
+
+def _key_bounds(df: DataFrame, order_by: str, n: int) -> list[Column | None]:
+    """For each column a key that at least ``n`` of its rows do not exceed, if there is one.
+
+    Rows fall into groups at random; ``n`` groups have ``n`` different smallest rows,
+    so the ``n``-th smallest of the group minima is such a key. A plain aggregation.
+    """
+    fields, key_type = df.schema.fields, df.schema[order_by].dataType
+    keyed = df.select(
+        F.pmod(F.monotonically_increasing_id(), F.lit(BOUND_GROUPS)).alias("g"),
+        *[F.when(present(col(f.name), f.dataType).isNotNull(), col(order_by)).alias(f"k{i}")
+          for i, f in enumerate(fields)])
+    smallest = keyed.groupBy("g").agg(*[F.min(f"k{i}").alias(f"k{i}") for i in range(len(fields))])
+    bounds = smallest.agg(*[
+        F.get(F.array_sort(F.collect_list(f"k{i}")), F.lit(n - 1)).cast("string").alias(f"k{i}")
+        for i in range(len(fields))]).first()
+    return [None if bound is None else F.lit(bound).cast(key_type) for bound in bounds]
 
 
 def profile_samples(df: DataFrame, order_by: str, n: int = 3) -> DataFrame:
     """The first ``n`` non-missing values per column as text, in key order.
 
-    Each task keeps ``n`` rows per column before the shuffle.
+    A first scan bounds the keys that can matter, so that hardly a row is left to
+    sort. Of those each task keeps ``n`` per column, and only these become text.
     """
-    as_text = lambda f: present(col(f.name), f.dataType).cast("string")
-    long = _long_values(df, as_text, col(order_by))
-    first = Window.partitionBy("position").orderBy("__k0", "value")
-    ranked = long.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= n)
+    key = col(order_by)
+    bounds = _key_bounds(df, order_by, n)
+    known = [b for b in bounds if b is not None]
+    wanted = key.isNull()
+    if known:
+        wanted = wanted | (key <= (F.greatest(*known) if len(known) > 1 else known[0]))
+    for f, bound in zip(df.schema.fields, bounds):
+        if bound is None:  # hardly a row has a value
+            wanted = wanted | col(f.name).isNotNull()
+    df = df.filter(wanted)
+    lanes_of = [
+        (lane, value if bound is None else F.when((key <= bound) | key.isNull(), value))
+        for (lane, value), bound in zip(map(_sample_lane, df.schema.fields), bounds)
+    ]
+    long, lanes = _stacked(df, lanes_of, key)
+    first = Window.partitionBy("position").orderBy("k0", *lanes)
+    ranked = (
+        long.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= n)
+        .select("position", "rank", F.coalesce(*[F.col(lane).cast("string") for lane in lanes]).alias("value"))
+    )
     collected = ranked.groupBy("position").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda s: s["value"])
         .alias("sample"))

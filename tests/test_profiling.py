@@ -2,6 +2,9 @@
 
 import datetime as dt
 
+import pytest
+from pyspark.sql import functions as F
+
 from tablewright.operators import profiling
 from tablewright.operators.tables import choose_partition
 
@@ -65,6 +68,21 @@ def test_samples(spark):
     assert samples == {"k": ["1", "2", "3"], "s": ["b", "c", "d"]}
 
 
+@pytest.mark.parametrize("key", ["k", "t", "z", "d", "s", "constant", "holes"])
+def test_samples_by_keys_of_any_type(spark, key):
+    df = spark.range(0, 500, 1, 4).selectExpr(
+        "id * 7919 % 500 as k", "timestamp'2024-01-01 00:00:00.5' + make_interval(0, 0, 0, 0, 0, 0, id) as t",
+        "timestamp_ntz'2024-01-01' - make_interval(0, 0, 0, 0, 0, 0, id) as z", "cast(id / 7 as double) as d",
+        "lpad(string(id * 31 % 500), 4, '0') as s", "1 as constant", "case when id < 498 then id end as holes",
+        "case when id % 250 = 3 then id end as rare", "cast(null as int) as never")
+    found = {r["name"]: r["sample"] for r in profiling.profile_samples(df, key).collect()}
+    rows = df.select(*[F.col(c).cast("string") for c in df.columns], F.col(key).alias("key")).collect()
+    for name in ("rare", "never", "k") if key != "constant" else ("rare", "never"):
+        kept = sorted(((r["key"] is not None, r["key"], int(r[name])) for r in rows if r[name] is not None),
+                      key=lambda x: (x[0], x[1] if x[0] else 0, x[2]))
+        assert found[name] == [str(v) for _, _, v in kept[:3]]
+
+
 def test_report(spark):
     df = spark.createDataFrame([(1, "a.b"), (2, None)], "k int, `odd name.x` string")
     report = profiling.profile(df, "k", file="f.csv").first()
