@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import io
 import os
+import sys
 import uuid
 import zipfile
 from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
 import pandas as pd
-from pyspark import TaskContext
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +25,9 @@ from . import jobs
 from .contract import query
 from .inputs import DIRTY_ORDERS, PLAYERS, REGISTRY, table
 
+# Tasks get the functions of this module with their code, so executors need no copy of the library.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _CUSTOMER = "select c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment from customer"
 # Inferred types: these whole numbers are read as int.
 _CUSTOMER_INFERRED = (

@@ -6,17 +6,22 @@ import datetime as dt
 import decimal
 import io
 import re
+import sys
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import col
 
+# Tasks get the functions of this module with their code, so executors need no copy of the library.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 ROWS_PER_BATCH = 5000

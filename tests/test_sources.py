@@ -3,15 +3,19 @@
 import datetime as dt
 import decimal
 import json
+import os
+import subprocess
+import sys
 import zipfile
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import types as T
 
 from tablewright.operators.staging import scratch_dir
 from tablewright.operators.tables import read_table
 from tablewright.plans import jobs
-from tablewright.sources import jdbc, registry
+from tablewright.sources import jdbc, registry, workbooks
 from tablewright.sources.files import extension, load_file, read_json
 from tablewright.sources.ingest import ingest_typed
 from tablewright.sources.workbooks import read_xlsx
@@ -88,6 +92,16 @@ def test_decimal_cells(spark, tmp_path):
     assert df.collect() == [(decimal.Decimal("150.10"),)] + [(None,)]
 
 
+def test_tasks_need_no_copy_of_the_library(tmp_path):
+    workbook(tmp_path / "a.xlsx", HEADER + '<row><c><v>1</v></c></row>', SHARED)
+    (tmp_path / "task.pickle").write_bytes(cloudpickle.dumps(workbooks._data_rows))
+    code = ("import pickle, sys; f = pickle.load(open('task.pickle', 'rb')); "
+            "print(len(list(f(open('a.xlsx', 'rb').read()))), 'tablewright' in sys.modules)")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True)
+    assert done.stdout.split() == ["1", "False"], done.stderr
+
+
 @pytest.mark.parametrize("path, suffix", [
     ("/a/b.CSV", ".csv"), ("hdfs://h:8020/x.parquet/", ".parquet"), ("/a.b/c", ""), ("/a/.csv", "")])
 def test_extension(path, suffix):
