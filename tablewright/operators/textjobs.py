@@ -38,7 +38,7 @@ def _has_any(text: Column, words: tuple[str, ...], whole_words: bool) -> Column:
 def route_requests(df: DataFrame, column: str, table: str, compat: bool = False) -> DataFrame:
     """Route plain-language requests to a query shape.
 
-    Adds ``intent``, ``column``, ``value`` and ``sql``. With ``compat`` words match
+    Adds ``intent``, ``column``, ``value``, ``sql`` and ``explanation``. With ``compat`` words match
     inside longer words ("count" in "country"), questions about nulls and
     statistics count as a count and a description, and a comparison on any column
     that holds "year" filters the column ``year``. Without it, words match whole,
@@ -84,10 +84,18 @@ def route_requests(df: DataFrame, column: str, table: str, compat: bool = False)
         .when(kind == "describe", F.lit(f"DESCRIBE TABLE {table}"))
         .when(kind == "top_n", F.concat(F.lit(f"SELECT * FROM {table} LIMIT "), F.col("__limit")))
     )
+    explanation = (
+        F.when(kind == "fiscal_after", F.concat(F.lit("Year above "), number))
+        .when(kind == "where_above", above)
+        .when(kind == "snapshots", "Show snapshots").when(kind == "row_count", "Count rows")
+        .when(kind == "describe", "Show schema")
+        .when(kind == "top_n", F.concat(F.lit("Show top "), F.col("__limit"), F.lit(" rows")))
+    )
     return routed.withColumns({
         "column": F.when(filters, compared),
         "value": F.when(filters, number).when(kind == "top_n", F.col("__limit")),
         "sql": sql,
+        "explanation": explanation,
     }).drop("__request", "__compared", "__number", "__limit")
 
 
@@ -131,9 +139,19 @@ def resolve_requests(df: DataFrame, request: str, reply: str, table: str, full:
 
     Adds ``sql``, ``explanation``, ``is_destructive``, ``warning`` and ``is_valid``.
     """
-    replied = qualify_sql(parse_replies(df, reply), "sql", table, full).withColumnRenamed("sql", "__replied")
-    routed = route_requests(replied, request, full, compat=True)
-    return routed.withColumn("sql", F.coalesce("__replied", "sql")).drop("__replied", "intent", "column", "value")
+    answer = ["sql", "explanation", "is_destructive", "warning", "is_valid"]
+    replied = qualify_sql(parse_replies(df, reply), "sql", table, full)
+    held = replied.select(*map(col, df.columns), F.struct(*answer).alias("__reply"))
+    routed = route_requests(held, request, full, compat=True)
+    valid = F.col("__reply.is_valid")
+    return routed.select(
+        *map(col, df.columns),
+        F.coalesce("__reply.sql", "sql").alias("sql"),
+        F.when(valid, F.coalesce("__reply.explanation", F.lit(""))).otherwise(F.col("explanation")).alias("explanation"),
+        (valid & F.col("__reply.is_destructive")).alias("is_destructive"),
+        F.when(valid, F.coalesce("__reply.warning", F.lit(""))).otherwise("").alias("warning"),
+        valid.alias("is_valid"),
+    )
 
 
 def last_turns(df: DataFrame, conversation: str, order_by: str, n: int = 4) -> DataFrame:

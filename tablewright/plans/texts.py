@@ -36,7 +36,10 @@ def _route_oracle(compat: bool) -> str:
           'SELECT snapshot_id,committed_at,operation FROM {_TABLE}.snapshots ORDER BY committed_at DESC'
         when 'row_count' then 'SELECT COUNT(*) as total_rows FROM {_TABLE}'
         when 'describe' then 'DESCRIBE TABLE {_TABLE}'
-        when 'top_n' then 'SELECT * FROM {_TABLE} LIMIT ' || n end as sql
+        when 'top_n' then 'SELECT * FROM {_TABLE} LIMIT ' || n end as sql,
+      case intent when 'fiscal_after' then 'Year above ' || v when 'where_above' then c || ' > ' || v
+        when 'snapshots' then 'Show snapshots' when 'row_count' then 'Count rows' when 'describe' then 'Show schema'
+        when 'top_n' then 'Show top ' || n || ' rows' end as explanation
     from r"""
 
 
@@ -73,8 +76,10 @@ def qualify_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("resolve_requests", f"""
     with routed as ({_route_oracle(compat=True)}), parsed as ({_PARSED} select * from p)
-    select event_id, coalesce(replace(p.sql, 'events', '{_TABLE}'), r.sql) as sql, explanation, is_destructive, warning,
-      p.sql is not null as is_valid
+    select event_id, coalesce(replace(p.sql, 'events', '{_TABLE}'), r.sql) as sql,
+      case when p.sql is null then r.explanation else p.explanation end as explanation,
+      p.sql is not null and is_destructive as is_destructive,
+      case when p.sql is null then '' else p.warning end as warning, p.sql is not null as is_valid
     from routed r join parsed p using (event_id)""")
 def resolve_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     resolved = textjobs.resolve_requests(DIALOGUES.frame(spark, sf_dir), "request", "reply", "events", _TABLE)

@@ -88,9 +88,10 @@ def test_rules_keep_file_order(spark, tmp_path):
 def test_requests_without_a_valid_reply_are_routed(spark):
     df = spark.createDataFrame([("top 5", '{"sql": "select * from t", "warning": "w"}'), ("top 5", "no idea")],
                                "request string, reply string")
-    found = [(r["sql"], r["warning"], r["is_valid"])
+    found = [(r["sql"], r["explanation"], r["warning"], r["is_valid"])
              for r in textjobs.resolve_requests(df, "request", "reply", "t", "c.d.t").collect()]
-    assert found == [("select * from c.d.t", "w", True), ("SELECT * FROM c.d.t LIMIT 5", None, False)]
+    assert found == [("select * from c.d.t", "", "w", True),
+                     ("SELECT * FROM c.d.t LIMIT 5", "Show top 5 rows", "", False)]
 
 
 def test_run_status(spark):
