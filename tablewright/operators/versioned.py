@@ -114,6 +114,8 @@ def _read(spark: SparkSession, table: str, schema: T.StructType, paths: list[str
 def _write(df: DataFrame, table: str, snapshot_id: int, partition_by: list[str]) -> tuple[list[str], int]:
     """Write one commit folder; return its data folders and the rows read back from them."""
     spark = df.sparkSession
+    if COMMIT in df.columns:
+        raise ValueError(f"a table cannot have a column {COMMIT}")
     target = f"{table}/data/{COMMIT}={snapshot_id}-{uuid.uuid4().hex[:12]}"
     writer = df
     if partition_by:

@@ -25,6 +25,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 ROWS_PER_BATCH = 5000
+# Built-in number formats that show a date or time, and the days serial dates count from.
+DATE_FORMATS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
 EPOCH_1900, EPOCH_1904 = dt.datetime(1899, 12, 30), dt.datetime(1904, 1, 1)
 
 
@@ -63,7 +65,25 @@ def _first_sheet(book: zipfile.ZipFile) -> tuple[str, dt.datetime]:
     return path, EPOCH_1904 if since_1904 else EPOCH_1900
 
 
-def _cell(cell, shared: list[str]):
+def _date_styles(book: zipfile.ZipFile) -> set[int]:
+    """Numbers of the cell styles that show a number as a date or time."""
+    if "xl/styles.xml" not in book.namelist():
+        return set()
+    root = ElementTree.fromstring(book.read("xl/styles.xml"))
+    dates = set(DATE_FORMATS)
+    for custom in root.iter(f"{MAIN}numFmt"):
+        code = re.sub(r'"[^"]*"|\[[^\]]*\]|\\.|_.', "", custom.get("formatCode", ""))
+        if re.search("[dmyhs]", code, re.IGNORECASE) and "General" not in code:
+            dates.add(int(custom.get("numFmtId")))
+    styles = root.findall(f"{MAIN}cellXfs/{MAIN}xf")
+    return {i for i, style in enumerate(styles) if int(style.get("numFmtId", 0)) in dates}
+
+
+def _moment(serial: float, epoch: dt.datetime) -> dt.datetime:
+    return epoch + dt.timedelta(milliseconds=round(serial * 86_400_000))
+
+
+def _cell(cell, shared: list[str], dates: set[int], epoch: dt.datetime):
     kind, value = cell.get("t", "n"), cell.findtext(f"{MAIN}v")
     if kind == "inlineStr":
         return _text(cell.find(f"{MAIN}is"))
@@ -73,14 +93,18 @@ def _cell(cell, shared: list[str]):
         return shared[int(value)]
     if kind == "b":
         return value == "1"
-    return value if kind in ("str", "d") else float(value) if re.search(r"[.eE]", value) else int(value)
+    if kind in ("str", "d"):
+        return value
+    if int(cell.get("s", 0)) in dates:
+        return _moment(float(value), epoch)
+    return float(value) if re.search(r"[.eE]", value) else int(value)
 
 
 def sheet_rows(content: bytes) -> Iterator[tuple[list, dt.datetime]]:
     """Rows of the first sheet as lists of values, read piece by piece."""
     with zipfile.ZipFile(io.BytesIO(content)) as book:
         path, epoch = _first_sheet(book)
-        shared = _shared_strings(book)
+        shared, dates = _shared_strings(book), _date_styles(book)
         with book.open(path) as sheet:
             for _, row in ElementTree.iterparse(sheet):
                 if row.tag != f"{MAIN}row":
@@ -90,7 +114,7 @@ def sheet_rows(content: bytes) -> Iterator[tuple[list, dt.datetime]]:
                     reference = cell.get("r")
                     index = _column_index(reference) if reference else len(values)
                     values += [None] * (index + 1 - len(values))
-                    values[index] = _cell(cell, shared)
+                    values[index] = _cell(cell, shared, dates, epoch)
                 yield values, epoch
                 row.clear()
 
@@ -101,6 +125,8 @@ def _convert(value, dtype: T.DataType, epoch: dt.datetime):
         return None
     try:
         if isinstance(dtype, T.StringType):
+            if isinstance(value, dt.datetime) and value.time() == dt.time():
+                value = value.date()
             return str(value) if not isinstance(value, bool) else str(value).lower()
         if isinstance(dtype, T.BooleanType):
             return value if isinstance(value, bool) else {"true": True, "false": False, "1": True, "0": False}.get(
@@ -111,10 +137,10 @@ def _convert(value, dtype: T.DataType, epoch: dt.datetime):
             return decimal.Decimal(str(value)).quantize(decimal.Decimal(1).scaleb(-dtype.scale))
         if isinstance(dtype, T.FractionalType):
             return float(value)
-        moment = (
-            dt.datetime.fromisoformat(value) if isinstance(value, str)
-            else epoch + dt.timedelta(milliseconds=round(float(value) * 86_400_000))
-        )
+        if isinstance(value, dt.datetime):
+            moment = value
+        else:
+            moment = dt.datetime.fromisoformat(value) if isinstance(value, str) else _moment(float(value), epoch)
         return moment.date() if isinstance(dtype, T.DateType) else moment
     except (ValueError, TypeError, OverflowError, decimal.InvalidOperation):
         return None
@@ -169,21 +195,30 @@ def _headers(files: DataFrame) -> DataFrame:
     return files.select("content").mapInPandas(first_rows, "position int, name string")
 
 
+# Types a text column may get, in order, and what all its values must look like.
+INFERRED = {
+    "int": None, "bigint": None, "double": None, "boolean": "(?i)^(true|false)$",
+    "date": r"^\d{4}-\d\d-\d\d$", "timestamp": r"^\d{4}-\d\d-\d\d([ T]\d\d:\d\d.*)?$",
+}
+
+
 def _fits(c: Column, dtype: str) -> Column:
-    return F.count_if(c.isNotNull() & c.try_cast(dtype).isNull()) == 0
+    bad = c.try_cast(dtype).isNull()
+    if INFERRED[dtype] is not None:
+        bad = bad | ~c.rlike(INFERRED[dtype])
+    return F.count_if(c.isNotNull() & bad) == 0
 
 
 def infer_types(texts: DataFrame) -> DataFrame:
-    """Give all-text columns the narrowest of int, bigint, double, boolean that fits. One scan."""
-    choices = ("int", "bigint", "double", "boolean")
-    checks = texts.agg(*[
-        F.when(F.count(col(c)) == 0, F.lit("string"))
-        .when(_fits(col(c), "int"), F.lit(choices[0])).when(_fits(col(c), "bigint"), F.lit(choices[1]))
-        .when(_fits(col(c), "double"), F.lit(choices[2])).when(_fits(col(c), "boolean"), F.lit(choices[3]))
-        .otherwise(F.lit("string")).alias(f"t{i}")
-        for i, c in enumerate(texts.columns)
-    ]).first()
-    return texts.select(*[col(c).cast(checks[i]).alias(c) for i, c in enumerate(texts.columns)])
+    """Give all-text columns the first of ``INFERRED`` that fits all values. One scan."""
+    checks = []
+    for i, name in enumerate(texts.columns):
+        choice = F.when(F.count(col(name)) == 0, "string")
+        for dtype in INFERRED:
+            choice = choice.when(_fits(col(name), dtype), dtype)
+        checks.append(choice.otherwise("string").alias(f"t{i}"))
+    types = texts.agg(*checks).first()
+    return texts.select(*[col(c).cast(types[i]).alias(c) for i, c in enumerate(texts.columns)])
 
 
 def read_xlsx(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:

@@ -24,7 +24,7 @@ MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
 REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 
 
-def workbook(path, sheet_rows, shared=(), since_1904=False, target="worksheets/first.xml"):
+def workbook(path, sheet_rows, shared=(), since_1904=False, target="worksheets/first.xml", styles=None):
     strings = "".join(f"<si>{s}</si>" for s in shared)
     properties = '<workbookPr date1904="1"/>' if since_1904 else "<workbookPr/>"
     with zipfile.ZipFile(path, "w") as book:
@@ -38,6 +38,8 @@ def workbook(path, sheet_rows, shared=(), since_1904=False, target="worksheets/f
         sheet = f'<worksheet xmlns="{MAIN}"><sheetData>{sheet_rows}</sheetData></worksheet>'
         book.writestr("xl/" + target if not target.startswith("/") else target[1:], sheet)
         book.writestr("xl/worksheets/other.xml", f'<worksheet xmlns="{MAIN}"><sheetData/></worksheet>')
+        if styles:
+            book.writestr("xl/styles.xml", styles)
         book.writestr("xl/sharedStrings.xml", f'<sst xmlns="{MAIN}">{strings}</sst>')
 
 
@@ -84,6 +86,25 @@ def test_workbook_types_are_inferred(spark, tmp_path):
     assert df.first() == (1, 3000000000, 1.5, True, "x")
 
 
+STYLES = (f'<styleSheet xmlns="{MAIN}"><numFmts><numFmt numFmtId="164" formatCode="dd/mm/yyyy hh:mm"/>'
+          '<numFmt numFmtId="165" formatCode="0.0&quot; days&quot;[Red]"/></numFmts><cellXfs><xf numFmtId="0"/>'
+          '<xf numFmtId="14"/><xf numFmtId="164"/><xf numFmtId="165"/></cellXfs></styleSheet>')
+
+
+def test_date_styles_and_yes_no(spark, tmp_path):
+    rows = ("<row>" + "".join(f'<c t="inlineStr"><is><t>{n}</t></is></c>' for n in "ABCDE") + "</row>"
+            '<row><c s="1"><v>45292</v></c><c s="2"><v>45292.25</v></c><c s="3"><v>2</v></c><c s="0"><v>45292</v></c>'
+            '<c t="inlineStr"><is><t>Yes</t></is></c></row>'
+            '<row><c/><c s="2"><v>45293</v></c></row>')
+    workbook(tmp_path / "a.xlsx", rows, styles=STYLES)
+    df = read_xlsx(spark, str(tmp_path))
+    assert df.dtypes == [("A", "date"), ("B", "timestamp"), ("C", "int"), ("D", "int"), ("E", "string")]
+    assert df.selectExpr("A", "string(B)", "C", "D", "E").collect() == [
+        (dt.date(2024, 1, 1), "2024-01-01 06:00:00", 2, 45292, "Yes"), (None, "2024-01-02 00:00:00", None, None, None)]
+    typed = read_xlsx(spark, str(tmp_path), T.StructType.fromDDL("A timestamp_ntz, B date, D date"))
+    assert typed.first() == (dt.datetime(2024, 1, 1), dt.date(2024, 1, 1), dt.date(2024, 1, 1))
+
+
 def test_decimal_cells(spark, tmp_path):
     rows = ('<row><c t="inlineStr"><is><t>v</t></is></c></row><row><c><v>150.1</v></c></row>'
             '<row><c t="inlineStr"><is><t>no</t></is></c></row>')
