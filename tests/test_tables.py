@@ -189,3 +189,18 @@ def test_stage_reads_back_what_it_wrote(spark):
     df = spark.range(10).selectExpr("id", "cast(null as date) as d")
     staged = stage(df)
     assert staged.dtypes == df.dtypes and rows(staged) == rows(df)
+
+
+class FakeSession:
+    """A session of which only the settings matter."""
+
+    def __init__(self, **settings):
+        self.conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: settings.get(key, default))})
+
+
+def test_scratch_folder():
+    shared = FakeSession(**{"spark.checkpoint.dir": "hdfs://shared/scratch/", "spark.master": "yarn"})
+    assert scratch_dir(shared).startswith("hdfs://shared/scratch/") and scratch_dir(shared) != scratch_dir(shared)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch_dir(FakeSession(**{"spark.master": "yarn"}))
+    assert "tablewright-" in scratch_dir(FakeSession(**{"spark.master": "local[2]"}))
