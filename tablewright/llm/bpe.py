@@ -16,6 +16,7 @@ import codecs
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 from functools import cache
@@ -32,11 +33,13 @@ from .shared import per_text
 
 #: The pattern that cuts a text before the merges.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: The same for texts in ASCII, without Unicode's classes.
+ASCII_PIECES = re.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+""")
 #: Characters read at once; a piece of more bytes than LONG_PIECE goes through the transducer.
 BLOCK = 65_536
 LONG_PIECE = 256
-#: Entries of a worker's cache of pieces; it is emptied when full.
-CACHED = 150_000
+#: Pieces in each of the two parts of a worker's cache: when the newer part is full, it replaces the older.
+CACHED = 250_000
 
 DIGEST_SCHEMA = T.StructType([
     T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()),
@@ -77,6 +80,9 @@ class Merges:
         self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, (left, right) in enumerate(merges):
             self.ranks.setdefault((vocab[left], vocab[right]), (rank, vocab[left + right]))
+        # a pair's rank and the token it becomes, packed
+        self.steps = {a << 32 | b: rank << 32 | token for (a, b), (rank, token) in self.ranks.items()}
+        self.none = len(self.ranks) << 32
         self.lookahead = self._lookahead()
 
     @classmethod
@@ -110,15 +116,21 @@ class Merges:
     def merge(self, piece: bytes) -> list[int]:
         """Tokens of a whole piece: the lowest rank first, of equal ranks the leftmost."""
         ids = [self.byte_ids[b] for b in piece]
-        ranks = self.ranks
         if len(ids) > 64:
             return self._merge_long(ids)
-        while len(ids) > 1:
-            found = [(ranks[p][0], i) for i, p in enumerate(zip(ids, ids[1:])) if p in ranks]
-            if not found:
+        find, none = self.steps.get, self.none
+        steps = [find(a << 32 | b, none) for a, b in zip(ids, ids[1:])]
+        while steps:
+            step = min(steps)
+            if step == none:
                 break
-            i = min(found)[1]
-            ids[i:i + 2] = [ranks[ids[i], ids[i + 1]][1]]
+            i = steps.index(step)
+            ids[i] = token = step & 0xFFFFFFFF
+            del ids[i + 1], steps[i]
+            if i < len(steps):
+                steps[i] = find(token << 32 | ids[i + 1], none)
+            if i:
+                steps[i - 1] = find(ids[i - 1] << 32 | token, none)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
@@ -168,7 +180,11 @@ class Merges:
 def pieces(text: str, block: int = BLOCK) -> Iterator[list[str]]:
     """The pieces of a text, block after block; the last two of a block wait for what follows."""
     pattern, newer = _patterns()
-    plain = text if newer is None or text.isascii() else newer.sub("͸", text)
+    plain = text
+    if text.isascii():
+        pattern = ASCII_PIECES
+    elif newer is not None and newer.search(text):
+        plain = newer.sub("\u0378", text)  # a code point of no class
     at, size = 0, block
     while at < len(text):
         whole = at + size >= len(text)
@@ -181,21 +197,22 @@ def pieces(text: str, block: int = BLOCK) -> Iterator[list[str]]:
             size *= 2
             continue
         yield found[:-2]
-        at += min(len(text) - at, size) - sum(map(len, found[-2:]))
+        at += size - sum(map(len, found[-2:]))
         size = block
 
 
 class Cached(dict):
-    """Ids of pieces seen before; a piece not seen yet goes through the merges."""
+    """Ids of pieces seen before; a piece not seen lately goes through the merges."""
 
     def __init__(self, merges: Merges):
         super().__init__()
-        self.merges = merges
+        self.merges, self.older = merges, {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = self.merges.piece_ids(piece)
+        ids = self.older.get(piece) or self.merges.piece_ids(piece)
         if len(piece) <= 32:
             if len(self) >= CACHED:
+                self.older = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
