@@ -1,6 +1,6 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax.
 
-A word is the bag of its character n-grams and itself, hashed into buckets; its vector is the mean
+A word is the bag of the n-grams of its letters (in UTF-8) and itself, hashed into buckets; its vector is the mean
 of the buckets' embeddings, a text's vector the mean of its words'. Embeddings and the softmax
 are trained together in numpy by AdaGrad with a falling rate, on a bounded sample of labelled
 texts. A misspelled word shares most n-grams with the word it stands for.
@@ -16,12 +16,12 @@ repeat; ids without labels, and labels without texts, are not learnt from.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
-import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from .shared import label_fold, labelled_sample, letter_words, per_text, unused, with_result
 
 BUCKETS = 1 << 16
-SHORTEST, LONGEST = 3, 6
+SHORTEST, LONGEST = 4, 7
 #: Bounds of the sample that is learnt from.
 TRAIN_ROWS, TRAIN_MB = 6_000, 24
 DIM, EPOCHS, BATCH, RATE, SCALE, DROP, MIN_TEXTS = 8, 9, 32, 0.5, 60.0, 0.5, 3
@@ -43,11 +43,27 @@ SCORE_SCHEMA = T.StructType([T.StructField("score", T.DoubleType())])
 Bag = tuple[np.ndarray, np.ndarray]
 
 
-def subwords(word: bytes) -> np.ndarray:
-    """Buckets of a word's n-grams, its ends marked, and of the word itself."""
-    marked = f"<{word.decode('utf-8', 'replace').lower()}>"
-    grams = {marked[i:i + n] for n in range(SHORTEST, LONGEST + 1) for i in range(len(marked) - n + 1)} | {marked}
-    return np.array([xxhash.xxh32_intdigest(g) % BUCKETS for g in grams], dtype=np.int64)
+def subwords(words: list[bytes]) -> Bag:
+    """Buckets of the words' n-grams of bytes, their ends marked, and of whole words; the word of each."""
+    sizes = np.array([len(w) + 2 for w in words])
+    marked = np.frombuffer(b"".join(b"<%b>" % w for w in words), np.uint8).astype(np.uint32)
+    owner = np.repeat(np.arange(len(words)), sizes)
+    left = np.cumsum(sizes)[owner] - np.arange(len(marked))
+    buckets = [_spread(np.array([zlib.crc32(w) for w in words], np.uint32))]
+    owners = [np.arange(len(words))]
+    rolling = marked
+    for n in range(2, LONGEST + 1):
+        rolling = rolling[:-1] * np.uint32(65_599) + marked[n - 1:]
+        if n >= SHORTEST:
+            inside = left[:len(rolling)] >= n
+            buckets.append(_spread(rolling[inside] + np.uint32(n)))
+            owners.append(owner[:len(rolling)][inside])
+    return np.concatenate(buckets), np.concatenate(owners)
+
+
+def _spread(hashes: np.ndarray) -> np.ndarray:
+    """The upper half of a product: 16 bits."""
+    return (hashes * np.uint32(2_654_435_761)) >> np.uint32(16)
 
 
 def bag(raw: bytes) -> Bag:
@@ -55,13 +71,11 @@ def bag(raw: bytes) -> Bag:
     counts = Counter(letter_words(raw))
     if not counts:
         return np.zeros(0, np.int64), np.zeros(0, np.float32)
-    n = sum(counts.values())
-    parts = [subwords(w) for w in counts]
-    sizes = np.array([len(p) for p in parts])
-    weights = np.repeat(np.array(list(counts.values())) / n / sizes, sizes)
-    total = np.bincount(np.concatenate(parts), weights, BUCKETS)
-    buckets = np.flatnonzero(total)
-    return buckets, total[buckets].astype(np.float32)
+    buckets, owners = subwords(list(counts))
+    shares = np.array(list(counts.values())) / sum(counts.values()) / np.bincount(owners)
+    total = np.bincount(buckets, shares[owners], BUCKETS)
+    found = np.flatnonzero(total)
+    return found, total[found].astype(np.float32)
 
 
 class Model(NamedTuple):
@@ -83,25 +97,33 @@ def train(bags: list[Bag], labels: np.ndarray, seed: int = 7) -> Model:
     embeddings = rng.normal(0, 0.1 / np.sqrt(DIM), (BUCKETS, DIM)).astype(np.float32)
     softmax, bias = rng.normal(0, 0.1, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
     seen, seen_softmax, seen_bias = np.full(BUCKETS, 1e-6, np.float32), np.full((DIM, 2), 1e-6), np.full(2, 1e-6)
+    slot = np.zeros(BUCKETS, np.int64)
     steps, step = EPOCHS * -(-len(rows) // BATCH), 0
     for _ in range(EPOCHS):
         order = rng.permutation(rows)
         for start in range(0, len(order), BATCH):
             rate, step = RATE * (1 - step / steps), step + 1
             batch = order[start:start + BATCH]
-            sizes = np.array([len(bags[i][0]) for i in batch])
             buckets = np.concatenate([bags[i][0] for i in batch])
-            w = np.concatenate([bags[i][1] for i in batch]) * SCALE / (1 - DROP)
-            w *= rng.random(len(w), np.float32) >= DROP
-            means = np.add.reduceat(embeddings[buckets] * w[:, None], np.cumsum(sizes) - sizes, axis=0)
+            kept = rng.random(len(buckets), np.float32) >= DROP
+            buckets = buckets[kept]
+            if not len(buckets):
+                continue
+            row = np.repeat(np.arange(len(batch)), [len(bags[i][0]) for i in batch])[kept]
+            w = np.concatenate([bags[i][1] for i in batch])[kept] * np.float32(SCALE / (1 - DROP))
+            sizes = np.bincount(row, minlength=len(batch))
+            starts = np.minimum(np.cumsum(sizes) - sizes, len(buckets) - 1)
+            means = np.add.reduceat(embeddings[buckets] * w[:, None], starts, axis=0)
+            means[sizes == 0] = 0
             logits = means @ softmax + bias
             p = np.exp(logits - logits.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             p[np.arange(len(batch)), labels[batch]] -= 1
             p /= len(batch)
             to_means, to_softmax, to_bias = p @ softmax.T, means.T @ p, p.sum(axis=0)
-            used, place = np.unique(buckets, return_inverse=True)
-            each = np.repeat(to_means, sizes, axis=0) * w[:, None]
+            used = np.flatnonzero(np.bincount(buckets, minlength=BUCKETS))
+            slot[used] = np.arange(len(used))
+            place, each = slot[buckets], to_means[row] * w[:, None]
             grad = np.stack([np.bincount(place, each[:, k], len(used)) for k in range(DIM)], axis=1)
             seen[used] += (grad**2).mean(axis=1)
             embeddings[used] -= (rate * grad / np.sqrt(seen[used])[:, None]).astype(np.float32)
@@ -114,34 +136,32 @@ def train(bags: list[Bag], labels: np.ndarray, seed: int = 7) -> Model:
     return Model(folded.astype(np.float32), float(bias[1] - bias[0]))
 
 
-class _Words(dict):
-    """The mean bucket weight of each word seen."""
-
-    def __init__(self, weights: np.ndarray):
-        super().__init__()
-        self.weights = weights
-
-    def __missing__(self, word: bytes) -> float:
-        value = float(self.weights[subwords(word)].mean())
-        if len(word) <= 64:
-            if len(self) >= CACHED:
-                self.clear()
-            self[word] = value
-        return value
-
-
 def _scorer(model: Broadcast) -> Callable[[bytes], tuple]:
     weights, bias = model.value
-    known = _Words(weights)
+    known: dict[bytes, float] = {}
 
     def one(raw: bytes) -> tuple:
         words = letter_words(raw)
-        odds = bias + (sum(map(known.__getitem__, words)) / len(words) if words else 0.0)
-        return (float(1 / (1 + np.exp(-np.clip(odds, -700, 700)))),)
+        new = [w for w in set(words) if w not in known]
+        if len(known) + len(new) > CACHED:
+            known.clear()
+            new = list(set(words))
+        if new:
+            buckets, owners = subwords(new)
+            known.update(zip(new, (np.bincount(owners, weights[buckets]) / np.bincount(owners)).tolist()))
+        return (_odds(bias + _mean(words, known)),)
 
     return one
 
 
+def _mean(words: list[bytes], weights: dict[bytes, float]) -> float:
+    return sum(map(weights.__getitem__, words)) / len(words) if words else 0.0
+
+
+def _odds(x: float) -> float:
+    return float(1 / (1 + np.exp(-np.clip(x, -700, 700))))
+
+
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "toxic", rows: int = TRAIN_ROWS, megabytes: int = TRAIN_MB) -> Broadcast:
     """A model learnt from the labels that ``allowed`` lets through."""
     sample = labelled_sample(docs, labels, label, allowed, rows, megabytes)
