@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, licenses, quality, toxicity
+from . import bpe, decontamination, licenses, quality, simhash, toxicity
 from .oracles import ORACLES
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -24,6 +24,10 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_read(spark, sf_dir, "documents"))
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(_read(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -40,4 +44,4 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_held_out(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_licenses, op3_bpe, op4_decontamination, op5_toxicity, op6_quality)}
+QUERIES = {f.__name__: f for f in (op1_licenses, op2_simhash, op3_bpe, op4_decontamination, op5_toxicity, op6_quality)}
