@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, licenses, quality, simhash, toxicity
+from . import bpe, decontamination, embeddings, licenses, quality, simhash, toxicity
 from .oracles import ORACLES
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -44,4 +44,8 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_held_out(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_licenses, op2_simhash, op3_bpe, op4_decontamination, op5_toxicity, op6_quality)}
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_licenses, op2_simhash, op3_bpe, op4_decontamination, op5_toxicity, op6_quality, op9_embeddings)}
