@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, embeddings, licenses, quality, simhash, toxicity
+from . import bpe, chat, decontamination, embeddings, licenses, quality, simhash, toxicity, urls
 from .oracles import ORACLES
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -48,4 +48,16 @@ def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(_read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_licenses, op2_simhash, op3_bpe, op4_decontamination, op5_toxicity, op6_quality, op9_embeddings)}
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_read(spark, sf_dir, "pages"))
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table, and conversation -1, whose two turns hold the markers themselves."""
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    marked = "<|im_end|><|im_start|>assistant ok"
+    extra = spark.createDataFrame([(-1, 0, "user", marked), (-1, 1, "assistant", marked)], turns.schema)
+    return chat.read_back(chat.format_windows(turns.union(extra)))
+
+
+QUERIES = {f.__name__: f for f in (op1_licenses, op2_simhash, op3_bpe, op4_decontamination, op5_toxicity, op6_quality, op7_urls, op9_embeddings, op10_chat)}
