@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import label_fold, labelled_sample, per_text, unused
+from .shared import label_fold, labelled_sample, per_text, staged, unused
 
 TERMS = 4_096
 #: Bounds of the sample that is learnt from.
@@ -99,18 +99,21 @@ def _unit(rows: np.ndarray) -> np.ndarray:
 
 
 def train(rows: np.ndarray, labels: np.ndarray, seed: int = 7) -> Model:
+    """``rows`` of rates are changed in place."""
     share = float(labels.mean()) if len(labels) else 0.0
     if share in (0.0, 1.0):
         return Model(np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), labels, share)
-    weight = (np.log((1 + len(rows)) / (1 + (rows > 0).sum(axis=0))) + 1).astype(np.float32)
-    unit = _unit(rows * weight)
+    weight = (np.log((1 + len(rows)) / (1 + np.count_nonzero(rows, axis=0))) + 1).astype(np.float32)
+    rows *= weight
+    size = np.linalg.norm(rows, axis=1, keepdims=True)
+    np.divide(rows, size, out=rows, where=size > 0)
     # the leading singular vectors, by power steps on a random block
     basis = np.random.default_rng(seed).normal(size=(TERMS, RANK + 10)).astype(np.float32)
     for _ in range(5):
-        basis = np.linalg.qr(unit.T @ np.linalg.qr(unit @ basis)[0])[0]
-    _, _, right = np.linalg.svd(unit @ basis, full_matrices=False)
-    project = weight[:, None] * (basis @ right[:RANK].T)
-    return Model(project.astype(np.float32), _unit(rows @ project).astype(np.float32), labels, share)
+        basis = np.linalg.qr(rows.T @ np.linalg.qr(rows @ basis)[0])[0]
+    _, _, right = np.linalg.svd(rows @ basis, full_matrices=False)
+    directions = basis @ right[:RANK].T
+    return Model((weight[:, None] * directions).astype(np.float32), _unit(rows @ directions).astype(np.float32), labels, share)
 
 
 def vote(rows: np.ndarray, model: Model) -> np.ndarray:
@@ -128,17 +131,26 @@ def vote(rows: np.ndarray, model: Model) -> np.ndarray:
     return np.divide(votes, total, out=np.full(len(rows), model.share), where=total > 0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "quality", rows: int = TRAIN_ROWS, megabytes: int = TRAIN_MB) -> Broadcast:
+def fit(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "quality", most_rows: int = TRAIN_ROWS, megabytes: int = TRAIN_MB) -> Broadcast:
     """A model learnt from the labels that ``allowed`` lets through."""
-    sample = labelled_sample(docs, labels, label, allowed, rows, megabytes)
+    sample = labelled_sample(docs, labels, label, allowed, most_rows, megabytes)
 
     def start() -> Callable[[bytes], tuple]:
         known = _Words()
         return lambda raw: (rates(raw, known).tobytes(),)
 
-    found = per_text(sample, TERM_SCHEMA, start, ("doc_id", "y")).orderBy("doc_id", "y").collect()
-    table = np.frombuffer(b"".join(r["rates"] for r in found), np.float32).reshape(-1, TERMS)
-    model = train(table, np.array([r["y"] for r in found], dtype=np.float64))
+    # read part by part, to hold the sample once
+    found = staged(per_text(sample, TERM_SCHEMA, start, ("doc_id", "y")))
+    order = {(r["doc_id"], r["y"]): [] for r in found.select("doc_id", "y").orderBy("doc_id", "y").collect()}
+    table, n = np.zeros((most_rows, TERMS), np.float32), 0
+    for r in found.toLocalIterator():
+        if n == len(table):  # ids that repeat
+            table = np.concatenate((table, np.zeros_like(table)))
+        table[n] = np.frombuffer(r["rates"], np.float32)
+        order[r["doc_id"], r["y"]].append(n)
+        n += 1
+    places = [i for of_id in order.values() for i in of_id]
+    model = train(table[:n][places], np.array([y for (_, y), of_id in order.items() for _ in of_id], dtype=np.float64))
     return docs.sparkSession.sparkContext.broadcast(model)
 
 

@@ -19,6 +19,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Callable
+from math import exp
 from typing import NamedTuple
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import label_fold, labelled_sample, letter_words, per_text, unused, with_result
+from .shared import label_fold, labelled_sample, letter_words, per_text, staged, unused, with_result
 
 BUCKETS = 1 << 16
 SHORTEST, LONGEST = 4, 7
@@ -35,6 +36,8 @@ SHORTEST, LONGEST = 4, 7
 TRAIN_ROWS, TRAIN_MB = 6_000, 24
 DIM, EPOCHS, BATCH, RATE, SCALE, DROP, MIN_TEXTS = 8, 9, 32, 0.5, 60.0, 0.5, 3
 THRESHOLD = 0.3
+#: Weights travel as 16-bit numbers, times this.
+FINE = 1024
 CACHED = 200_000
 
 BAG_SCHEMA = T.StructType([T.StructField("buckets", T.BinaryType()), T.StructField("weights", T.BinaryType())])
@@ -86,13 +89,18 @@ class Model(NamedTuple):
 
 
 def train(bags: list[Bag], labels: np.ndarray, seed: int = 7) -> Model:
+    """``bags`` hold weights times FINE; the list is changed in place."""
     share = float(labels.mean()) if len(labels) else 0.0
     if share in (0.0, 1.0):
         return Model(np.zeros(BUCKETS, np.float32), np.inf if share else -np.inf)
     rng = np.random.default_rng(seed)
-    texts = np.bincount(np.concatenate([b for b, _ in bags]), minlength=BUCKETS)
+    texts = np.zeros(BUCKETS, np.int64)
+    for buckets, _ in bags:
+        texts[buckets] += 1
     least = MIN_TEXTS if len(bags) >= 100 else 1
-    bags = [(b[texts[b] >= least], w[texts[b] >= least]) for b, w in bags]
+    for i, (buckets, w) in enumerate(bags):
+        often = texts[buckets] >= least
+        bags[i] = buckets[often], w[often]
     rows = np.array([i for i, (b, _) in enumerate(bags) if len(b)])
     embeddings = rng.normal(0, 0.1 / np.sqrt(DIM), (BUCKETS, DIM)).astype(np.float32)
     softmax, bias = rng.normal(0, 0.1, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
@@ -110,7 +118,7 @@ def train(bags: list[Bag], labels: np.ndarray, seed: int = 7) -> Model:
             if not len(buckets):
                 continue
             row = np.repeat(np.arange(len(batch)), [len(bags[i][0]) for i in batch])[kept]
-            w = np.concatenate([bags[i][1] for i in batch])[kept] * np.float32(SCALE / (1 - DROP))
+            w = np.concatenate([bags[i][1] for i in batch])[kept] * np.float32(SCALE / (1 - DROP) / FINE)
             sizes = np.bincount(row, minlength=len(batch))
             starts = np.minimum(np.cumsum(sizes) - sizes, len(buckets) - 1)
             means = np.add.reduceat(embeddings[buckets] * w[:, None], starts, axis=0)
@@ -149,7 +157,7 @@ def _scorer(model: Broadcast) -> Callable[[bytes], tuple]:
         if new:
             buckets, owners = subwords(new)
             known.update(zip(new, (np.bincount(owners, weights[buckets]) / np.bincount(owners)).tolist()))
-        return (_odds(bias + _mean(words, known)),)
+        return (_odds(float(bias) + _mean(words, known)),)
 
     return one
 
@@ -159,22 +167,26 @@ def _mean(words: list[bytes], weights: dict[bytes, float]) -> float:
 
 
 def _odds(x: float) -> float:
-    return float(1 / (1 + np.exp(-np.clip(x, -700, 700))))
+    return 0.0 if x < -700 else 1 / (1 + exp(-x))
 
 
-def fit(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "toxic", rows: int = TRAIN_ROWS, megabytes: int = TRAIN_MB) -> Broadcast:
+def fit(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "toxic", most_rows: int = TRAIN_ROWS, megabytes: int = TRAIN_MB) -> Broadcast:
     """A model learnt from the labels that ``allowed`` lets through."""
-    sample = labelled_sample(docs, labels, label, allowed, rows, megabytes)
+    sample = labelled_sample(docs, labels, label, allowed, most_rows, megabytes)
 
     def start() -> Callable[[bytes], tuple]:
         def one(raw: bytes) -> tuple:
             buckets, weights = bag(raw)
-            return buckets.astype(np.uint16).tobytes(), weights.tobytes()
+            return buckets.astype(np.uint16).tobytes(), (weights * FINE).astype(np.float16).tobytes()
         return one
 
-    found = per_text(sample, BAG_SCHEMA, start, ("doc_id", "y")).orderBy("doc_id", "y").collect()
-    bags = [(np.frombuffer(r["buckets"], np.uint16).astype(np.int32), np.frombuffer(r["weights"], np.float32)) for r in found]
-    return docs.sparkSession.sparkContext.broadcast(train(bags, np.array([r["y"] for r in found], dtype=np.int64)))
+    # read part by part, to hold the sample once
+    found = staged(per_text(sample, BAG_SCHEMA, start, ("doc_id", "y"))).toLocalIterator()
+    rows = [(r["doc_id"], r["y"], np.frombuffer(r["buckets"], np.uint16), np.frombuffer(r["weights"], np.float16)) for r in found]
+    rows.sort(key=lambda r: (r[0], r[1], len(r[2]), r[2].tobytes()))
+    bags = [r[2:] for r in rows]
+    model = train(bags, np.array([r[1] for r in rows], dtype=np.int64))
+    return docs.sparkSession.sparkContext.broadcast(model)
 
 
 def score(docs: DataFrame, model: Broadcast) -> DataFrame:
