@@ -254,18 +254,21 @@ def _worker(merges: Broadcast) -> Encoder:
     return value.encoder
 
 
-def _digests(merges: Broadcast) -> Callable[[bytes], tuple]:
+def _digests(merges: Broadcast, with_ids: bool) -> Callable[[bytes], tuple]:
     encoder = _worker(merges)
     decimal, bytes_of = merges.value.decimal, merges.value.bytes_of
 
     def one(raw: bytes) -> tuple:
-        n, of_ids, of_text, decoder = 0, hashlib.sha256(), hashlib.sha256(), Decoder(bytes_of)
+        n, of_ids, of_text, decoder, kept = 0, hashlib.sha256(), hashlib.sha256(), Decoder(bytes_of), []
         for ids in encoder.encode(raw.decode("utf-8", "replace")):
             of_ids.update((b"," if n and ids else b"") + b",".join(map(decimal.__getitem__, ids)))
             of_text.update(decoder.push(ids).encode())
             n += len(ids)
+            if with_ids:
+                kept += ids
         of_text.update(decoder.push((), True).encode())
-        return n, of_ids.hexdigest(), of_text.hexdigest()
+        digests = n, of_ids.hexdigest(), of_text.hexdigest()
+        return (*digests, kept) if with_ids else digests
 
     return one
 
@@ -278,14 +281,15 @@ def broadcast_merges(spark: SparkSession, path: str, most: int = 500_000) -> Bro
     return spark.sparkContext.broadcast(merges)
 
 
-def token_digests(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each whole text.
+def token_digests(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each whole text, and the ids if asked for.
 
     The first digest is over the decimal ids joined by commas, the second over the text that the
     ids decode to.
     """
     merges = broadcast_merges(docs.sparkSession, path)
-    return per_text(docs, DIGEST_SCHEMA, lambda: _digests(merges))
+    schema = T.StructType([*DIGEST_SCHEMA, *IDS_SCHEMA]) if with_ids else DIGEST_SCHEMA
+    return per_text(docs, schema, lambda: _digests(merges, with_ids))
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontamination, embeddings, licenses, quality, simhash, toxicity, urls
+from . import bpe, chat, decontamination, embeddings, language_model, licenses, quality, simhash, toxicity, urls
 from .oracles import ORACLES
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -44,6 +44,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_held_out(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_held_out(_read(spark, sf_dir, "documents"))
+
+
 def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(_read(spark, sf_dir, "embeddings"))
 
@@ -60,4 +64,4 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_windows(turns.union(extra)))
 
 
-QUERIES = {f.__name__: f for f in (op1_licenses, op2_simhash, op3_bpe, op4_decontamination, op5_toxicity, op6_quality, op7_urls, op9_embeddings, op10_chat)}
+QUERIES = {f.__name__: f for f in (op1_licenses, op2_simhash, op3_bpe, op4_decontamination, op5_toxicity, op6_quality, op7_urls, op8_language_model, op9_embeddings, op10_chat)}
