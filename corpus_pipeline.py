@@ -4,17 +4,59 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tablewright.llm import bpe, decontamination, quality, simhash, toxicity
 from tablewright.llm import queries as registered
+from tablewright.llm.shared import staged
 
-STAGES = []
-#: Toxicity and quality come from trained models, fingerprints and ids from outside of SQL.
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model doesn't reject."""
+    return toxicity.reject_toxic(docs, _table(spark, sf_dir, "labels"))
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality model doesn't reject."""
+    return quality.keep_good(docs, _table(spark, sf_dir, "labels"))
+
+
+def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near-duplicates."""
+    return simhash.keep_one(docs)
+
+
+def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the benchmark passages of contaminated ones; those that are nothing else go."""
+    return decontamination.decontaminate(docs, _table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids) of each document."""
+    return bpe.token_digests(docs, registered.tokenizer_path(), with_ids=True)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("quality", keep_good),
+    ("simhash", keep_one_of_group),
+    ("decontamination", cut_benchmark),
+    ("bpe", encode),
+]
+
+#: Trained models, XXH64 fingerprints and merges can't be said in SQL; tests compare with a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after the other over the table ``documents``."""
-    raise NotImplementedError
+    """The stages one after the other over the table ``documents``, each written and read again."""
+    docs = _table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = staged(stage(spark, docs, sf_dir))
+    return docs
 
 
-QUERIES = dict(registered.QUERIES)
+QUERIES = registered.QUERIES | {"pipeline": run}
 ORACLES = dict(registered.ORACLES)
