@@ -1,25 +1,24 @@
-"""Intermediate results written to the shared folder of the cluster."""
+"""Intermediate results in a folder that all executors share."""
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A fresh path under ``spark.checkpoint.dir``.
+    """A fresh path under ``spark.checkpoint.dir``, or under the warehouse where that is unset.
 
-    Where that is unset, a local session (tests) gets a temporary folder; a
-    cluster gets an error, since its executors share no local folder.
+    Both are shared by all executors. What lies there goes when the driver's Python ends.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="tablewright-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/.scratch"
+    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    atexit.register(_remove_at_exit, spark, path)
+    return path
 
 
 def hadoop_path(spark: SparkSession, path: str):
@@ -28,6 +27,17 @@ def hadoop_path(spark: SparkSession, path: str):
     return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that a job of this library has written."""
+    target, file_system = hadoop_path(spark, path)
+    file_system.delete(target, True)
+
+
+def _remove_at_exit(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        remove(spark, path)
+
+
 def stage(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write once as Parquet and read back.
 
@@ -38,3 +48,13 @@ def stage(df: DataFrame, path: str | None = None) -> DataFrame:
     path = path or scratch_dir(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def staged(df: DataFrame) -> Iterator[DataFrame]:
+    """The staged rows, for the time of a block that writes its own result."""
+    path = scratch_dir(df.sparkSession)
+    try:
+        yield stage(df, path)
+    finally:
+        remove(df.sparkSession, path)

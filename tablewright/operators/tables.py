@@ -1,21 +1,27 @@
-"""Writing, reading and refreshing stored tables.
+"""Writing, reading and refreshing tables of a catalog.
 
-A table is named by a path (``/lake/sales/orders``), then it is versioned Parquet,
-or by a catalog identifier (``lake.sales.orders``), then the catalog's own table
-format does the work. All functions take either.
+Tables have identifiers (``sales.orders``, ``lake.sales.orders``). In the session catalog they are
+Parquet tables, written with Spark's own writers, their partition columns last; a V2 catalog with a table format does the same
+with its own commands, and alone has snapshots and conflict checks between writers. With Parquet
+tables two writers of one table must take turns.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
+from hashlib import sha256
+from itertools import islice
 
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import col
-from . import catalog, versioned
-from .profiling import distinct_estimates, profile_types
+from .staging import staged
 
 # Column groups that never partition a table, and what counts as a category.
 METADATA_COLUMNS = ("_ingested_at", "_source")
@@ -25,48 +31,110 @@ SHOWN_SNAPSHOTS = 5
 _MOMENTS = (T.TimestampType, T.TimestampNTZType)
 
 
-def _backend(table: str):
-    return versioned if "/" in table else catalog
+def quoted(identifier: str) -> str:
+    return ".".join(f"`{part}`" for part in identifier.split("."))
 
 
-def ensure_namespace(spark: SparkSession, namespace: str) -> None:
-    """Create the namespace if it is absent (K8)."""
-    _backend(namespace).ensure_namespace(spark, namespace)
+def has_format(spark: SparkSession, table: str) -> bool:
+    """Whether a table format of a V2 catalog stores the table, not the session catalog."""
+    parts = table.split(".")
+    catalog = parts[0] if len(parts) > 2 else spark.catalog.currentCatalog()
+    return catalog != "spark_catalog"
 
 
-def create_table(spark: SparkSession, table: str, schema: T.StructType, partition_by: list[str] = ()) -> None:
-    """Create an empty table with these columns if it is absent (K3)."""
-    _backend(table).create_table(spark, table, schema, list(partition_by))
+def ensure_namespace(spark: SparkSession, namespace: str, location: str | None = None) -> None:
+    """Create the namespace if it is absent (K8)."""
+    place = f" LOCATION '{location}'" if location else ""
+    spark.sql(f"CREATE NAMESPACE IF NOT EXISTS {quoted(namespace)}{place}")
 
 
 def table_exists(spark: SparkSession, table: str) -> bool:
     """Whether the table has been created."""
-    return _backend(table).exists(spark, table)
+    return spark.catalog.tableExists(table)
 
 
-def create_or_replace(df: DataFrame, table: str, partition_by: list[str] = ()) -> None:
-    """Create the table or replace its rows and columns; history stays (K4)."""
-    _backend(table).create_or_replace(df, table, list(partition_by))
+def partition_columns(spark: SparkSession, table: str) -> list[str]:
+    """The columns whose values name the folders of a Parquet table."""
+    return [c.name for c in spark.catalog.listColumns(table) if c.isPartition]
 
 
-def overwrite_partitions(df: DataFrame, table: str) -> None:
-    """Replace the partitions that occur in ``df``, or all of an unpartitioned table (K5)."""
-    _backend(table).overwrite_partitions(df, table)
+def _spread(df: DataFrame, partition_by: list[str]) -> DataFrame:
+    """Rows of a partition together; adaptive execution splits hot partitions and merges small ones."""
+    return df.hint("rebalance", *[col(p) for p in partition_by]) if partition_by else df
+
+
+def create_table(spark: SparkSession, table: str, schema: T.StructType, partition_by: list[str] = ()) -> None:
+    """Create an empty table with these columns if it is absent (K3)."""
+    if not table_exists(spark, table):
+        writer = spark.createDataFrame([], schema).writeTo(table).using("parquet")
+        (writer.partitionedBy(*map(col, partition_by)) if partition_by else writer).create()
+
+
+def create_or_replace(df: DataFrame, table: str, partition_by: list[str] = ()) -> None:
+    """Create the table or replace its rows and columns (K4); ``df`` may read the table itself."""
+    spark, partition_by = df.sparkSession, list(partition_by)
+    if has_format(spark, table):
+        writer = df.writeTo(table)
+        (writer.partitionedBy(*map(col, partition_by)) if partition_by else writer).createOrReplace()
+        return
+    with staged(df) as rows:
+        _spread(rows, partition_by).write.mode("overwrite").format("parquet").partitionBy(*partition_by).saveAsTable(table)
 
 
 def replace_ctas(df: DataFrame, table: str, partition_col: str | None = None) -> None:
-    """Drop the table with its history and create it from ``df`` (K6)."""
-    _backend(table).replace_ctas(df, table, [partition_col] if partition_col else [])
+    """Drop the table and create it from ``df`` (K6); ``df`` may read the table itself."""
+    partition_by = [partition_col] if partition_col else []
+    with staged(df) as rows:
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {quoted(table)}")
+        _spread(rows, partition_by).write.partitionBy(*partition_by).saveAsTable(table)
+
+
+def conformed(df: DataFrame, table: str) -> DataFrame:
+    """Columns in the order and types of the table; other columns raise."""
+    fields = read_table(df.sparkSession, table).schema.fields
+    missing = [f.name for f in fields if f.name not in df.columns]
+    extra = [n for n in df.columns if n not in {f.name for f in fields}]
+    if missing or extra:
+        raise ValueError(f"columns differ from the table: missing {missing}, extra {extra}")
+    return df.select(*[col(f.name).cast(f.dataType).alias(f.name) for f in fields])
 
 
 def append(df: DataFrame, table: str) -> None:
     """Add rows to an existing table (K7)."""
-    _backend(table).append(df, table)
+    rows = conformed(df, table)
+    if has_format(df.sparkSession, table):
+        rows.writeTo(table).append()
+    else:
+        _spread(rows, partition_columns(df.sparkSession, table)).write.insertInto(table)
+
+
+def overwrite_partitions(df: DataFrame, table: str) -> None:
+    """Replace the partitions that occur in ``df``, or all of an unpartitioned table (K5).
+
+    ``df`` must not read the table itself.
+    """
+    rows = conformed(df, table)
+    if has_format(df.sparkSession, table):
+        rows.writeTo(table).overwritePartitions()
+        return
+    with _dynamic_overwrite(df.sparkSession):
+        _spread(rows, partition_columns(df.sparkSession, table)).write.mode("overwrite").insertInto(table)
+
+
+@contextmanager
+def _dynamic_overwrite(spark: SparkSession) -> Iterator[None]:
+    key = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "dynamic")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def read_table(spark: SparkSession, table: str) -> DataFrame:
-    """The current version."""
-    return _backend(table).read_table(spark, table)
+    """The current rows."""
+    return spark.table(table)
 
 
 def write_staging(df: DataFrame, root: str, table: str) -> str:
@@ -77,65 +145,99 @@ def write_staging(df: DataFrame, root: str, table: str) -> str:
 
 
 def verify_count(spark: SparkSession, table: str) -> int:
-    """Rows read back from the stored table (K10), from file footers where the format has them."""
+    """Rows of the stored table (K10), from file footers where the format has them."""
     return read_table(spark, table).count()
 
 
-def snapshots(spark: SparkSession, table: str, limit: int | None = None) -> DataFrame:
-    """Snapshots, newest first, with the rows each added (M1)."""
-    log = _backend(table).snapshots(spark, table).withColumn(
-        "added_records", F.try_element_at("summary", F.lit("added-records")).cast("bigint"))
-    newest = log.orderBy(F.col("committed_at").desc(), F.col("snapshot_id").desc())
+def newest_snapshots(log: DataFrame, limit: int | None = None) -> DataFrame:
+    """Snapshots (snapshot_id, committed_at, operation, summary), newest first, with the rows each added (M1)."""
+    added = F.try_element_at("summary", F.lit("added-records")).cast("bigint")
+    newest = log.withColumn("added_records", added).orderBy(F.col("committed_at").desc(), F.col("snapshot_id").desc())
     return newest if limit is None else newest.limit(limit)
 
 
+def snapshots(spark: SparkSession, table: str, limit: int | None = None) -> DataFrame:
+    """Snapshots of a table whose format keeps them (M1); others raise."""
+    if not has_format(spark, table):
+        raise ValueError(f"{table} has no snapshots: the session catalog keeps none")
+    return newest_snapshots(spark.table(f"{table}.snapshots").select("snapshot_id", "committed_at", "operation", "summary"), limit)
+
+
 def describe(spark: SparkSession, table: str) -> DataFrame:
-    """Columns as ``(name, type)`` in order; no rows if the table cannot be read (M2)."""
-    columns = _backend(table).describe(spark, table)
+    """Columns as ``(position, name, type)`` in order; no rows if the table cannot be read (M2)."""
+    try:
+        fields = read_table(spark, table).schema.fields
+    except AnalysisException:
+        fields = []
     return spark.createDataFrame(
-        [(i, name, dtype) for i, (name, dtype) in enumerate(columns)], "position int, name string, type string")
+        [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(fields)], "position int, name string, type string")
 
 
 def delete_where(spark: SparkSession, table: str, condition: str, confirm: bool = False) -> DataFrame | None:
     """Rows a delete would remove; with ``confirm`` remove them.
 
-    A row goes only if the condition is true: a condition that is null keeps it.
+    A row goes only if the condition is true: a condition that is null keeps it. Only partitions
+    that hold such a row are written again.
     """
     if not confirm:
         return read_table(spark, table).filter(condition)
-    if _backend(table) is versioned:
-        versioned.delete_where(spark, table, F.expr(condition))
+    if has_format(spark, table):
+        spark.sql(f"DELETE FROM {quoted(table)} WHERE {condition}")
     else:
-        catalog.delete_where(spark, table, condition)
+        hit = F.coalesce(F.expr(condition), F.lit(False))
+        _rewrite(spark, table, read_table(spark, table).filter(hit), lambda touched: touched.filter(~hit))
     return None
 
 
 def merge(df: DataFrame, table: str, key: str) -> None:
-    """Store rows by key: replace equal keys, insert new ones (K13). One row per key in ``df``."""
-    if _backend(table) is catalog:
-        catalog.merge(df, table, key)
-        return
-    current = read_table(df.sparkSession, table)
-    kept = current.join(df.select(col(key)), key, "left_anti").select(*map(col, current.columns))
-    overwrite_all(kept.unionByName(df), table)
-
-
-def overwrite_all(df: DataFrame, table: str) -> None:
-    """New version with exactly these rows, in the partitioning the table has."""
-    create_or_replace(df, table, partition_by=_partition_columns(df.sparkSession, table))
+    """Store rows by key: replace equal keys, insert new ones (K13). A key that repeats in ``df`` raises.
 
-
-def _partition_columns(spark: SparkSession, table: str) -> list[str]:
-    return list(versioned._require_head(spark, table)["partition_by"])
+    Only partitions that lose or gain a row are written again.
+    """
+    spark = df.sparkSession
+    with staged(conformed(df, table)) as updates:
+        twice = updates.groupBy(col(key)).count().filter("count > 1").first()
+        if twice is not None:
+            raise ValueError(f"the key {twice[0]!r} repeats in the rows to merge")
+        if has_format(spark, table):
+            (updates.alias("s").mergeInto(table, F.expr(f"{quoted(table)}.`{key}` = s.`{key}`"))
+             .whenMatched().updateAll().whenNotMatched().insertAll().merge())
+            return
+        keys, current = updates.select(col(key)), read_table(spark, table)
+        replaced = current.join(keys, key, "left_semi").select(*map(col, current.columns))
+        _rewrite(spark, table, replaced.unionByName(updates), lambda touched: touched.join(keys, key, "left_anti").select(
+            *map(col, touched.columns)).unionByName(updates))
+
+
+def _rewrite(spark: SparkSession, table: str, cause: DataFrame, change: Callable[[DataFrame], DataFrame]) -> None:
+    """Write the partitions again that hold a row of ``cause``: ``change`` makes their new rows.
+
+    Partitions left without rows are dropped.
+    """
+    by, current = partition_columns(spark, table), read_table(spark, table)
+    if not by:
+        if not cause.isEmpty():
+            with staged(change(current)) as rows:
+                overwrite_partitions(rows, table)
+        return
+    with staged(cause.select(*map(col, by)).distinct()) as places:
+        same = [current[p].eqNullSafe(places[p]) for p in by]
+        touched = current.join(places, same, "left_semi")
+        with staged(change(touched)) as rows:
+            left = rows.select(*map(col, by)).distinct()
+            emptied = places.join(left, [places[p].eqNullSafe(left[p]) for p in by], "left_anti")
+            overwrite_partitions(rows, table)
+            # a name of a partition for each, no rows
+            for row in emptied.select(*[col(p).cast("string") for p in by]).toLocalIterator():
+                spec = ", ".join(f"`{p}` = " + ("null" if v is None else "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'") for p, v in zip(by, row))
+                spark.sql(f"ALTER TABLE {quoted(table)} DROP IF EXISTS PARTITION ({spec})")
 
 
 def choose_partition(df: DataFrame) -> str | None:
     """A column to partition by (M3): the first date or timestamp column, else the
-    first string column with 2 to 100 values, else none.
+    first string column with 2 to 100 values, else none. A missing value is one of them.
 
-    One approximate scan over all string columns leaves the few that are near
-    enough to the bounds for an exact count, which has at most some hundred groups
-    per task to send.
+    One scan: a task stops noting a column's values at 101, which is enough to tell.
     """
     fields = [f for f in df.schema.fields if f.name not in METADATA_COLUMNS]
     for f in fields:
@@ -144,15 +246,19 @@ def choose_partition(df: DataFrame) -> str | None:
     texts = [f.name for f in fields if isinstance(f.dataType, T.StringType)]
     if not texts:
         return None
-    estimates = distinct_estimates(df.select(*map(col, texts))).first()
-    near = [n for i, n in enumerate(texts) if estimates[i] <= MAX_CATEGORIES * 2]
-    if not near:
-        return None
-    # A missing value is a category of its own, as in a list of distinct rows.
-    exact = df.agg(*[
-        (F.count_distinct(col(n)) + F.max(col(n).isNull().cast("int"))).alias(f"d{i}") for i, n in enumerate(near)
-    ]).first()
-    return next((n for i, n in enumerate(near) if exact[i] and MIN_CATEGORIES <= exact[i] <= MAX_CATEGORIES), None)
+
+    def some_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: list[set] = [set() for _ in texts]
+        for batch in batches:
+            for values, column in zip(seen, batch.columns):
+                if len(values) <= MAX_CATEGORIES:
+                    values.update(islice((v.as_py() for v in column.unique()), 2 * MAX_CATEGORIES))
+        rows = [(i, "" if v is None else sha256(v.encode()).hexdigest()) for i, values in enumerate(seen) for v in values]
+        yield pa.RecordBatch.from_pydict({"place": pa.array([r[0] for r in rows], pa.int32()), "value": pa.array([r[1] for r in rows], pa.string())})
+
+    noted = df.select(*map(col, texts)).mapInArrow(some_values, "place int, value string").distinct()
+    counts = {r["place"]: r["count"] for r in noted.groupBy("place").count().collect()}
+    return next((n for i, n in enumerate(texts) if MIN_CATEGORIES <= counts.get(i, 0) <= MAX_CATEGORIES), None)
 
 
 def partition_by_day(df: DataFrame, column: str) -> tuple[DataFrame, str]:
@@ -165,7 +271,7 @@ def partition_by_day(df: DataFrame, column: str) -> tuple[DataFrame, str]:
 
 @dataclass(frozen=True)
 class Written:
-    """Outcome of a write: stored rows as read back, and the newest snapshot."""
+    """Outcome of a write: rows stored, and the newest snapshot where the format keeps them."""
 
     table: str
     rows: int
@@ -183,7 +289,8 @@ def write_table(
     if mode not in ("overwrite", "append"):
         raise ValueError(f"unknown mode: {mode!r}")
     spark = df.sparkSession
-    ensure_namespace(spark, table.rstrip("/").rpartition("/" if "/" in table else ".")[0])
+    if "." in table:
+        ensure_namespace(spark, table.rpartition(".")[0])
     if mode == "append":
         append(df, table)
     else:
@@ -191,26 +298,22 @@ def write_table(
         if column:
             df, column = partition_by_day(df, column)
         replace_ctas(df, table, column)
-    newest = snapshots(spark, table, limit=1).first()
+    newest = snapshots(spark, table, limit=1).first() if has_format(spark, table) else None
     return Written(table, verify_count(spark, table), newest)
 
 
 @dataclass(frozen=True)
 class Refreshed:
-    """Outcome of a refresh: rows before and after, and the newest snapshots."""
+    """Outcome of a refresh: rows before and after, and the newest snapshots where there are any."""
 
     rows_read: int
     rows_stored: int
-    snapshots: DataFrame
-
-
-def refresh(spark: SparkSession, table: str) -> Refreshed:
-    """Read all rows and write them back as a new snapshot (K9)."""
-    before = verify_count(spark, table)
-    overwrite_partitions(read_table(spark, table), table)
-    return Refreshed(before, verify_count(spark, table), snapshots(spark, table, limit=SHOWN_SNAPSHOTS))
+    snapshots: DataFrame | None
 
 
-def schema_of(spark: SparkSession, table: str) -> DataFrame:
-    """Position, name and type of each column of a stored table."""
-    return profile_types(read_table(spark, table))
+def refresh(spark: SparkSession, table: str, shown: int | None = SHOWN_SNAPSHOTS) -> Refreshed:
+    """Read all rows and write them back (K9); with a table format, as a new snapshot."""
+    with staged(read_table(spark, table)) as rows:
+        before = rows.count()
+        overwrite_partitions(rows, table)
+    return Refreshed(before, verify_count(spark, table), snapshots(spark, table, shown) if has_format(spark, table) else None)

@@ -57,7 +57,7 @@ DIRTY_WITH_EMPTY = Derived("orders", DIRTY_ORDERS.parts + ((
     "o_orderstatus = 'P'"),))
 
 _RUN_STATE = (
-    "case when event_id % 5 = 0 then 'failed' when event_id % 5 = 1 then 'running' "
+    "case when event_id % 7 = 3 then 'scheduled' when event_id % 5 = 0 then 'failed' when event_id % 5 = 1 then 'running' "
     "when event_id % 5 = 2 then 'queued' when event_id % 5 = 3 then 'up_for_retry' else 'success' end"
 )
 _DAY = "lpad(cast(1 + event_id % 28 as varchar(2)), 2, '0')"
@@ -101,7 +101,8 @@ _REPLY = (
     "cast(event_id % 50 as varchar(20)), '\",\"explanation\":\"first rows\",\"is_destructive\":false,\"warning\":\"\"}') "
     "when event_id % 4 = 1 then concat('Sure! ```json', chr(10), "
     "'{\"sql\":\"DELETE FROM events WHERE value IS NULL\",\"explanation\":\"drop nulls\","
-    "\"is_destructive\":true,\"warning\":\"Permanently deletes rows\"}', chr(10), '``` done') "
+    "\"is_destructive\":', case when event_id % 16 = 1 then 'true' when event_id % 16 = 5 then '\"true\"' "
+    "when event_id % 16 = 9 then '1' else 'false' end, ',\"warning\":\"These rows cannot be brought back\"}', chr(10), '``` done') "
     "when event_id % 4 = 2 then 'I cannot answer that.' "
     "else '{\"explanation\":\"no sql key\"}' end as reply"
 )
@@ -111,24 +112,13 @@ REQUESTS = Derived("events", ((("event_id", _REQUEST), None),))
 REPLIES = Derived("events", ((("event_id", _REPLY), None),))
 DIALOGUES = Derived("events", ((("event_id", _REQUEST, _REPLY), None),))
 
-#: Players with clubs, ratings, a decimal value and a fiscal season.
-PLAYERS = Derived("customer", ((
-    ("cast(c_custkey as int) as player_id",
-     "concat('Player_', cast(c_custkey as varchar(20))) as player_name",
-     "cast(18 + c_custkey % 20 as int) as age",
-     "case when c_nationkey % 3 = 0 then 'Spain' when c_nationkey % 3 = 1 then 'Brazil' else 'Japan' end as nationality",
-     "c_mktsegment as club",
-     "case when c_custkey % 3 = 0 then 'CAM' when c_custkey % 3 = 1 then 'GK' else 'ST' end as position",
-     "cast(50 + c_custkey % 45 as int) as overall_rating",
-     "cast(55 + c_custkey % 40 as int) as potential_rating",
-     "cast(c_custkey % 38 as int) as matches_played",
-     "cast(c_custkey % 31 as int) as goals",
-     "cast(c_custkey % 17 as int) as assists",
-     "cast((c_custkey % 38) * 90 as int) as minutes_played",
-     "cast(c_acctbal as decimal(10,2)) as market_value_million_eur",
-     "cast(c_custkey % 6 as int) as contract_years_left",
-     "case when c_custkey % 4 = 0 then 'Yes' else 'No' end as injury_prone",
-     "case when c_custkey % 5 = 0 then 'High' else 'Low' end as transfer_risk_level",
+#: Customers with a decimal balance, a tier, visits and a fiscal season.
+ACCOUNTS = Derived("customer", ((
+    ("cast(c_custkey as int) as c_custkey", "c_name", "cast(c_nationkey as int) as c_nationkey", "c_mktsegment",
+     "cast(c_acctbal as decimal(10,2)) as balance",
+     "case when c_nationkey % 3 = 0 then 'north' when c_nationkey % 3 = 1 then 'south' else 'east' end as area",
+     "case when c_custkey % 3 = 0 then 'basic' when c_custkey % 3 = 1 then 'gold' else 'silver' end as tier",
+     "cast(c_custkey % 31 as int) as visits",
      "case when c_custkey % 3 = 0 then '2019-20' when c_custkey % 3 = 1 then '2020-21' else '2021-22' end as season",
      ), None),))
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import os
 import sys
 import uuid
 import zipfile
@@ -15,15 +14,16 @@ from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.staging import hadoop_path, scratch_dir
+from ..operators.staging import scratch_dir
 from ..operators.tables import read_table
 from ..sources import jdbc, registry
 from ..sources.files import load_file, read_csv, read_json, read_parquet
 from ..sources.ingest import ingest_typed
-from ..sources.workbooks import parse_workbooks, read_xlsx
+from ..sources.workbooks import parse_workbooks
 from . import jobs
 from .contract import query
-from .inputs import DIRTY_ORDERS, PLAYERS, REGISTRY, table
+from .inputs import DIRTY_ORDERS, ACCOUNTS, REGISTRY, table
+from .storing import new_namespace
 
 # Tasks get the functions of this module with their code, so executors need no copy of the library.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -124,30 +124,10 @@ def _workbooks(df: DataFrame) -> DataFrame:
     return df.mapInPandas(build, "name string, content binary")
 
 
-def _save(books: DataFrame, folder: str) -> None:
-    """Write the workbooks from the tasks. Names are fixed, so a task run twice changes nothing."""
-    def save(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        os.makedirs(folder, exist_ok=True)
-        for batch in batches:
-            for name, content in zip(batch["name"], batch["content"]):
-                draft = f"{folder}/.{name}.{uuid.uuid4().hex}"
-                with open(draft, "wb") as f:
-                    f.write(content)
-                os.replace(draft, f"{folder}/{name}")
-            yield batch[["name"]]
-
-    books.mapInPandas(save, "name string").count()
-
-
 @query("scan_xlsx", "select s_suppkey, s_name, s_nationkey, s_acctbal from supplier")
 def scan_xlsx(spark: SparkSession, sf_dir: str) -> DataFrame:
     supplier = table(spark, sf_dir, "supplier")
-    books, folder = _workbooks(supplier), scratch_dir(spark)
-    path, file_system = hadoop_path(spark, folder)
-    if file_system.getScheme() != "file":  # tasks can write bytes to a mounted folder only
-        return parse_workbooks(books, supplier.schema)
-    _save(books, path.toUri().getPath())
-    return read_xlsx(spark, folder, supplier.schema)
+    return parse_workbooks(_workbooks(supplier), supplier.schema)
 
 
 # --- JDBC -----------------------------------------------------------------
@@ -155,45 +135,40 @@ def scan_xlsx(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Tasks in other processes cannot see it, so these queries need a local session.
 
 DERBY = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
-_TEXT_COLUMNS = ", ".join(
-    f"{c} VARCHAR(64)" for c in ("player_name", "nationality", "club", "position", "injury_prone",
-                                 "transfer_risk_level", "season"))
+_TEXT_COLUMNS = ", ".join(f"{c} VARCHAR(64)" for c in ("c_name", "c_mktsegment", "area", "tier", "season"))
 _NEW_ROW = {
-    "player_id": "-1", "player_name": "'Player_new'", "age": "25", "nationality": "'Spain'",
-    "club": "'Real Madrid'", "position": "'CAM'", "overall_rating": "88", "potential_rating": "93",
-    "matches_played": "30", "goals": "15", "assists": "20", "minutes_played": "2700",
-    "market_value_million_eur": "cast(150.00 as decimal(10,2))", "contract_years_left": "3",
-    "injury_prone": "'No'", "transfer_risk_level": "'Low'", "season": "'2021-22'",
+    "c_custkey": "-1", "c_name": "'one more'", "c_nationkey": "7", "c_mktsegment": "'MACHINERY'",
+    "balance": "cast(12.34 as decimal(10,2))", "area": "'south'", "tier": "'gold'", "visits": "2", "season": "'2021-22'",
 }
 _NEW_ROW_SQL = "select " + ", ".join(f"{v} as {k}" for k, v in _NEW_ROW.items())
 _DERBY_ROW_SQL = "select " + ", ".join(f'{v} as "{k}"' for k, v in _NEW_ROW.items()) + " from sysibm.sysdummy1"
 
 
-def _database(spark: SparkSession, sf_dir: str, name: str = "players") -> str:
-    """A fresh in-process database that holds the players; its URL."""
+def _database(spark: SparkSession, sf_dir: str, name: str = "accounts") -> str:
+    """A fresh in-process database that holds the accounts; its URL."""
     spark._jvm.java.lang.System.setProperty("derby.stream.error.file", "/dev/null")  # no derby.log
     url = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true"
-    jdbc.append_jdbc(PLAYERS.frame(spark, sf_dir), url, name, {**DERBY, "createTableColumnTypes": _TEXT_COLUMNS})
+    jdbc.append_jdbc(ACCOUNTS.frame(spark, sf_dir), url, name, {**DERBY, "createTableColumnTypes": _TEXT_COLUMNS})
     return url
 
 
-@query("jdbc_scan", PLAYERS.sql())
+@query("jdbc_scan", ACCOUNTS.sql())
 def jdbc_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jdbc.read_jdbc(spark, _database(spark, sf_dir), "players", DERBY, partition=('"player_id"', 4))
+    return jdbc.read_jdbc(spark, _database(spark, sf_dir), "accounts", DERBY, partition=('"c_custkey"', 4))
 
 
-@query("jdbc_literal_row", f"{PLAYERS.sql()} union all {_NEW_ROW_SQL}")
+@query("jdbc_literal_row", f"{ACCOUNTS.sql()} union all {_NEW_ROW_SQL}")
 def jdbc_literal_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     url = _database(spark, sf_dir)
     literal = jdbc.read_jdbc_query(spark, url, _DERBY_ROW_SQL, DERBY)
-    return jdbc.read_jdbc(spark, url, "players", DERBY).union(literal)
+    return jdbc.read_jdbc(spark, url, "accounts", DERBY).union(literal)
 
 
-@query("jdbc_append", f"{PLAYERS.sql()} union all {PLAYERS.sql()}")
+@query("jdbc_append", f"{ACCOUNTS.sql()} union all {ACCOUNTS.sql()}")
 def jdbc_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     url = _database(spark, sf_dir)
-    jdbc.append_jdbc(PLAYERS.frame(spark, sf_dir), url, "players", DERBY)
-    return jdbc.read_jdbc(spark, url, "players", DERBY, partition=('"player_id"', 4))
+    jdbc.append_jdbc(ACCOUNTS.frame(spark, sf_dir), url, "accounts", DERBY)
+    return jdbc.read_jdbc(spark, url, "accounts", DERBY, partition=('"c_custkey"', 4))
 
 
 @query("jdbc_insert_check", f"""
@@ -201,17 +176,17 @@ def jdbc_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     select added.*, rows_before, rows_before + 1 as rows_after from added, n""")
 def jdbc_insert_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = jobs.insert_and_check(
-        spark, _database(spark, sf_dir), "players", _DERBY_ROW_SQL, F.col("player_id") == -1, DERBY)
+        spark, _database(spark, sf_dir), "accounts", _DERBY_ROW_SQL, F.col("c_custkey") == -1, DERBY)
     return done.found.withColumns({
         "rows_before": F.lit(done.before).cast("bigint"), "rows_after": F.lit(done.after).cast("bigint")})
 
 
 @query("jdbc_list_tables", """
-    select 'APP' as db, 'players,squad' as tables, count(*) as rows_listed from customer""")
+    select 'APP' as db, 'accounts,squad' as tables, count(*) as rows_listed from customer""")
 def jdbc_list_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     url = _database(spark, sf_dir)
-    players = PLAYERS.frame(spark, sf_dir)
-    jdbc.append_jdbc(players, url, "squad", {**DERBY, "createTableColumnTypes": _TEXT_COLUMNS})
+    accounts = ACCOUNTS.frame(spark, sf_dir)
+    jdbc.append_jdbc(accounts, url, "squad", {**DERBY, "createTableColumnTypes": _TEXT_COLUMNS})
     found = jdbc.find_table(spark, url, "SQUAD", DERBY).select("db", "rows")
     return (
         jdbc.list_tables(spark, url, DERBY)
@@ -221,31 +196,30 @@ def jdbc_list_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("jdbc_find_table", f"""
-    select 'APP' as db, 'players' as "table", count(*) as "rows", '{",".join(_NEW_ROW)}' as "columns" from customer""")
+    select 'APP' as db, 'accounts' as "table", count(*) as "rows", '{",".join(_NEW_ROW)}' as "columns" from customer""")
 def jdbc_find_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = jdbc.find_table(spark, _database(spark, sf_dir), "Players", DERBY)
+    found = jdbc.find_table(spark, _database(spark, sf_dir), "Accounts", DERBY)
     return found.select("db", F.lower("table").alias("table"), "rows", F.array_join("columns", ",").alias("columns"))
 
 
-@query("load_jdbc", PLAYERS.sql())
+@query("load_jdbc", ACCOUNTS.sql())
 def load_jdbc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    target = scratch_dir(spark) + "/players"
-    loaded = jobs.load_jdbc(spark, _database(spark, sf_dir), "players", target, DERBY, ('"player_id"', 4))
+    target = f"{new_namespace(spark)}.accounts"
+    loaded = jobs.load_jdbc(spark, _database(spark, sf_dir), "accounts", target, DERBY, ('"c_custkey"', 4))
     return read_table(spark, loaded.table)
 
 
 @query("load_file_table", f"""
-    select * replace (cast(player_id as bigint) as player_id, cast(age as bigint) as age,
-      cast(overall_rating as bigint) as overall_rating, cast(potential_rating as bigint) as potential_rating,
-      cast(matches_played as bigint) as matches_played, cast(goals as bigint) as goals,
-      cast(assists as bigint) as assists, cast(minutes_played as bigint) as minutes_played,
-      cast(market_value_million_eur as double) as market_value_million_eur,
-      cast(contract_years_left as bigint) as contract_years_left)
-    from ({PLAYERS.sql()}) p""")
+    select * replace (cast(c_custkey as bigint) as c_custkey, cast(c_nationkey as bigint) as c_nationkey,
+      cast(visits as bigint) as visits, cast(balance as double) as balance), concat(c_name, ', "new"', chr(10), tier) as note
+    from ({ACCOUNTS.sql()}) p""")
 def load_file_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields hold commas, doubled quotes and line breaks."""
     root = scratch_dir(spark)
-    PLAYERS.frame(spark, sf_dir).write.option("header", True).csv(f"{root}/players.csv")
-    return read_table(spark, jobs.load_file_table(spark, f"{root}/players.csv", f"{root}/players").table)
+    note = F.concat("c_name", F.lit(', "new"\n'), "tier")
+    accounts = ACCOUNTS.frame(spark, sf_dir).withColumn("note", note)
+    accounts.write.option("header", True).option("escape", '"').csv(f"{root}/accounts.csv")
+    return read_table(spark, jobs.load_file_table(spark, f"{root}/accounts.csv", f"{new_namespace(spark)}.accounts").table)
 
 
 @query("ingest_typed", f"""

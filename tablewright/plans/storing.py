@@ -2,121 +2,125 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import clean_identifier, clean_path
 from ..operators import tables
+from ..operators.profiling import profile_nulls
 from ..operators.querying import count_by
 from ..operators.staging import scratch_dir
 from ..operators.textjobs import schema_text
 from .contract import query
-from .inputs import DIRTY_ORDERS, PLAYERS, table
+from .inputs import DIRTY_ORDERS, ACCOUNTS, table
 
 SEASON = ["season"]
 
-PLAYER_TYPES = [
-    ("player_id", "int"), ("player_name", "string"), ("age", "int"), ("nationality", "string"), ("club", "string"),
-    ("position", "string"), ("overall_rating", "int"), ("potential_rating", "int"), ("matches_played", "int"),
-    ("goals", "int"), ("assists", "int"), ("minutes_played", "int"), ("market_value_million_eur", "decimal(10,2)"),
-    ("contract_years_left", "int"), ("injury_prone", "string"), ("transfer_risk_level", "string"),
-    ("season", "string"),
+ACCOUNT_TYPES = [
+    ("c_custkey", "int"), ("c_name", "string"), ("c_nationkey", "int"), ("c_mktsegment", "string"),
+    ("balance", "decimal(10,2)"), ("area", "string"), ("tier", "string"), ("visits", "int"), ("season", "string"),
 ]
 
 
-def _new_table(spark: SparkSession, name: str = "players") -> str:
-    return f"{scratch_dir(spark)}/{name}"
+def new_namespace(spark: SparkSession) -> str:
+    """A namespace of the session catalog, in a folder of its own."""
+    name = f"n_{uuid.uuid4().hex}"
+    tables.ensure_namespace(spark, name, scratch_dir(spark))
+    return name
+
+
+def _new_table(spark: SparkSession, name: str = "accounts") -> str:
+    return f"{new_namespace(spark)}.{name}"
 
 
-def _with_more_goals(players: DataFrame) -> DataFrame:
-    return players.withColumn("goals", (F.col("goals") + 100).cast("int"))
+def _with_more_visits(accounts: DataFrame) -> DataFrame:
+    return accounts.withColumn("visits", (F.col("visits") + 100).cast("int"))
 
 
-@query("table_read", PLAYERS.sql())
+@query("table_read", ACCOUNTS.sql())
 def table_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = _new_table(spark)
-    tables.create_or_replace(PLAYERS.frame(spark, sf_dir), target, SEASON)
+    tables.create_or_replace(ACCOUNTS.frame(spark, sf_dir), target, SEASON)
     return tables.read_table(spark, target)
 
 
-@query("table_create", PLAYERS.sql())
+@query("table_create", ACCOUNTS.sql())
 def table_create(spark: SparkSession, sf_dir: str) -> DataFrame:
-    target, players = _new_table(spark), PLAYERS.frame(spark, sf_dir)
+    target, accounts = _new_table(spark), ACCOUNTS.frame(spark, sf_dir)
     for _ in range(2):  # the second call finds the table and leaves it alone
-        tables.create_table(spark, target, players.schema, SEASON)
-    tables.append(players, target)
+        tables.create_table(spark, target, accounts.schema, SEASON)
+    tables.append(accounts, target)
     return tables.read_table(spark, target)
 
 
-@query("table_replace", f"select player_id, goals, season from ({PLAYERS.sql()}) p")
+@query("table_replace", f"select c_custkey, visits, season from ({ACCOUNTS.sql()}) p")
 def table_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    target, players = _new_table(spark), PLAYERS.frame(spark, sf_dir)
-    tables.create_or_replace(players, target, SEASON)
-    tables.create_or_replace(tables.read_table(spark, target).select("player_id", "goals", "season"), target)
+    target, accounts = _new_table(spark), ACCOUNTS.frame(spark, sf_dir)
+    tables.create_or_replace(accounts, target, SEASON)
+    tables.create_or_replace(tables.read_table(spark, target).select("c_custkey", "visits", "season"), target)
     return tables.read_table(spark, target)
 
 
 @query("table_overwrite_partitions", f"""
-    select * replace (cast(case when season = '2020-21' then goals + 100 else goals end as integer) as goals)
-    from ({PLAYERS.sql()}) p""")
+    select * replace (cast(case when season = '2020-21' then visits + 100 else visits end as integer) as visits)
+    from ({ACCOUNTS.sql()}) p""")
 def table_overwrite_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    target, players = _new_table(spark), PLAYERS.frame(spark, sf_dir)
-    tables.create_or_replace(players, target, SEASON)
-    tables.overwrite_partitions(_with_more_goals(players.filter("season = '2020-21'")), target)
+    target, accounts = _new_table(spark), ACCOUNTS.frame(spark, sf_dir)
+    tables.create_or_replace(accounts, target, SEASON)
+    tables.overwrite_partitions(_with_more_visits(accounts.filter("season = '2020-21'")), target)
     return tables.read_table(spark, target)
 
 
 @query("table_ctas", f"""
-    select p.*, (select count(distinct season) from ({PLAYERS.sql()}) q) as partitions, 1 as snapshots
-    from ({PLAYERS.sql()}) p""")
+    select p.*, (select count(distinct season) from ({ACCOUNTS.sql()}) q) as partitions
+    from ({ACCOUNTS.sql()}) p""")
 def table_ctas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    target, players = _new_table(spark), PLAYERS.frame(spark, sf_dir)
-    tables.create_or_replace(players.limit(0), target)
-    tables.replace_ctas(players, target, "season")
+    target, accounts = _new_table(spark), ACCOUNTS.frame(spark, sf_dir)
+    tables.create_or_replace(accounts.limit(0), target)
+    tables.replace_ctas(accounts, target, "season")
     stored = tables.read_table(spark, target)
-    partitions = stored.select("season").distinct().count()
-    history = tables.snapshots(spark, target).count()
-    return stored.withColumns({
-        "partitions": F.lit(partitions).cast("bigint"), "snapshots": F.lit(history)})
+    partitions = spark.sql(f"SHOW PARTITIONS {target}").count()
+    return stored.withColumn("partitions", F.lit(partitions).cast("bigint"))
 
 
-@query("table_append", PLAYERS.sql())
+@query("table_append", ACCOUNTS.sql())
 def table_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    target, players = _new_table(spark), PLAYERS.frame(spark, sf_dir)
-    tables.create_or_replace(players.filter("season = '2019-20'"), target, SEASON)
-    tables.append(players.filter("season = '2020-21'"), target)
-    tables.append(players.filter("season = '2021-22'"), target)
+    target, accounts = _new_table(spark), ACCOUNTS.frame(spark, sf_dir)
+    tables.create_or_replace(accounts.filter("season = '2019-20'"), target, SEASON)
+    tables.append(accounts.filter("season = '2020-21'"), target)
+    tables.append(accounts.filter("season = '2021-22'"), target)
     return tables.read_table(spark, target)
 
 
 @query("table_merge", f"""
-    select * replace (cast(case when position = 'GK' then goals + 100 else goals end as integer) as goals)
-    from ({PLAYERS.sql()}) p""")
+    select * replace (cast(case when tier = 'gold' then visits + 100 else visits end as integer) as visits)
+    from ({ACCOUNTS.sql()}) p""")
 def table_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    target, players = _new_table(spark), PLAYERS.frame(spark, sf_dir)
-    tables.create_or_replace(players.filter("position <> 'CAM'"), target, SEASON)
-    changed = _with_more_goals(players.filter("position = 'GK'"))
-    tables.merge(changed.unionByName(players.filter("position = 'CAM'")), target, "player_id")
+    target, accounts = _new_table(spark), ACCOUNTS.frame(spark, sf_dir)
+    tables.create_or_replace(accounts.filter("tier <> 'basic'"), target, SEASON)
+    changed = _with_more_visits(accounts.filter("tier = 'gold'"))
+    tables.merge(changed.unionByName(accounts.filter("tier = 'basic'")), target, "c_custkey")
     return tables.read_table(spark, target)
 
 
 @query("table_verify", "select count(*) as rows_written, count(*) as rows_stored from customer")
 def table_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    target, players = _new_table(spark), PLAYERS.frame(spark, sf_dir)
-    tables.create_or_replace(players, target, SEASON)
+    target, accounts = _new_table(spark), ACCOUNTS.frame(spark, sf_dir)
+    tables.create_or_replace(accounts, target, SEASON)
     stored = tables.verify_count(spark, target)
-    return players.agg(F.count("*").alias("rows_written")).withColumn("rows_stored", F.lit(stored).cast("bigint"))
+    return accounts.agg(F.count("*").alias("rows_written")).withColumn("rows_stored", F.lit(stored).cast("bigint"))
 
 
 @query("table_write", f"""
-    select p.*, (select 2 * count(*) from customer) as rows_stored, 'append' as operation
-    from ({PLAYERS.sql()} union all {PLAYERS.sql()}) p""")
+    select p.*, (select 2 * count(*) from customer) as rows_stored
+    from ({ACCOUNTS.sql()} union all {ACCOUNTS.sql()}) p""")
 def table_write(spark: SparkSession, sf_dir: str) -> DataFrame:
-    target, players = _new_table(spark), PLAYERS.frame(spark, sf_dir)
-    tables.write_table(players, target)
-    written = tables.write_table(players, target, mode="append")
-    return tables.read_table(spark, target).withColumns({
-        "rows_stored": F.lit(written.rows).cast("bigint"), "operation": F.lit(written.snapshot["operation"])})
+    target, accounts = _new_table(spark), ACCOUNTS.frame(spark, sf_dir)
+    tables.write_table(accounts, target)
+    written = tables.write_table(accounts, target, mode="append")
+    return tables.read_table(spark, target).withColumn("rows_stored", F.lit(written.rows).cast("bigint"))
 
 
 @query("staging_write", DIRTY_ORDERS.sql())
@@ -126,38 +130,37 @@ def staging_write(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("namespace_ensure", f"""
-    select season, count(*) as "count" from ({PLAYERS.sql()}) p group by season""")
+    select season, count(*) as "count" from ({ACCOUNTS.sql()}) p group by season""")
 def namespace_ensure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    namespace = scratch_dir(spark)
-    for _ in range(2):
-        tables.ensure_namespace(spark, namespace)
-    tables.create_or_replace(PLAYERS.frame(spark, sf_dir), f"{namespace}/players", SEASON)
-    return count_by(tables.read_table(spark, f"{namespace}/players"), "season")
+    namespace = new_namespace(spark)
+    tables.ensure_namespace(spark, namespace)  # it is there already
+    tables.create_or_replace(ACCOUNTS.frame(spark, sf_dir), f"{namespace}.accounts", SEASON)
+    listed = spark.catalog.listTables(namespace)
+    return count_by(tables.read_table(spark, f"{namespace}.{listed[0].name}"), "season")
 
 
 @query("refresh", f"""
     select p.*, (select count(*) from customer) as rows_read, (select count(*) from customer) as rows_stored
-    from ({PLAYERS.sql()}) p""")
+    from ({ACCOUNTS.sql()}) p""")
 def refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = _new_table(spark)
-    tables.create_or_replace(PLAYERS.frame(spark, sf_dir), target, SEASON)
+    tables.create_or_replace(ACCOUNTS.frame(spark, sf_dir), target, SEASON)
     done = tables.refresh(spark, target)
     return tables.read_table(spark, target).withColumns({
         "rows_read": F.lit(done.rows_read).cast("bigint"), "rows_stored": F.lit(done.rows_stored).cast("bigint")})
 
 
-@query("snapshots", f"""
-    with p as ({PLAYERS.sql()})
-    select 3 as snapshot_id, 'overwrite' as operation, count(*) as added_records from p
-    union all select 2, 'append', count(*) from p where season <> '2019-20'
-    union all select 1, 'append', count(*) from p where season = '2019-20'""")
+@query("snapshots", """
+    select o_custkey as snapshot_id, cast(max(o_orderdate) as timestamp) as committed_at,
+      case when o_custkey % 2 = 0 then 'append' else 'overwrite' end as operation, count(*) as added_records
+    from orders group by o_custkey order by committed_at desc, snapshot_id desc limit 5""")
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    target, players = _new_table(spark), PLAYERS.frame(spark, sf_dir)
-    tables.create_or_replace(players.filter("season = '2019-20'"), target, SEASON)
-    tables.append(players.filter("season <> '2019-20'"), target)
-    tables.refresh(spark, target)
-    newest = tables.snapshots(spark, target, limit=tables.SHOWN_SNAPSHOTS)
-    return newest.select(F.col("snapshot_id").cast("int").alias("snapshot_id"), "operation", "added_records")
+    """The newest of a snapshot log; a customer's orders stand for a snapshot."""
+    log = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("snapshot_id")).agg(
+        F.max("o_orderdate").cast("timestamp_ntz").alias("committed_at"),
+        F.create_map(F.lit("added-records"), F.count("*").cast("string")).alias("summary"),
+    ).withColumn("operation", F.when(F.col("snapshot_id") % 2 == 0, "append").otherwise("overwrite"))
+    return tables.newest_snapshots(log, limit=tables.SHOWN_SNAPSHOTS).drop("summary")
 
 
 @query("delete_where", f"select * from ({DIRTY_ORDERS.sql()}) d where price is not null")
@@ -176,27 +179,35 @@ def delete_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("describe", " union all ".join(
-    f"select {i} as position, '{n}' as name, '{t}' as type" for i, (n, t) in enumerate(PLAYER_TYPES)))
+    f"select {i} as position, '{n}' as name, '{t}' as type, count(\"{n}\") as filled from ({ACCOUNTS.sql()}) p"
+    for i, (n, t) in enumerate(ACCOUNT_TYPES)))
 def describe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns and types of a stored table, with the values that each column holds."""
     target = _new_table(spark)
-    tables.create_or_replace(PLAYERS.frame(spark, sf_dir), target, SEASON)
-    return tables.describe(spark, target)
+    tables.create_or_replace(ACCOUNTS.frame(spark, sf_dir), target, SEASON)
+    nulls = profile_nulls(tables.read_table(spark, target))
+    rows = tables.verify_count(spark, target)
+    return tables.describe(spark, target).join(nulls.select("name", (rows - F.col("nulls")).alias("filled")), "name")
 
 
-@query("schema_text", "select '" + ", ".join(f"{n}({t})" for n, t in PLAYER_TYPES) + "' as schema_text")
+@query("schema_text", "select season, count(*) as rows_of_season, '" + ", ".join(f"{n}({t})" for n, t in ACCOUNT_TYPES) + f"""' as schema_text
+    from ({ACCOUNTS.sql()}) p group by season""")
 def schema_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The schema text beside the rows of each partition."""
     target = _new_table(spark)
-    tables.create_or_replace(PLAYERS.frame(spark, sf_dir), target, SEASON)
-    return schema_text(tables.read_table(spark, target))
+    tables.create_or_replace(ACCOUNTS.frame(spark, sf_dir), target, SEASON)
+    stored = tables.read_table(spark, target)
+    seasons = stored.groupBy("season").agg(F.count("*").alias("rows_of_season"))
+    return seasons.withColumn("schema_text", F.lit(schema_text(stored).first()[0]))
 
 
 @query("choose_partition", f"""
-    select 'nationality' as partition_column, nationality as value, count(*) as "count"
-    from ({PLAYERS.sql()}) p group by nationality""")
+    select 'c_mktsegment' as partition_column, c_mktsegment as value, count(*) as "count"
+    from ({ACCOUNTS.sql()}) p group by c_mktsegment""")
 def choose_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    players = PLAYERS.frame(spark, sf_dir)
-    chosen = tables.choose_partition(players)
-    groups = count_by(players, chosen)
+    accounts = ACCOUNTS.frame(spark, sf_dir)
+    chosen = tables.choose_partition(accounts)
+    groups = count_by(accounts, chosen)
     return groups.select(F.lit(chosen).alias("partition_column"), F.col(chosen).alias("value"), "count")
 
 

@@ -7,7 +7,7 @@ import random
 import pytest
 
 from tablewright.operators import cleaning, profiling, tables
-from tablewright.operators.staging import scratch_dir
+from tablewright.plans.storing import new_namespace
 from tablewright.sources import registry
 
 SCHEMA = "i int, l bigint, f double, s string, n string, b boolean, d date, m decimal(6,2)"
@@ -69,13 +69,13 @@ def test_profile_agrees_with_pandas(spark, seed):
 
 @pytest.mark.parametrize("seed", range(8, 10))
 def test_stored_rows_come_back(spark, seed):
-    df, table = random_table(spark, seed), scratch_dir(spark) + "/t"
+    df, table = random_table(spark, seed), new_namespace(spark) + ".t"
     tables.create_or_replace(df, table, ["d"])
-    assert multiset(tables.read_table(spark, table)) == multiset(df)
+    # partition columns come last in a Parquet table
+    assert multiset(tables.read_table(spark, table).select(*df.columns)) == multiset(df)
     done = tables.refresh(spark, table)
     assert done.rows_read == done.rows_stored == df.count()
-    assert tables.snapshots(spark, table).count() == 2
-    assert multiset(tables.read_table(spark, table)) == multiset(df)
+    assert multiset(tables.read_table(spark, table).select(*df.columns)) == multiset(df)
 
 
 def test_upsert_is_idempotent(spark):

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from tablewright.operators.staging import scratch_dir
 from tablewright.operators.tables import read_table
 from tablewright.plans import jobs
+from tablewright.plans.storing import new_namespace
 from tablewright.sources import jdbc, registry, workbooks
 from tablewright.sources.files import extension, load_file, read_json
 from tablewright.sources.ingest import ingest_typed
@@ -170,8 +171,8 @@ def test_an_update_wins_even_if_it_is_older(spark):
 
 
 def test_loads_are_recorded_once_per_job(spark):
-    target = scratch_dir(spark) + "/registry"
-    fields = registry.read_registry(spark, target + ".none").columns
+    target = new_namespace(spark) + ".registry"
+    fields = registry.read_registry(spark, scratch_dir(spark) + ".none").columns
     for dag_id, rows, at in (("a", 1, "2024-01-01 10:00"), ("b", 2, "2024-01-02 10:00"), ("a", 3, "2024-01-03 10:00")):
         jobs.record_load(spark, target, dict.fromkeys(fields) | {"dag_id": dag_id, "row_count": rows, "created_at": at})
     stored = read_table(spark, target)
@@ -182,16 +183,24 @@ def test_loads_are_recorded_once_per_job(spark):
 
 
 def test_files_load_into_tables(spark, tmp_path):
-    (tmp_path / "a.csv").write_text('Big Id,note\n1,"say ""hi"", ok"\n,\n')
-    loaded = jobs.load_file_table(spark, str(tmp_path / "a.csv"), scratch_dir(spark) + "/t")
-    assert loaded.rows == 2
-    assert sorted(map(tuple, read_table(spark, loaded.table).collect())) == [(0, None), (1, 'say "hi", ok')]
+    (tmp_path / "a.csv").write_text('Big Id,note\n1,"say ""hi"", ok"\n,\n2,"two\nlines"\n')
+    loaded = jobs.load_file_table(spark, str(tmp_path / "a.csv"), new_namespace(spark) + ".t")
+    assert loaded.rows == 3
+    stored = read_table(spark, loaded.table)
+    assert sorted(map(tuple, stored.collect())) == [(0, None), (1, 'say "hi", ok'), (2, "two\nlines")]
+    assert stored.dtypes == [("big_id", "bigint"), ("note", "string")]
+
+
+def test_marks_of_missing_values(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("n,s,t,u\n1.5,NA,a,NULL\nN/A,x,null,N/A\n2,n/a,NaN,\n")
+    loaded = read_table(spark, jobs.load_file_table(spark, str(tmp_path / "a.csv"), new_namespace(spark) + ".t").table)
+    assert sorted(map(tuple, loaded.collect())) == [(0.0, "x", None, None), (1.5, None, "a", None), (2.0, None, None, None)]
 
 
 def test_files_are_cleaned_into_staging(spark, tmp_path):
     (tmp_path / "a.csv").write_text("a,b\n1,x\n1,x\n2,\n")
     path, log = jobs.clean_file(spark, str(tmp_path / "a.csv"), str(tmp_path), "t", "src")
-    assert path == f"{tmp_path}/staging/t_cleaned" and "Dropped 1 duplicate rows" in log
+    assert path == f"{tmp_path}/staging/t_cleaned" and "copies of rows: 1 left out" in log
     assert sorted(tuple(r)[:2] for r in spark.read.parquet(path).collect()) == [(1, "x"), (2, "UNKNOWN")]
 
 

@@ -1,50 +1,52 @@
-"""Stored tables: versions, partitions, deletes, conflicts."""
+"""Stored tables: partitions, replaces, deletes, merges."""
 
 import datetime as dt
-import uuid
 from collections import Counter
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from tablewright.operators import tables, versioned
-from tablewright.operators.staging import scratch_dir, stage
+from tablewright.operators import tables
+from tablewright.operators.staging import scratch_dir, stage, staged
+from tablewright.plans.storing import new_namespace
 
 
 @pytest.fixture
 def table(spark):
-    return scratch_dir(spark) + "/t"
+    return new_namespace(spark) + ".t"
 
 
 def rows(df):
     return sorted(map(tuple, df.collect()), key=str)
 
 
+def files(spark, table):
+    return {f.rsplit("/", 2)[-2] + "/" + f.rsplit("/", 1)[-1] for f in spark.table(table).inputFiles()}
+
+
 def test_partition_values_of_every_kind(spark, table):
-    values = [None, "", "a b", "x/y", "100%", "k=v", "é:ü", "it's", "{1}", "[2]", "q?*"]
+    values = [None, "", "a b", "x/y", "100%", "k=v", "é:ü", "it's", "{1}", "[2]", "q?*", "back\\slash"]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id int, part string")
     tables.create_or_replace(df, table, ["part"])
-    stored = tables.read_table(spark, table)
     # Parquet folders cannot tell an empty partition value from a missing one.
-    assert rows(stored) == rows(df.withColumn("part", F.nullif("part", F.lit(""))))
+    assert rows(tables.read_table(spark, table)) == rows(df.withColumn("part", F.nullif("part", F.lit(""))))
     tables.overwrite_partitions(df.filter("part = 'x/y'").withColumn("id", F.lit(-1)), table)
-    tables.delete_where(spark, table, "part = '100%'", confirm=True)
+    for gone in ("100%", "it's", "back\\slash"):
+        tables.delete_where(spark, table, f"id = {values.index(gone)}", confirm=True)
     left = {r["part"]: r["id"] for r in tables.read_table(spark, table).filter("part is not null").collect()}
-    assert left["x/y"] == -1 and "100%" not in left and len(left) == 8
-    tables.overwrite_partitions(df.filter("part is null"), table)
-    assert tables.read_table(spark, table).filter("part is null").count() == 1
+    assert left["x/y"] == -1 and set(left) == set(values) - {None, "", "100%", "it's", "back\\slash"}
+    tables.delete_where(spark, table, "part is null", confirm=True)
+    assert tables.read_table(spark, table).filter("part is null").count() == 0
 
 
-def test_refresh_keeps_rows_and_adds_one_snapshot(spark, table):
+def test_refresh_keeps_rows(spark, table):
     df = spark.range(100).selectExpr("id", "id % 3 as g")
     tables.create_or_replace(df, table, ["g"])
     tables.append(df.filter("g = 0"), table)
-    before = tables.snapshots(spark, table).count()
     done = tables.refresh(spark, table)
-    assert (done.rows_read, done.rows_stored) == (134, 134)
-    assert tables.snapshots(spark, table).count() == before + 1
+    assert (done.rows_read, done.rows_stored, done.snapshots) == (134, 134, None)
     assert rows(tables.read_table(spark, table)) == rows(df.union(df.filter("g = 0")))
-    assert done.snapshots.first()["added_records"] == 134
 
 
 def test_overwrite_of_an_unpartitioned_table_replaces_all(spark, table):
@@ -53,6 +55,15 @@ def test_overwrite_of_an_unpartitioned_table_replaces_all(spark, table):
     assert tables.verify_count(spark, table) == 3
 
 
+def test_overwrite_leaves_other_partitions_and_the_setting(spark, table):
+    before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    df = spark.range(30).selectExpr("id", "id % 3 as g")
+    tables.create_or_replace(df, table, ["g"])
+    tables.overwrite_partitions(df.filter("id = 4"), table)
+    assert rows(tables.read_table(spark, table)) == rows(df.filter("g <> 1 or id = 4"))
+    assert spark.conf.get("spark.sql.sources.partitionOverwriteMode") == before
+
+
 def test_delete_keeps_rows_whose_condition_is_null(spark, table):
     df = spark.createDataFrame([(1, None), (2, 5), (3, 50)], "id int, v int")
     tables.create_or_replace(df, table)
@@ -60,84 +71,93 @@ def test_delete_keeps_rows_whose_condition_is_null(spark, table):
     assert tables.verify_count(spark, table) == 3
     assert tables.delete_where(spark, table, "v > 10", confirm=True) is None
     assert rows(tables.read_table(spark, table)) == [(1, None), (2, 5)]
+    before = files(spark, table)
     tables.delete_where(spark, table, "v > 1000", confirm=True)
-    assert tables.snapshots(spark, table).count() == 2  # nothing to delete, nothing written
+    assert files(spark, table) == before  # nothing to delete, nothing written
     tables.delete_where(spark, table, "true", confirm=True)
     assert tables.read_table(spark, table).count() == 0
 
 
-def test_delete_rewrites_only_folders_with_hits(spark, table):
+def test_delete_rewrites_only_partitions_with_hits(spark, table):
     tables.create_or_replace(spark.range(30).selectExpr("id", "id % 3 as g"), table, ["g"])
-    before = set(versioned._head(spark, table)["paths"])
+    before = files(spark, table)
     tables.delete_where(spark, table, "id = 4", confirm=True)
-    after = set(versioned._head(spark, table)["paths"])
-    assert len(before & after) == 2 and tables.verify_count(spark, table) == 29
+    changed = before ^ files(spark, table)
+    assert changed and all(f.startswith("g=1/") for f in changed)
+    tables.delete_where(spark, table, "g = 2", confirm=True)
+    assert tables.verify_count(spark, table) == 19
 
 
-def test_schema_changes_on_replace(spark, table):
+def test_replace_changes_the_columns_and_may_read_the_table(spark, table):
     tables.create_or_replace(spark.range(2), table)
-    tables.create_or_replace(spark.range(3).selectExpr("cast(id as string) as name", "1 as n"), table)
+    tables.create_or_replace(spark.table(table).selectExpr("cast(id as string) as name", "1 as n"), table)
     assert tables.read_table(spark, table).dtypes == [("name", "string"), ("n", "int")]
-    assert tables.snapshots(spark, table).count() == 2
+    tables.replace_ctas(spark.table(table).withColumn("g", F.lit("x")), table, "g")
+    assert tables.partition_columns(spark, table) == ["g"] and tables.verify_count(spark, table) == 2
 
 
-def test_create_is_empty_once_and_has_no_snapshot(spark, table):
+def test_create_is_empty_once(spark, table):
     schema = spark.range(1).schema
     tables.create_table(spark, table, schema)
     assert tables.read_table(spark, table).count() == 0
-    assert tables.snapshots(spark, table).count() == 0
     tables.append(spark.range(4), table)
     tables.create_table(spark, table, schema)
     assert tables.verify_count(spark, table) == 4
 
 
-def test_columns_must_match(spark, table):
-    tables.create_or_replace(spark.range(2), table)
+def test_columns_go_by_name_and_must_match(spark, table):
+    tables.create_or_replace(spark.range(2).selectExpr("id", "'a' as v"), table)
+    tables.append(spark.range(1).selectExpr("'b' as v", "cast(id as int) as id"), table)
+    assert rows(tables.read_table(spark, table)) == [(0, "a"), (0, "b"), (1, "a")]
     with pytest.raises(ValueError, match="extra"):
-        tables.append(spark.range(2).withColumn("x", F.lit(1)), table)
-
-
-def test_ctas_loses_history(spark, table):
-    tables.create_or_replace(spark.range(5), table)
-    tables.append(spark.range(5), table)
-    tables.replace_ctas(tables.read_table(spark, table).withColumn("g", F.col("id") % 2), table, "g")
-    assert tables.snapshots(spark, table).count() == 1
-    assert tables.verify_count(spark, table) == 10
-
-
-def test_two_writers_cannot_take_one_id(spark, table):
-    tables.create_or_replace(spark.range(5), table)
-    head = versioned._head(spark, table)
-    tables.append(spark.range(1), table)
-    with pytest.raises(versioned.ConcurrentCommit):
-        versioned._commit(spark, table, head["snapshot_id"] + 1, "append", spark.range(1).schema, [], [], {})
-    assert tables.verify_count(spark, table) == 6
+        tables.append(spark.range(2).selectExpr("id", "'a' as v", "1 as x"), table)
 
 
 def test_merge(spark, table):
-    df = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "id int, v string, part string")
+    df = spark.createDataFrame([(1, "a", "x"), (2, "b", "y"), (9, "z", "other")], "id int, v string, part string")
     tables.create_or_replace(df, table, ["part"])
-    updates = spark.createDataFrame([(2, "B", "x"), (3, "c", "y")], df.schema)
+    before = files(spark, table)
+    # as in any table, the stored types stay
+    updates = spark.createDataFrame([(2, "B", "x"), (3, "c", "w")], "id bigint, v string, part string")
     for _ in range(2):
         tables.merge(updates, table, "id")
-        assert rows(tables.read_table(spark, table)) == [(1, "a", "x"), (2, "B", "x"), (3, "c", "y")]
+        assert rows(tables.read_table(spark, table)) == [(1, "a", "x"), (2, "B", "x"), (3, "c", "w"), (9, "z", "other")]
+    assert tables.read_table(spark, table).dtypes[0] == ("id", "int")
+    assert any(f.startswith("part=other/") for f in before & files(spark, table))
+    with pytest.raises(ValueError, match="repeats"):
+        tables.merge(updates.union(updates), table, "id")
+
+
+def test_merge_into_a_table_without_partitions(spark, table):
+    tables.create_or_replace(spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string"), table)
+    tables.merge(spark.createDataFrame([(2, "B"), (3, "c")], "id int, v string"), table, "id")
+    assert rows(tables.read_table(spark, table)) == [(1, "a"), (2, "B"), (3, "c")]
 
 
 def test_write_table(spark, table):
     moment = dt.datetime(2024, 5, 6, 7, 8, 9)
     df = spark.createDataFrame([(1, moment), (2, None)], "id int, at timestamp")
-    written = tables.write_table(df, table)
-    assert written.rows == 2 and written.snapshot["operation"] == "append"
+    assert tables.write_table(df, table).rows == 2
     assert tables.read_table(spark, table).filter("at_day = date'2024-05-06'").count() == 1
     with pytest.raises(ValueError):
         tables.write_table(df, table, mode="merge")
 
 
+def test_snapshots_need_a_format(spark, table):
+    tables.create_or_replace(spark.range(1), table)
+    with pytest.raises(ValueError, match="no snapshots"):
+        tables.snapshots(spark, table)
+    log = spark.createDataFrame([(1, None, "append", {"added-records": "7"}), (2, dt.datetime(2024, 1, 1), "append", None)],
+                                "snapshot_id bigint, committed_at timestamp, operation string, summary map<string,string>")
+    assert [(r["snapshot_id"], r["added_records"]) for r in tables.newest_snapshots(log).collect()] == [(2, None), (1, 7)]
+    assert tables.newest_snapshots(log, 1).count() == 1
+
+
 def test_describe(spark, table):
     assert tables.describe(spark, table).count() == 0
     tables.create_or_replace(spark.range(1).selectExpr("id", "1 as g"), table, ["g"])
     assert [tuple(r)[1:] for r in tables.describe(spark, table).collect()] == [("id", "bigint"), ("g", "int")]
-    with pytest.raises(ValueError, match="no table"):
+    with pytest.raises(AnalysisException):
         tables.read_table(spark, table + "_absent")
 
 
@@ -147,23 +167,10 @@ def test_partition_pruning_reaches_the_scan(spark, table):
     assert "PartitionFilters: [isnotnull(g" in plan
 
 
-def test_catalog_tables(spark):
-    """The session catalog supports a part of what a table format does."""
-    namespace, table = "ns_" + uuid.uuid4().hex, "t"
-    spark.sql(f"CREATE DATABASE {namespace} LOCATION '{scratch_dir(spark)}'")
-    tables.ensure_namespace(spark, namespace)
-    name = f"{namespace}.{table}"
-    for _ in range(2):
-        tables.create_table(spark, name, spark.range(1).selectExpr("id", "1 as g").schema, ["g"])
-    assert tables.read_table(spark, name).count() == 0
-    assert [r["name"] for r in tables.describe(spark, name).collect()] == ["id", "g"]
-    df = spark.range(9).selectExpr("id", "cast(id % 2 as string) as kind")
-    tables.replace_ctas(df, name, "kind")
-    assert tables.verify_count(spark, name) == 9
-    assert [tuple(r)[1:] for r in tables.describe(spark, name).collect()] == [("id", "bigint"), ("kind", "string")]
-    assert tables.delete_where(spark, name, "id > 6").count() == 2
-    assert tables.describe(spark, f"{namespace}.absent").count() == 0
-    spark.sql(f"DROP DATABASE {namespace} CASCADE")
+@pytest.mark.parametrize("values, chosen", [(100, "v"), (101, None), (1, None), (2, "v")])
+def test_choice_counts_exactly(spark, values, chosen):
+    df = spark.range(0, 5000, 1, 7).selectExpr("id", f"case when id % {values} = 0 then null else string(id % {values}) end as v")
+    assert tables.choose_partition(df) == chosen
 
 
 def test_hot_partition_is_split_over_files(spark, table):
@@ -180,15 +187,20 @@ def test_hot_partition_is_split_over_files(spark, table):
             spark.conf.set(k, v)
     stored = tables.read_table(spark, table)
     assert stored.count() == 300_000
-    files = Counter(f.rsplit("/", 2)[1] for f in stored.inputFiles())
-    assert files["g=7"] > 3
-    assert sorted(files.values())[len(files) // 2] == 1
+    of_partition = Counter(f.rsplit("/", 2)[1] for f in stored.inputFiles())
+    assert of_partition["g=7"] > 3
+    assert sorted(of_partition.values())[len(of_partition) // 2] == 1
 
 
 def test_stage_reads_back_what_it_wrote(spark):
     df = spark.range(10).selectExpr("id", "cast(null as date) as d")
-    staged = stage(df)
-    assert staged.dtypes == df.dtypes and rows(staged) == rows(df)
+    kept = stage(df)
+    assert kept.dtypes == df.dtypes and rows(kept) == rows(df)
+    with staged(df) as held:
+        assert rows(held) == rows(df)
+        path = held.inputFiles()[0]
+    with pytest.raises(Exception, match="does not exist|FAILED_READ_FILE|PATH_NOT_FOUND"):
+        spark.read.parquet(path).count()
 
 
 class FakeSession:
@@ -196,11 +208,10 @@ class FakeSession:
 
     def __init__(self, **settings):
         self.conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: settings.get(key, default))})
+        self.sparkContext = type("Context", (), {"_jsc": None})
 
 
-def test_scratch_folder():
-    shared = FakeSession(**{"spark.checkpoint.dir": "hdfs://shared/scratch/", "spark.master": "yarn"})
+def test_scratch_folder_is_a_shared_one():
+    shared = FakeSession(**{"spark.checkpoint.dir": "hdfs://shared/scratch/"})
     assert scratch_dir(shared).startswith("hdfs://shared/scratch/") and scratch_dir(shared) != scratch_dir(shared)
-    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        scratch_dir(FakeSession(**{"spark.master": "yarn"}))
-    assert "tablewright-" in scratch_dir(FakeSession(**{"spark.master": "local[2]"}))
+    assert scratch_dir(FakeSession(**{"spark.sql.warehouse.dir": "file:/lake"})).startswith("file:/lake/.scratch/")
