@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import col
 from .profiling import _per_column, profile_nulls
 
-# Rows shown by default, and for a plain "first rows" question.
-SHOWN_ROWS = 50
+# Fixed value: rows for a plain "first rows" question.
 FIRST_ROWS = 10
 
 
@@ -45,15 +45,15 @@ def where_eq(df: DataFrame, column: str, value) -> DataFrame:
     return df.filter(col(column) == F.lit(value))
 
 
-def where_above(df: DataFrame, column: str, value, limit: int | None = SHOWN_ROWS,
+def where_above(df: DataFrame, column: str, value, limit: int | None = None,
                 order_by: str | None = None) -> DataFrame:
-    """Rows above a number (Q5); ``limit=None`` returns all of them."""
+    """Rows above a number (Q5), or the first ``limit`` of them."""
     return _limited(df.filter(col(column) > F.lit(value)), limit, order_by)
 
 
-def fiscal_after(df: DataFrame, column: str, year: int | str, limit: int | None = SHOWN_ROWS,
+def fiscal_after(df: DataFrame, column: str, year: int | str, limit: int | None = None,
                  order_by: str | None = None) -> DataFrame:
-    """Rows whose fiscal year text (``'2021-22'``) starts after a year (Q6)."""
+    """Rows whose fiscal year text (``'2021-22'``) starts after a year (Q6), or the first ``limit`` of them."""
     later = F.substring(col(column), 1, 4) > F.lit(str(year))
     return _limited(df.filter(later), limit, order_by)
 
@@ -110,82 +110,94 @@ class Verdict:
     error: str | None = None
 
 
-# Roots of plans that only read, and a mark of plans that write.
+# Roots of plans that only read, nodes that write, and functions that run code outside of SQL.
 READING_PLANS = {
     "Project", "Filter", "Aggregate", "UnresolvedHaving", "Sort", "GlobalLimit", "LocalLimit",
     "Offset", "Distinct", "Union", "Intersect", "Except", "CTE", "UnresolvedWith", "WithWindowDefinition",
     "UnresolvedRelation", "UnresolvedInlineTable", "LocalRelation", "UnresolvedSubqueryColumnAliases",
     "SubqueryAlias", "Join", "Generate", "Pivot", "Unpivot", "DescribeRelation", "DescribeColumn",
-    "DescribeQueryCommand", "ExplainCommand", "ShowTables", "ShowColumns", "ShowNamespaces",
+    "DescribeQueryCommand", "ExplainCommand", "ShowTables", "ShowColumns", "ShowNamespaces", "ShowFunctions",
     "ShowPartitions", "ShowTableProperties", "ShowCreateTable", "ShowViews",
 }
-WRITE_MARK = "__required_write_privileges__"
-_NODE = re.compile(r"^[\s:+|-]*'?([A-Za-z]+)")
+FOREIGN_CALLS = ("java_method", "reflect", "try_reflect")
 _WRITING_NODE = re.compile(
     r"^(Insert|Delete|Update|Merge|Create|Replace|Drop|Alter|Truncate|Overwrite|Append|Write|Set|Add|Cache|Load)")
 
 
+def _all_nodes(plan) -> Iterator[tuple[str, str]]:
+    """Kind of each node of a parsed plan, and the name that a function has: plans, expressions, plans in these."""
+    stack = [plan]
+    while stack:
+        node = stack.pop()
+        kind = node.getClass().getSimpleName()
+        yield kind, node.nameParts().mkString(".").lower() if kind == "UnresolvedFunction" else ""
+        known = {m.getName() for m in node.getClass().getMethods() if m.getParameterCount() == 0}
+        for inside in known & {"children", "innerChildren", "expressions"}:
+            group = getattr(node, inside)()
+            stack += [group.apply(i) for i in range(group.size())]
+        if "plan" in known:
+            stack.append(node.plan())
+
+
 def guard_sql(spark: SparkSession, sql: str) -> Verdict:
     """Class of a statement by the plan Spark parses from it (Q14).
 
-    Nothing runs: the statement is explained. A statement reads only if its root
-    is a known reading plan and no node under it writes.
+    Nothing runs and nothing is looked up. A statement reads only if its root is a known reading
+    plan, no node in it writes, and it calls no function that runs code outside of SQL.
     """
     try:
-        text = "\n".join(r[0] for r in spark.sql("EXPLAIN EXTENDED " + sql).collect())
+        nodes = list(_all_nodes(spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)))
     except PySparkException as e:
         return Verdict(False, "unparsed", str(e))
-    if not text.startswith("== Parsed Logical Plan =="):
-        return Verdict(False, "unplanned", text)
-    parsed = text.split("== Analyzed Logical Plan ==")[0].split("\n")[1:]
-    nodes = [m.group(1) for m in map(_NODE.match, parsed) if m]
-    if not nodes:
-        return Verdict(False, "unparsed", text)
-    writing = [n for n in nodes if _WRITING_NODE.match(n)]
-    reads = nodes[0] in READING_PLANS and not writing and WRITE_MARK not in text
-    return Verdict(reads, writing[0] if writing else nodes[0])
+    root = nodes[0][0]
+    writing = next((kind for kind, _ in nodes if _WRITING_NODE.match(kind)), None)
+    foreign = next((name for _, name in nodes if name.rpartition(".")[2] in FOREIGN_CALLS), None)
+    return Verdict(root in READING_PLANS and not writing and not foreign, writing or foreign or root)
 
 
-def guard_statements(df: DataFrame, column: str) -> DataFrame:
-    """Add ``is_read`` for a whole table of statements (Q14), by their words.
+def reads(statement: Column) -> Column:
+    """Whether a statement only reads (Q14), by its words; a null one doesn't.
 
-    Comments and quoted text are blanked first. A statement reads if it starts
-    with a reading keyword, holds no second statement and no writing keyword.
+    Comments and quoted text are blanked first. A statement reads if it starts with a reading
+    keyword, holds no second statement, no clause that writes, and no call of foreign code.
     """
     bare = F.regexp_replace(
-        col(column), r"(?s)/\*.*?\*/|--[^\n]*|'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`", " ")
-    reads = (
+        statement, r"(?s)/\*.*?\*/|--[^\n]*|'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`", " ")
+    objects = "table|view|temporary|temp|global|external|database|schema|namespace|function|catalog|index|user|role|or\\s+replace"
+    found = (
         bare.rlike(r"(?i)^[\s(]*(select|with|describe|desc|show|explain|values|table|from)\b")
-        & ~bare.rlike(r"(?i)\b(insert|delete|update|merge|create|drop|alter|truncate|overwrite|grant|revoke)\b")
+        & ~bare.rlike(r"(?i)\b(insert\s+(into|overwrite)|delete\s+from|update\s+\S+\s+set|merge\s+into|truncate\s+table|(grant|revoke)\s+\S+\s+on)\b")
+        & ~bare.rlike(rf"(?i)\b(create|drop|alter)\s+({objects})\b")
+        & ~bare.rlike(rf"(?i)\b({'|'.join(FOREIGN_CALLS)})\s*\(")
         & ~bare.rlike(r";\s*\S")
     )
-    return df.withColumn("is_read", F.coalesce(reads, F.lit(False)))
+    return F.coalesce(found, F.lit(False))
+
+
+def guard_statements(df: DataFrame, column: str) -> DataFrame:
+    """Add ``is_read`` for a whole table of statements (Q14)."""
+    return df.withColumn("is_read", reads(col(column)))
 
 
 @dataclass(frozen=True)
 class Answer:
-    """Rows shown, rows in all, and the error text in place of an exception."""
+    """All rows of an answer, or the error text in place of an exception."""
 
-    rows: list[Row] = field(default_factory=list)
-    total: int = 0
+    rows: DataFrame | None = None
     error: str | None = None
 
 
-def run_sql(spark: SparkSession, sql: str, limit: int = SHOWN_ROWS, confirm: bool = False) -> Answer:
+def run_sql(spark: SparkSession, sql: str, confirm: bool = False) -> Answer:
     """Run a SQL string (Q12). A statement that changes data needs ``confirm``.
 
-    The query runs once if its result fits the limit; only a larger result is
-    counted by a second job, which reads no columns it does not need.
+    The answer is a table like any other: the caller takes, counts or stores its rows.
     """
     try:
         verdict = guard_sql(spark, sql)
         if verdict.error is not None:
             return Answer(error=verdict.error)
         if not verdict.reads and not confirm:
-            return Answer(error=f"{verdict.statement} changes data; confirm to run it")
-        df = spark.sql(sql)
-        head = df.limit(limit + 1).collect()
-        total = len(head) if len(head) <= limit else df.count()
-        return Answer(head[:limit], total)
+            return Answer(error=f"{verdict.statement} is not a read; confirm to run it")
+        return Answer(spark.sql(sql))
     except PySparkException as e:
         return Answer(error=str(e))

@@ -6,12 +6,13 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.names import col
 from ..functions.text import error_tail as tail_of
 from ..functions.text import last_error as last_error_of
 from ..functions.text import quoted_regex, quoted_replacement, strip
-from .profiling import profile_types
+from .querying import reads
 
 # What a request must look like to be routed, and the SQL it becomes.
 COMPARISON = r"(?U)(\w+)\s+(?:above|greater than|>)\s*(\d+)"
@@ -21,7 +22,15 @@ COUNT_WORDS = ("count", "how many", "total")
 SCHEMA_WORDS = ("schema", "describe", "columns")
 DEFAULT_LIMIT = "10"
 
-REPLY_SCHEMA = "sql string, explanation string, is_destructive boolean, warning string"
+# The rows that a routed filter shows, the SQL and the explanations.
+SHOWN_ROWS = 50
+FISCAL_SQL = ("SUBSTR(", ",1,4) > '", "'")
+SNAPSHOTS_SQL = "SELECT snapshot_id,committed_at,operation FROM {table}.snapshots ORDER BY committed_at DESC"
+COUNT_SQL = "SELECT COUNT(*) as total_rows FROM {table}"
+DESCRIBE_SQL = "DESCRIBE TABLE {table}"
+EXPLANATIONS = {"snapshots": "Show snapshots", "row_count": "Count rows", "describe": "Show schema"}
+
+REPLY_SCHEMA = "sql string, explanation string, warning string"
 
 # Run states in the order in which they are looked for.
 RUN_STATES = ("success", "failed", "running", "queued", "up_for_retry")
@@ -35,15 +44,37 @@ def _has_any(text: Column, words: tuple[str, ...], whole_words: bool) -> Column:
     return reduce(lambda a, b: a | b, [text.contains(w) for w in words])
 
 
-def route_requests(df: DataFrame, column: str, table: str, compat: bool = False) -> DataFrame:
+def _refuse_clash(df: DataFrame, added: tuple[str, ...] | list[str]) -> None:
+    taken = sorted({c.lower() for c in df.columns} & set(added))
+    if taken:
+        raise ValueError(f"the table has columns of its own named {taken}")
+
+
+ROUTED = ("intent", "column", "value", "sql", "explanation")
+
+
+def _of_columns(columns: T.StructType, table: str, numeric: bool, measures: tuple[str, ...]) -> str:
+    """A statement with some measures of each column, or of each numeric one."""
+    names = [f.name for f in columns.fields if not numeric or isinstance(f.dataType, T.NumericType)]
+    quoted = ["`" + n.replace("`", "``") + "`" for n in names]
+    parts = [m.format(c=q, n=n.replace("`", "``")) for n, q in zip(names, quoted) for m in measures]
+    return f"SELECT {', '.join(parts) or 'COUNT(*) AS total_rows'} FROM {table}"
+
+
+def route_requests(df: DataFrame, column: str, table: str, compat: bool = False, columns: T.StructType | None = None) -> DataFrame:
     """Route plain-language requests to a query shape.
 
     Adds ``intent``, ``column``, ``value``, ``sql`` and ``explanation``. With ``compat`` words match
     inside longer words ("count" in "country"), questions about nulls and
     statistics count as a count and a description, and a comparison on any column
-    that holds "year" filters the column ``year``. Without it, words match whole,
-    nulls and statistics have routes of their own, and the column named is used.
+    that holds "year" filters the column ``year``, and filters show SHOWN_ROWS. Without
+    it, words match whole, nulls and statistics have routes of their own, for which
+    ``columns`` gives the table's schema, the column named is used, and filters have
+    no limit. A column of ``df`` that is named like an added one raises.
     """
+    _refuse_clash(df, ROUTED)
+    if not compat and columns is None:
+        raise ValueError("the columns of the table are needed for null counts and statistics")
     read = df.withColumn("__request", F.lower(col(column))).withColumns({
         "__compared": F.regexp_extract("__request", COMPARISON, 1),
         "__number": F.regexp_extract("__request", COMPARISON, 2),
@@ -72,25 +103,30 @@ def route_requests(df: DataFrame, column: str, table: str, compat: bool = False)
     kind = F.col("intent")
     filters = kind.isin("fiscal_after", "where_above")
     year = F.lit("year") if compat else compared
-    fiscal = F.concat(F.lit("SUBSTR("), year, F.lit(",1,4) > '"), number, F.lit("'"))
+    fiscal = F.concat(F.lit(FISCAL_SQL[0]), year, F.lit(FISCAL_SQL[1]), number, F.lit(FISCAL_SQL[2]))
     above = F.concat(compared, F.lit(" > "), number)
     sql = (
         F.when(filters, F.concat(F.lit(f"SELECT * FROM {table} WHERE "),
                                  F.when(kind == "fiscal_after", fiscal).otherwise(above),
-                                 F.lit(" LIMIT 50")))
-        .when(kind == "snapshots", F.lit(
-            f"SELECT snapshot_id,committed_at,operation FROM {table}.snapshots ORDER BY committed_at DESC"))
-        .when(kind == "row_count", F.lit(f"SELECT COUNT(*) as total_rows FROM {table}"))
-        .when(kind == "describe", F.lit(f"DESCRIBE TABLE {table}"))
+                                 F.lit(f" LIMIT {SHOWN_ROWS}" if compat else "")))
+        .when(kind == "snapshots", F.lit(SNAPSHOTS_SQL.format(table=table)))
+        .when(kind == "row_count", F.lit(COUNT_SQL.format(table=table)))
+        .when(kind == "describe", F.lit(DESCRIBE_SQL.format(table=table)))
         .when(kind == "top_n", F.concat(F.lit(f"SELECT * FROM {table} LIMIT "), F.col("__limit")))
     )
     explanation = (
         F.when(kind == "fiscal_after", F.concat(F.lit("Year above "), number))
         .when(kind == "where_above", above)
-        .when(kind == "snapshots", "Show snapshots").when(kind == "row_count", "Count rows")
-        .when(kind == "describe", "Show schema")
+        .when(kind == "snapshots", EXPLANATIONS["snapshots"]).when(kind == "row_count", EXPLANATIONS["row_count"])
+        .when(kind == "describe", EXPLANATIONS["describe"])
         .when(kind == "top_n", F.concat(F.lit("Show top "), F.col("__limit"), F.lit(" rows")))
     )
+    if not compat:
+        nulls = _of_columns(columns, table, False, ("COUNT(*) - COUNT({c}) AS {c}",))
+        stats = _of_columns(columns, table, True, ("MIN({c}) AS `min_{n}`", "MAX({c}) AS `max_{n}`", "AVG({c}) AS `avg_{n}`"))
+        sql = F.when(kind == "null_check", F.lit(nulls)).when(kind == "numeric_stats", F.lit(stats)).otherwise(sql)
+        explanation = F.when(kind == "null_check", F.lit("Missing values of each column")).when(
+            kind == "numeric_stats", F.lit("Range and average of each number column")).otherwise(explanation)
     return routed.withColumns({
         "column": F.when(filters, compared),
         "value": F.when(filters, number).when(kind == "top_n", F.col("__limit")),
@@ -99,14 +135,28 @@ def route_requests(df: DataFrame, column: str, table: str, compat: bool = False)
     }).drop("__request", "__compared", "__number", "__limit")
 
 
+REPLIED = ("sql", "explanation", "is_destructive", "warning", "is_valid")
+
+
+def _truthy(flag: Column) -> Column:
+    """Truth of a JSON value: null, false, zero and what is empty are not true; the text "false" is."""
+    kind, text = F.schema_of_variant(flag), F.to_json(flag)
+    plain = (kind == "VOID") | ((kind == "BOOLEAN") & (text == "false")) | text.isin('""', "[]", "{}")
+    zero = ~kind.isin("STRING", "BOOLEAN", "VOID") & (F.try_variant_get(flag, "$", "double") == 0)
+    return F.coalesce(flag.isNotNull() & ~F.coalesce(plain, F.lit(False)) & ~F.coalesce(zero, F.lit(False)), F.lit(False))
+
+
 def parse_replies(df: DataFrame, column: str) -> DataFrame:
     """Read structured replies.
 
     Code fences go; what lies between the first ``{`` and the last ``}`` is read as
     JSON, unless the whole is JSON of another kind. Adds ``sql``, ``explanation``, ``is_destructive``,
     ``warning`` and ``is_valid``: a reply without ``sql`` is not valid and is left
-    to ``route_requests``.
+    to ``route_requests``. The flag is harmless only if it is absent, null, false, zero or empty;
+    SQL that does not only read is destructive whatever the flag says. A column of ``df`` that
+    is named like an added one raises.
     """
+    _refuse_clash(df, REPLIED)
     bare = F.col("__bare")
     # A whole reply that is valid JSON, but a list or a text, holds no record.
     other_json = bare.rlike(r'^[\["]') & F.try_parse_json(bare).isNotNull()
@@ -115,14 +165,15 @@ def parse_replies(df: DataFrame, column: str) -> DataFrame:
         df.withColumn("__bare", strip(F.regexp_replace(col(column), "```json|```", "")))
         .withColumn("__json", braced)
         .withColumn("__reply", F.from_json("__json", REPLY_SCHEMA))
+        .withColumn("__flag", F.try_variant_get(F.try_parse_json("__json"), "$.is_destructive", "variant"))
         .withColumns({
             "sql": F.col("__reply.sql"),
             "explanation": F.col("__reply.explanation"),
-            "is_destructive": F.coalesce(F.col("__reply.is_destructive"), F.lit(False)),
+            "is_destructive": _truthy(F.col("__flag")) | (F.col("__reply.sql").isNotNull() & ~reads(F.col("__reply.sql"))),
             "warning": F.col("__reply.warning"),
             "is_valid": F.col("__reply.sql").isNotNull(),
         })
-        .drop("__bare", "__json", "__reply")
+        .drop("__bare", "__json", "__reply", "__flag")
     )
 
 
@@ -139,7 +190,8 @@ def resolve_requests(df: DataFrame, request: str, reply: str, table: str, full:
 
     Adds ``sql``, ``explanation``, ``is_destructive``, ``warning`` and ``is_valid``.
     """
-    answer = ["sql", "explanation", "is_destructive", "warning", "is_valid"]
+    _refuse_clash(df, {*REPLIED, *ROUTED})
+    answer = list(REPLIED)
     replied = qualify_sql(parse_replies(df, reply), "sql", table, full)
     held = replied.select(*map(col, df.columns), F.struct(*answer).alias("__reply"))
     routed = route_requests(held, request, full, compat=True)
@@ -154,8 +206,8 @@ def resolve_requests(df: DataFrame, request: str, reply: str, table: str, full:
     )
 
 
-def last_turns(df: DataFrame, conversation: str, order_by: str, n: int = 4) -> DataFrame:
-    """The last ``n`` turns of each conversation, oldest first (T4).
+def last_turns(df: DataFrame, conversation: str, order_by: str, n: int = 8) -> DataFrame:
+    """The last ``n`` turns of each conversation, oldest first (T4); eight are four requests with their answers.
 
     Each task keeps ``n`` turns per conversation before the shuffle, so one long
     conversation does not weigh on one task.
@@ -172,11 +224,8 @@ def last_turns(df: DataFrame, conversation: str, order_by: str, n: int = 4) -> D
 
 def schema_text(df: DataFrame) -> DataFrame:
     """Columns as one line ``name(type), ...`` (T5)."""
-    return profile_types(df).agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("position", "name", "dtype"))),
-                        lambda s: F.concat(s["name"], F.lit("("), s["dtype"], F.lit(")"))),
-            ", ").alias("schema_text"))
+    line = ", ".join(f"{f.name}({f.dataType.simpleString()})" for f in df.schema.fields)
+    return df.sparkSession.range(1).select(F.lit(line).alias("schema_text"))
 
 
 def read_rules(spark: SparkSession, path: str) -> list[tuple[str, str, str]]:
@@ -215,20 +264,26 @@ def match_rules(df: DataFrame, column: str, rules: list[tuple[str, str, str]]) -
 def run_status(
     df: DataFrame, column: str, order_by: str, header: list[str] | None = None
 ) -> DataFrame:
-    """State, run id, start and end of the newest line of each job.
+    """State, run id, start and end of the newest line of each job that holds a known state.
 
     Lines are ``|``-separated; the first field is the job. The state is the first
-    known one that the line holds anywhere, in a fixed order, else ``unknown``
-    with empty fields. Start and end are fields 3 and 4 counted from 0, unless
-    ``header`` names the fields and thereby says where ``start_date`` and
-    ``end_date`` stand. One aggregate keeps the newest line on the map side, and
-    only that line is taken apart.
+    known one that the line holds anywhere, in a fixed order. A job without such a
+    line is ``unknown``, with empty fields. Start and end are fields 3 and 4 counted
+    from 0, unless ``header`` names the fields and thereby says where ``start_date``
+    and ``end_date`` stand. The places of the newest lines are found by an aggregate
+    without the texts; only these lines are then taken apart. Of lines in one place
+    the last by its text counts.
     """
     start, end = (header.index("start_date"), header.index("end_date")) if header else (3, 4)
+    lines = df.filter(col(column).rlike(r"[^|\s]")).select(  # any other line has no job
+        strip(F.regexp_extract(col(column), r"^[|\s]*([^|]*)", 1)).alias("job"), col(order_by).alias("place"), col(column).alias("line"))
+    known = reduce(lambda a, b: a | b, [F.lower("line").contains(s) for s in RUN_STATES])
+    places = lines.groupBy("job").agg(F.max(F.when(known, F.col("place"))).alias("known"), F.max("place").alias("any"))
+    places = places.select("job", F.coalesce("known", "any").alias("place"))
+    same = (lines["job"] == places["job"]) & lines["place"].eqNullSafe(places["place"])
     newest = (
-        df.filter(col(column).rlike(r"[^|\s]"))  # any other line has no job
-        .groupBy(strip(F.regexp_extract(col(column), r"^[|\s]*([^|]*)", 1)).alias("job"))
-        .agg(F.max(F.struct(col(order_by).alias("place"), col(column).alias("line"))).alias("newest"))
+        lines.join(places, same, "left_semi")
+        .groupBy("job").agg(F.max(F.struct(known.alias("known"), "line")).alias("newest"))
         .select("job", F.col("newest.line").alias("__line"))
         .withColumns({
             "__lower": F.lower("__line"),

@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 
 from ..operators import querying, textjobs
 from .contract import query
-from .inputs import DIRTY_ORDERS, PLAYERS, REPLIES, table
+from .inputs import DIRTY_ORDERS, ACCOUNTS, REPLIES, table
 
-_P = f"({PLAYERS.sql()}) p"
+_P = f"({ACCOUNTS.sql()}) p"
 _NUMERIC = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
             "l_tax"]
 
 
-@query("top_n", f"select * from {_P} order by player_id limit 10")
+@query("top_n", f"select * from {_P} order by c_custkey limit 10")
 def top_n(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return querying.top_n(PLAYERS.frame(spark, sf_dir), 10, order_by="player_id")
+    return querying.top_n(ACCOUNTS.frame(spark, sf_dir), 10, order_by="c_custkey")
 
 
 @query("row_count", "select count(*) as total_rows from lineitem")
@@ -30,9 +30,9 @@ def count_by(spark: SparkSession, sf_dir: str) -> DataFrame:
     return querying.count_by(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_linestatus")
 
 
-@query("where_eq", f"select * from {_P} where player_id = 42")
+@query("where_eq", f"select * from {_P} where c_custkey = 42")
 def where_eq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return querying.where_eq(PLAYERS.frame(spark, sf_dir), "player_id", 42)
+    return querying.where_eq(ACCOUNTS.frame(spark, sf_dir), "c_custkey", 42)
 
 
 @query("where_above", "select * from lineitem where l_quantity > 45")
@@ -42,12 +42,12 @@ def where_above(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("where_above_top", "select * from orders where o_totalprice > 300000 order by o_orderkey limit 50")
 def where_above_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return querying.where_above(table(spark, sf_dir, "orders"), "o_totalprice", 300000, order_by="o_orderkey")
+    return querying.where_above(table(spark, sf_dir, "orders"), "o_totalprice", 300000, limit=50, order_by="o_orderkey")
 
 
 @query("fiscal_after", f"select * from {_P} where substr(season, 1, 4) > '2019'")
 def fiscal_after(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return querying.fiscal_after(PLAYERS.frame(spark, sf_dir), "season", 2019, limit=None)
+    return querying.fiscal_after(ACCOUNTS.frame(spark, sf_dir), "season", 2019, limit=None)
 
 
 @query("where_like", "select doc_id, lang, n_chars from documents where text like '%the%'")
@@ -80,26 +80,48 @@ def where_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     return querying.where_null(DIRTY_ORDERS.frame(spark, sf_dir), "price")
 
 
-@query("select_as", f"select player_id as id, player_name as name, 'Real Madrid' as club, 25 as age, true as active from {_P}")
+@query("select_as", f"select c_custkey as id, c_name as name, 'web' as channel, 25 as rank, true as active from {_P}")
 def select_as(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return querying.select_as(PLAYERS.frame(spark, sf_dir), {
-        "id": F.col("player_id"), "name": F.col("player_name"), "club": "Real Madrid", "age": 25, "active": True})
+    return querying.select_as(ACCOUNTS.frame(spark, sf_dir), {
+        "id": F.col("c_custkey"), "name": F.col("c_name"), "channel": "web", "rank": 25, "active": True})
 
 
 _ANSWERED = "select o_custkey, sum(o_totalprice) as spent, count(*) as orders from {t} group by o_custkey"
 
 
 @query("run_sql", f"""
-    with a as ({_ANSWERED.format(t="orders")})
-    select o_custkey, round(spent, 2) as spent, orders, (select count(*) from a) as total_rows
-    from a order by orders desc, o_custkey limit 50""")
+    select o_custkey, round(spent, 2) as spent, orders from ({_ANSWERED.format(t="orders")}) a""")
 def run_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     table(spark, sf_dir, "orders").createOrReplaceTempView("asked_orders")
-    answer = querying.run_sql(spark, _ANSWERED.format(t="asked_orders") + " order by orders desc, o_custkey")
+    answer = querying.run_sql(spark, _ANSWERED.format(t="asked_orders"))
     if answer.error is not None:
         raise RuntimeError(answer.error)
-    rows = [(r["o_custkey"], round(r["spent"], 2), r["orders"], answer.total) for r in answer.rows]
-    return spark.createDataFrame(rows, "o_custkey bigint, spent double, orders bigint, total_rows bigint")
+    return answer.rows.withColumn("spent", F.round("spent", 2))
+
+
+@query("where_above_all", "select * from orders where o_totalprice > 300000")
+def where_above_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return querying.where_above(table(spark, sf_dir, "orders"), "o_totalprice", 300000)
+
+
+@query("fiscal_after_all", f"select * from {_P} where substr(season, 1, 4) > '2019'")
+def fiscal_after_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return querying.fiscal_after(ACCOUNTS.frame(spark, sf_dir), "season", 2019)
+
+
+@query("guard_plans", f"""
+    with r as ({REPLIES.sql()}), j as (
+      select case when json_valid(reply) then reply
+        when regexp_matches(reply, '(?s)\\{{.*\\}}') then regexp_extract(reply, '(?s)\\{{.*\\}}', 0) end as doc from r),
+    s as (select regexp_replace(json_extract_string(doc, '$.sql'), '[0-9]+', '7', 'g') as sql from j)
+    select sql, count(*) as replies, sql like 'SELECT%' as is_read from s where sql is not null group by sql""")
+def guard_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statements of the replies, their numbers aside, judged by their plans."""
+    parsed = textjobs.parse_replies(REPLIES.frame(spark, sf_dir), "reply")
+    shapes = parsed.where("sql is not null").groupBy(F.regexp_replace("sql", "[0-9]+", "7").alias("sql")).agg(F.count("*").alias("replies"))
+    verdicts = {r["sql"]: querying.guard_sql(spark, r["sql"]).reads for r in shapes.collect()}  # a handful of shapes
+    judged = F.create_map(*[F.lit(x) for pair in verdicts.items() for x in pair])
+    return shapes.withColumn("is_read", judged[F.col("sql")])
 
 
 @query("guard_sql", f"""

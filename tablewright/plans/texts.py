@@ -4,18 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import textjobs
 from .contract import query
 from .inputs import DIALOGUES, ERROR_LINES, ERROR_RULES, ERROR_TEXTS, REPLIES, REQUESTS, RUN_HEADER, RUN_LINES, table
 
 _TABLE = "lake.sales.events"
-_COMPARED = r"(\w+)\s+(?:above|greater than|>)\s*(\d+)"
+_COMPARED = textjobs.COMPARISON.removeprefix("(?U)")
+_SCHEMA = T.StructType([T.StructField(n, T.LongType()) for n in ("event_id", "user_id")] + [T.StructField("event_type", T.StringType())])
+_NULLS = "SELECT " + ", ".join(f"COUNT(*) - COUNT(`{f.name}`) AS `{f.name}`" for f in _SCHEMA) + f" FROM {_TABLE}"
 
 
 def _route_oracle(compat: bool) -> str:
     extra = "" if compat else "when u like '%null values%' then 'null_check'"
-    year = "'year'" if compat else "c"
+    year, limit = ("'year'", " || ' LIMIT 50'") if compat else ("c", "")
     return f"""
     with d as ({REQUESTS.sql()}),
     m as (select event_id, request, lower(request) as u, regexp_extract(lower(request), '{_COMPARED}', 1) as c,
@@ -30,14 +33,16 @@ def _route_oracle(compat: bool) -> str:
       case when intent in ('fiscal_after', 'where_above') then c end as "column",
       case when intent in ('fiscal_after', 'where_above') then v when intent = 'top_n' then n end as value,
       case intent
-        when 'fiscal_after' then 'SELECT * FROM {_TABLE} WHERE SUBSTR(' || {year} || ',1,4) > ''' || v || ''' LIMIT 50'
-        when 'where_above' then 'SELECT * FROM {_TABLE} WHERE ' || c || ' > ' || v || ' LIMIT 50'
+        when 'fiscal_after' then 'SELECT * FROM {_TABLE} WHERE SUBSTR(' || {year} || ',1,4) > ''' || v || ''''{limit}
+        when 'where_above' then 'SELECT * FROM {_TABLE} WHERE ' || c || ' > ' || v{limit}
         when 'snapshots' then
           'SELECT snapshot_id,committed_at,operation FROM {_TABLE}.snapshots ORDER BY committed_at DESC'
+        when 'null_check' then '{_NULLS}'
         when 'row_count' then 'SELECT COUNT(*) as total_rows FROM {_TABLE}'
         when 'describe' then 'DESCRIBE TABLE {_TABLE}'
         when 'top_n' then 'SELECT * FROM {_TABLE} LIMIT ' || n end as sql,
       case intent when 'fiscal_after' then 'Year above ' || v when 'where_above' then c || ' > ' || v
+        when 'null_check' then 'Missing values of each column'
         when 'snapshots' then 'Show snapshots' when 'row_count' then 'Count rows' when 'describe' then 'Show schema'
         when 'top_n' then 'Show top ' || n || ' rows' end as explanation
     from r"""
@@ -50,7 +55,7 @@ def route_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("route_requests_strict", _route_oracle(compat=False))
 def route_requests_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return textjobs.route_requests(REQUESTS.frame(spark, sf_dir), "request", _TABLE)
+    return textjobs.route_requests(REQUESTS.frame(spark, sf_dir), "request", _TABLE, columns=_SCHEMA)
 
 
 _PARSED = f"""
@@ -59,7 +64,8 @@ _PARSED = f"""
         when regexp_matches(reply, '(?s)\\{{.*\\}}') then regexp_extract(reply, '(?s)\\{{.*\\}}', 0) end as doc from r),
     p as (select event_id, json_extract_string(doc, '$.sql') as sql,
       json_extract_string(doc, '$.explanation') as explanation,
-      coalesce(json_extract_string(doc, '$.is_destructive') = 'true', false) as is_destructive,
+      coalesce(json_extract_string(doc, '$.is_destructive') in ('true', '1')
+        or json_extract_string(doc, '$.sql') not like 'SELECT%', false) as is_destructive,
       json_extract_string(doc, '$.warning') as warning from j)"""
 
 
@@ -89,7 +95,7 @@ def resolve_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("last_turns", """
     select conv_id, count(*) as turns, string_agg(turn || ' ' || role || ': ' || text, chr(10) order by turn) as context
     from (select *, row_number() over (partition by conv_id order by turn desc) as newest from conversations) c
-    where newest <= 4 group by conv_id""")
+    where newest <= 8 group by conv_id""")
 def last_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = textjobs.last_turns(table(spark, sf_dir, "conversations"), "conv_id", "turn")
     line = lambda t: F.concat(t["turn"].cast("string"), F.lit(" "), t["role"], F.lit(": "), t["text"])
@@ -112,12 +118,13 @@ def match_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _status_oracle(start: int, end: int) -> str:
     fields = ", ".join(f"trim(split_part(line, '|', {i + 1})) as f{i}" for i in range(6))
     return f"""
-    with d as ({RUN_LINES.sql()}), f as (select event_id, lower(line) as l, {fields} from d)
+    with d as ({RUN_LINES.sql()}), f as (select event_id, lower(line) as l, line not like '%scheduled%' as state_known, {fields} from d)
     select f0 as job, case when l like '%success%' then 'success' when l like '%failed%' then 'failed'
         when l like '%running%' then 'running' when l like '%queued%' then 'queued'
         when l like '%up_for_retry%' then 'up_for_retry' else 'unknown' end as state,
-      f1 as run_id, f{start} as start_date, f{end} as end_date
-    from (select *, row_number() over (partition by f0 order by event_id desc) as newest from f) n where newest = 1"""
+      case when state_known then f1 else '' end as run_id, case when state_known then f{start} else '' end as start_date,
+      case when state_known then f{end} else '' end as end_date
+    from (select *, row_number() over (partition by f0 order by state_known desc, event_id desc) as newest from f) n where newest = 1"""
 
 
 @query("run_status", _status_oracle(3, 4))

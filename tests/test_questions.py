@@ -15,7 +15,8 @@ def numbers(spark):
     "select 1", "with a as (select 1 x) select * from a", "select * from numbers order by id limit 3",
     "describe table numbers", "show tables", "explain select 1", "values (1), (2)", "table numbers",
     "select id, count(*) from numbers group by id having count(*) > 1", "select 1 union select 2",
-    "select 'delete from x' as text",
+    "select 'delete from x' as text", "select 'a\nInsert b'", "show functions", "select 1 as `update`",
+    "select * from numbers where id in (select max(id) from numbers)",
 ])
 def test_reads(spark, numbers, sql):
     assert querying.guard_sql(spark, sql).reads
@@ -27,7 +28,9 @@ def test_reads(spark, numbers, sql):
     "with a as (select 1 x) insert into t select * from a", "from numbers insert into t select *",
     "merge into t using numbers s on t.id = s.id when matched then delete", "set x=1", "cache table numbers",
     "create or replace temp view v as select 1", "select 1; drop table t", "selec 1", "",
-    "refresh table numbers",
+    "refresh table numbers", "select java_method('java.lang.System', 'nanoTime')", "select reflect('a', 'b')",
+    "select * from numbers where id > (select try_reflect('a', 'b'))", "with a as (select java_method('a', 'b') x) select * from a",
+    "select * from (select upper(java_method('a', 'b')) from numbers)",
 ])
 def test_refusals(spark, numbers, sql):
     assert not querying.guard_sql(spark, sql).reads
@@ -37,7 +40,9 @@ def test_statement_column(spark):
     texts = {
         "SELECT * FROM t": True, " (select 1)": True, "-- note\nselect 1": True, "select 'drop table t'": True,
         "DELETE FROM t": False, "select 1; drop table t": False, "with a as (select 1) insert into t select * from a": False,
-        "/* select */ drop table t": False, None: False, "": False,
+        "/* select */ drop table t": False, None: False, "": False, "select update from t": True, "select delete, `drop table` from t": True,
+        "select java_method('a', 'b')": False, "select reflect ('a', 'b')": False, "from t insert into u select 1": False,
+        "create or replace temp view v as select 1": False, "with a as (select 1) update t set x = 1": False,
     }
     df = spark.createDataFrame([(t,) for t in texts], "sql string")
     assert {r["sql"]: r["is_read"] for r in querying.guard_statements(df, "sql").collect()} == texts
@@ -45,14 +50,15 @@ def test_statement_column(spark):
 
 def test_run_sql(spark, numbers):
     answer = querying.run_sql(spark, "select id from numbers order by id desc")
-    assert (len(answer.rows), answer.total, answer.error, answer.rows[0][0]) == (50, 120, None, 119)
-    assert querying.run_sql(spark, "select id from numbers where id < 3").total == 3
+    assert (answer.rows.count(), answer.error, answer.rows.first()[0]) == (120, None, 119)
+    assert querying.run_sql(spark, "select id from numbers where id < 3").rows.count() == 3
 
 
 def test_run_sql_errors(spark, numbers):
     assert "no_such_table" in querying.run_sql(spark, "select * from no_such_table").error
     assert querying.run_sql(spark, "selec 1").error
-    assert "cast" in querying.run_sql(spark, "select cast('x' as int) from numbers").error.lower()
+    assert "id2" in querying.run_sql(spark, "select id2 from numbers").error
+    assert "java_method" in querying.run_sql(spark, "select java_method('java.lang.System', 'nanoTime')").error
     refused = querying.run_sql(spark, "create or replace temp view made_up as select 1")
     assert "confirm" in refused.error and not spark.catalog.tableExists("made_up")
     assert querying.run_sql(spark, "create or replace temp view made_up as select 1", confirm=True).error is None
@@ -67,7 +73,7 @@ def test_filters(spark):
     assert querying.numeric_stats(df).count() == 0
 
 
-def test_default_limit(spark):
-    assert querying.where_above(spark.range(200), "id", 9).count() == 50
-    assert querying.where_above(spark.range(200), "id", 9, limit=None).count() == 190
+def test_no_limit_unless_asked_for(spark):
+    assert querying.where_above(spark.range(200), "id", 9).count() == 190
+    assert querying.where_above(spark.range(200), "id", 9, limit=50).count() == 50
     assert querying.top_n(spark.range(200)).count() == 10

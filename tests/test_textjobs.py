@@ -3,14 +3,18 @@
 import json
 
 import pytest
+from pyspark.sql import types as T
 
 from tablewright.functions import text
 from tablewright.operators import textjobs
 
 
+COLUMNS = T.StructType([T.StructField("id", T.LongType()), T.StructField("a`b", T.StringType())])
+
+
 def route(spark, request, compat):
     df = spark.createDataFrame([(request,)], "request string")
-    return textjobs.route_requests(df, "request", "c.d.t", compat=compat).first()
+    return textjobs.route_requests(df, "request", "c.d.t", compat=compat, columns=COLUMNS).first()
 
 
 @pytest.mark.parametrize("request_text, intent, sql", [
@@ -38,6 +42,25 @@ def test_strict_routes(spark, request_text, intent):
     assert route(spark, request_text, compat=False)["intent"] == intent
 
 
+def test_strict_routes_have_sql_without_limits(spark):
+    assert route(spark, "salary above 100", False)["sql"] == "SELECT * FROM c.d.t WHERE salary > 100"
+    assert route(spark, "count null values", False)["sql"] == (
+        "SELECT COUNT(*) - COUNT(`id`) AS `id`, COUNT(*) - COUNT(`a``b`) AS `a``b` FROM c.d.t")
+    stats = route(spark, "statistics", False)
+    assert stats["sql"] == "SELECT MIN(`id`) AS `min_id`, MAX(`id`) AS `max_id`, AVG(`id`) AS `avg_id` FROM c.d.t" and stats["explanation"]
+    with pytest.raises(ValueError, match="columns of the table"):
+        textjobs.route_requests(spark.createDataFrame([("x",)], "request string"), "request", "t")
+
+
+@pytest.mark.parametrize("name", ["value", "SQL", "intent"])
+def test_columns_of_the_user_are_not_overwritten(spark, name):
+    df = spark.createDataFrame([("top 5", "{}", 99.5)], f"request string, reply string, `{name}` double")
+    with pytest.raises(ValueError, match=name.lower()):
+        textjobs.route_requests(df, "request", "t", compat=True)
+    with pytest.raises(ValueError, match=name.lower()):
+        textjobs.resolve_requests(df, "request", "reply", "t", "c.t")
+
+
 def test_strict_route_filters_the_named_column(spark):
     assert "SUBSTR(fiscal_year,1,4)" in route(spark, "fiscal_year > 2019", compat=False)["sql"]
 
@@ -45,6 +68,10 @@ def test_strict_route_filters_the_named_column(spark):
 @pytest.mark.parametrize("reply, sql, destructive", [
     ('{"sql": "select 1", "is_destructive": true}', "select 1", True),
     ('```json\n{"sql": "select 1"}\n```', "select 1", False),
+    *[(f'{{"sql": "select 1", "is_destructive": {flag}}}', "select 1", True) for flag in ('"true"', "1", '"yes"', "0.5", "[1]", '{"a": 1}', '"false"')],
+    *[(f'{{"sql": "select 1", "is_destructive": {flag}}}', "select 1", False) for flag in ("false", "0", "0.0", '""', "null", "[]", "{}")],
+    ('{"sql": "DELETE FROM t", "is_destructive": false}', "DELETE FROM t", True), ('{"sql": "drop table t"}', "drop table t", True),
+    ('{"is_destructive": true}', None, True),
     ('Here: {"sql": "select {x}"} bye', "select {x}", False),
     ('{"sql": null}', None, False), ('["sql"]', None, False), ('[{"sql": "select 1"}]', None, False),
     ('"{\\"sql\\": 1}"', None, False), ('[note] {"sql": "select 1"}', "select 1", False), ("{broken", None, False), ("", None, False),
@@ -64,10 +91,10 @@ def test_qualify(spark, sql, qualified):
 
 
 def test_last_turns(spark):
-    df = spark.createDataFrame([(1, i, "user", f"m{i}") for i in range(9)] + [(2, 0, "user", "x")],
+    df = spark.createDataFrame([(1, i, "user", f"m{i}") for i in range(12)] + [(2, 0, "user", "x")],
                                "conv int, turn int, role string, text string")
     found = {r["conv"]: [t["text"] for t in r["context"]] for r in textjobs.last_turns(df, "conv", "turn").collect()}
-    assert found == {1: ["m5", "m6", "m7", "m8"], 2: ["x"]}
+    assert found == {1: [f"m{i}" for i in range(4, 12)], 2: ["x"]}  # four requests, four answers
 
 
 def test_first_rule_wins_over_many_blocks(spark):
@@ -99,12 +126,15 @@ def test_run_status(spark):
         (1, "job_a | run1 | success | e1 | s1 | x1"), (2, "job_a | run2 | FAILED | e2 | s2 | x2"),
         (3, " | job_b |  | run9 | nothing known | "), (4, "   "), (5, None), (6, "job_c | up_for_retry"),
         (7, "job_d | run | queued then running | e"),
+        (8, "job_e | run1 | success | e1 | s1"), (9, "job_e | run2 | scheduled | e2 | s2"),
+        (10, "job_f | run1 | queued | a"), (10, "job_f | run2 | running | b"),
     ]
     df = spark.createDataFrame(lines, "n int, line string")
     found = {r["job"]: tuple(r)[1:] for r in textjobs.run_status(df, "line", "n").collect()}
     assert found == {
         "job_a": ("failed", "run2", "e2", "s2"), "job_b": ("unknown", "", "", ""),
-        "job_c": ("up_for_retry", "up_for_retry", "", ""), "job_d": ("running", "run", "e", "")}
+        "job_c": ("up_for_retry", "up_for_retry", "", ""), "job_d": ("running", "run", "e", ""),
+        "job_e": ("success", "run1", "e1", "s1"), "job_f": ("running", "run2", "b", "")}
     header = ["dag_id", "run_id", "state", "execution_date", "start_date", "end_date"]
     named = {r["job"]: tuple(r)[3:] for r in textjobs.run_status(df, "line", "n", header).collect()}
     assert named["job_a"] == ("s2", "x2")
