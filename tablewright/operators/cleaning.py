@@ -180,7 +180,7 @@ def clean(
     """
     log: list[str] = []
     named = clean_names(df, on_collision)
-    log.append("Column names standardized")
+    log.append("names: cleaned")
 
     void = [f.name for f in named.schema.fields if isinstance(f.dataType, T.NullType)]
     solid = [f for f in named.schema.fields if f.name not in void]
@@ -215,9 +215,9 @@ def clean(
     found = _aggregate(staged, measures)
     rows = found["kept"]
     dropped_empty = found["empty"] or 0
-    log.append(f"Dropped {dropped_empty} fully empty rows")
-    log.append(f"Dropped {(found['read'] or 0) - dropped_empty - rows} duplicate rows")
-    log.append("Trimmed all string columns")
+    log.append(f"empty rows: {dropped_empty} left out")
+    log.append(f"copies of rows: {(found['read'] or 0) - dropped_empty - rows} left out")
+    log.append("texts: trimmed, blank ones made null")
 
     casts = set(_numeric_text(
         {f.name: (found[f.name, "filled"], found[f.name, "parsed"]) for f in solid if _is_text(f)},
@@ -226,8 +226,7 @@ def clean(
     live = staged.filter(~F.col(empty)).select(*[
         _as_number(col(n)).alias(n) if n in casts else col(n) for n in names
     ])
-    log += [f"  Cast '{n}' to double" for n in names if n in casts]
-    log.append("Types inferred")
+    log += [f"numbers in text: {n} is double now" for n in names if n in casts]
 
     nulls = {n: rows - found[n, "parsed" if n in casts else "filled"] for n in names}
     holes = {
@@ -239,12 +238,11 @@ def clean(
     for n in holes:
         values.setdefault(n, MISSING_TEXT)
         what = f"median {values[n]}" if n in numbers else MISSING_TEXT
-        log.append(f"  Filled {nulls[n]} nulls of '{n}' with {what}")
-    log.append("Null values filled")
+        log.append(f"missing values: {nulls[n]} of {n} are {what} now")
 
     sparse = [n for n in names if n not in holes and nulls[n] / max(rows, 1) > sparse_threshold]
     lost = sparse + (void if rows else [])
-    log.append(f"Dropped high-null columns: {lost or 'none'}")
+    log.append(f"sparse columns: {', '.join(lost) or 'none'} left out")
 
     result = live.select(*[
         F.lit(None).alias(n) if n in void
@@ -252,5 +250,5 @@ def clean(
         else col(n)
         for n in named.columns if n not in lost
     ])
-    log.append("Metadata columns added")
+    log.append("metadata: time and source added")
     return add_metadata(result, source), log

@@ -10,14 +10,17 @@ import math
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import col
 from ..functions.values import NESTED, byte_width, group_key, lane_key, present
 
-# Fixed value: the text of a report without findings.
+# The texts of the findings, and that of a report without any.
+NULLS_FOUND = (" null values across ", " columns")
+DUPLICATES_FOUND = " duplicate rows"
+MOSTLY_NULL = "Column '{}' has >50% nulls — consider dropping"
 NO_ISSUES = "No major issues found ✅"
 
 SKETCH_GROUPS = 256
@@ -61,15 +64,19 @@ def profile_nulls(df: DataFrame) -> DataFrame:
 
 def profile_types(df: DataFrame) -> DataFrame:
     """Position, name and type of each column."""
-    return _small_table(
-        df.sparkSession,
-        [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields)],
-        "position int, name string, dtype string",
-    )
+    return df.sparkSession.range(1).select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("position"), F.lit(f.name).alias("name"), F.lit(f.dataType.simpleString()).alias("dtype"))
+        for i, f in enumerate(df.schema.fields)])))
+
 
+def _of_position(values: str, i: int, default: Column) -> Column:
+    """The value of a column in a map from positions."""
+    return F.coalesce(F.try_element_at(values, F.lit(i)), default)
 
-def _small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
+
+def _by_position(rows: DataFrame, value: str) -> Column:
+    """Rows (position, value), at most one for each column, as one map."""
+    return F.map_from_entries(F.collect_list(F.struct("position", value))).alias(value)
 
 
 def profile_distinct(df: DataFrame, rsd: float | None = None) -> DataFrame:
@@ -82,10 +89,16 @@ def profile_distinct(df: DataFrame, rsd: float | None = None) -> DataFrame:
     fields = df.schema.fields
     if rsd is not None:
         return _per_column(distinct_estimates(df, rsd), fields, {"d": "distinct_values"})
+    counted = _distinct_counts(df)
+    return counted.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("position"), F.lit(f.name).alias("name"), _of_position("distinct_values", i, F.lit(0)).alias("distinct_values"))
+        for i, f in enumerate(fields)])))
+
+
+def _distinct_counts(df: DataFrame) -> DataFrame:
+    """One row: distinct values by position, without columns that have none."""
     counted = _distinct_values(df).groupBy("position").agg(F.count("*").alias("distinct_values"))
-    names = profile_types(df).select("position", "name")
-    return names.join(counted, "position", "left").select(
-        "position", "name", F.coalesce("distinct_values", F.lit(0)).alias("distinct_values"))
+    return counted.agg(_by_position(counted, "distinct_values"))
 
 
 def distinct_estimates(df: DataFrame, rsd: float = 0.05) -> DataFrame:
@@ -142,15 +155,19 @@ def _key_bounds(df: DataFrame, order_by: str, n: int) -> list[Column | None]:
     so the ``n``-th smallest of the group minima is such a key. A plain aggregation.
     """
     fields, key_type = df.schema.fields, df.schema[order_by].dataType
+    # a moment goes through the driver as its microseconds, free of any time zone
+    is_moment = isinstance(key_type, T.TimestampType)
+    plain = F.unix_micros if is_moment else lambda c: c
     keyed = df.select(
-        F.pmod(F.monotonically_increasing_id(), F.lit(BOUND_GROUPS)).alias("g"),
+        F.pmod(F.monotonically_increasing_id(), F.lit(max(BOUND_GROUPS, 2 * n))).alias("g"),
         *[F.when(present(col(f.name), f.dataType).isNotNull(), col(order_by)).alias(f"k{i}")
           for i, f in enumerate(fields)])
     smallest = keyed.groupBy("g").agg(*[F.min(f"k{i}").alias(f"k{i}") for i in range(len(fields))])
     bounds = smallest.agg(*[
-        F.get(F.array_sort(F.collect_list(f"k{i}")), F.lit(n - 1)).cast("string").alias(f"k{i}")
+        plain(F.get(F.array_sort(F.collect_list(f"k{i}")), F.lit(n - 1))).cast("string").alias(f"k{i}")
         for i in range(len(fields))]).first()
-    return [None if bound is None else F.lit(bound).cast(key_type) for bound in bounds]
+    typed = (lambda b: F.timestamp_micros(F.lit(int(b)))) if is_moment else lambda b: F.lit(b).cast(key_type)
+    return [None if bound is None else typed(bound) for bound in bounds]
 
 
 def profile_samples(df: DataFrame, order_by: str, n: int = 3) -> DataFrame:
@@ -159,6 +176,18 @@ def profile_samples(df: DataFrame, order_by: str, n: int = 3) -> DataFrame:
     A first scan bounds the keys that can matter, so that hardly a row is left to
     sort. Of those each task keeps ``n`` per column, and only these become text.
     """
+    fields = df.schema.fields
+    return _samples(df, order_by, n).select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("position"), F.lit(f.name).alias("name"), _of_position("sample", i, _NO_SAMPLE()).alias("sample"))
+        for i, f in enumerate(fields)])))
+
+
+def _NO_SAMPLE() -> Column:
+    return F.array().cast("array<string>")
+
+
+def _samples(df: DataFrame, order_by: str, n: int = 3) -> DataFrame:
+    """One row: samples by position, without columns that have none."""
     key = col(order_by)
     bounds = _key_bounds(df, order_by, n)
     known = [b for b in bounds if b is not None]
@@ -182,9 +211,7 @@ def profile_samples(df: DataFrame, order_by: str, n: int = 3) -> DataFrame:
     collected = ranked.groupBy("position").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda s: s["value"])
         .alias("sample"))
-    names = profile_types(df).select("position", "name")
-    return names.join(collected, "position", "left").select(
-        "position", "name", F.coalesce("sample", F.array().cast("array<string>")).alias("sample"))
+    return collected.agg(_by_position(collected, "sample"))
 
 
 def _row_width(df: DataFrame) -> Column:
@@ -237,10 +264,10 @@ def _issue_list(fields: list[T.StructField]) -> Column:
     total, columns = _null_sums(len(fields))
     rows, duplicates = F.col("rows"), F.col("duplicate_rows")
     findings = F.array_compact(F.array(
-        F.when(total > 0, F.concat(total.cast("string"), F.lit(" null values across "),
-                                   columns.cast("string"), F.lit(" columns"))),
-        F.when(duplicates > 0, F.concat(duplicates.cast("string"), F.lit(" duplicate rows"))),
-        *[F.when(F.col(f"n{i}") * 2 > rows, F.lit(f"Column '{f.name}' has >50% nulls — consider dropping"))
+        F.when(total > 0, F.concat(total.cast("string"), F.lit(NULLS_FOUND[0]),
+                                   columns.cast("string"), F.lit(NULLS_FOUND[1]))),
+        F.when(duplicates > 0, F.concat(duplicates.cast("string"), F.lit(DUPLICATES_FOUND))),
+        *[F.when(F.col(f"n{i}") * 2 > rows, F.lit(MOSTLY_NULL.format(f.name)))
           for i, f in enumerate(fields)],
     ))
     return F.when(F.size(findings) > 0, findings).otherwise(F.array(F.lit(NO_ISSUES)))
@@ -296,28 +323,18 @@ def profile(df: DataFrame, order_by: str, file: str | None = None) -> DataFrame:
         _score(len(fields)).alias("quality_score"),
         F.lit([f.name for f in fields]).alias("column_names"),
         F.create_map(*[F.lit(x) for f in fields for x in (f.name, f.dataType.simpleString())]).alias("dtypes"),
-    )
-    nulls = facts.select(
         *[f"n{i}" for i in range(len(fields))],
-        *[_null_pct(F.col(f"n{i}"), F.col("rows")).alias(f"p{i}") for i in range(len(fields))])
-    per_column = (
-        profile_types(df)
-        .join(_per_column(nulls, fields, {"n": "nulls", "p": "null_pct"}).drop("name"), "position")
-        .join(profile_distinct(df).drop("name"), "position")
-        .join(profile_samples(df, order_by).drop("name"), "position")
     )
-    schema = per_column.agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct(
-                "position", "name", "dtype", "nulls", "null_pct", "distinct_values", "sample"))),
-            lambda s: F.struct(s["name"].alias("name"), s["dtype"].alias("dtype"), s["nulls"].alias("nulls"),
-                               s["null_pct"].alias("null_pct"), s["distinct_values"].alias("unique"),
-                               s["sample"].alias("sample")),
-        ).alias("schema"))
     top = preview(df, order_by=order_by).agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct(col(order_by).alias("k"), F.struct(*map(col, df.columns)).alias("r")))),
             lambda s: s["r"]).alias("preview"))
-    return _merge_rows([summary, schema, top]).select(
-        "file", "rows", "columns", "memory_mb", "schema", "issues", "quality_score",
+    schema = F.array(*[
+        F.struct(
+            F.lit(f.name).alias("name"), F.lit(f.dataType.simpleString()).alias("dtype"), F.col(f"n{i}").alias("nulls"),
+            _null_pct(F.col(f"n{i}"), F.col("rows")).alias("null_pct"), _of_position("distinct_values", i, F.lit(0)).alias("unique"),
+            _of_position("sample", i, _NO_SAMPLE()).alias("sample"))
+        for i, f in enumerate(fields)])
+    return _merge_rows([summary, _distinct_counts(df), _samples(df, order_by), top]).select(
+        "file", "rows", "columns", "memory_mb", schema.alias("schema"), "issues", "quality_score",
         "column_names", "dtypes", "preview")

@@ -36,7 +36,8 @@ class _Bracket:
 def exact_quantiles(df: DataFrame, columns: list[str], p: float = 0.5) -> dict[str, float | None]:
     """The smallest value with at least ``p`` of the non-missing values at or below it.
 
-    Nulls and NaN are left out; a column without values gives ``None``.
+    Nulls and NaN are left out; a column without values gives ``None``. Values are compared as
+    doubles: whole numbers beyond 2^53 come back as the nearest double.
     """
     answers: dict[str, float | None] = dict.fromkeys(columns)
     pending: dict[str, _Bracket | None] = dict.fromkeys(columns)

@@ -32,14 +32,14 @@ def test_duplicates_go_before_trimming(spark):
     df = spark.createDataFrame([("x",), ("x ",), ("x",)], "s string")
     cleaned, log = cleaning.clean(df, "t")
     assert [r["s"] for r in cleaned.collect()] == ["x", "x"]
-    assert "Dropped 1 duplicate rows" in log
+    assert "copies of rows: 1 left out" in log
 
 
 def test_blank_rows_are_not_empty_rows(spark):
     df = spark.createDataFrame([("  ", None), (None, None), (None, None), ("a", "b")], "s string, t string")
     cleaned, log = cleaning.clean(df, "t")
     assert rows(cleaned.select("s", "t")) == [("UNKNOWN", "UNKNOWN"), ("a", "b")]
-    assert "Dropped 2 fully empty rows" in log and "Dropped 0 duplicate rows" in log
+    assert "empty rows: 2 left out" in log and "copies of rows: 0 left out" in log
 
 
 def test_steps_one_by_one_equal_the_whole(spark):
@@ -120,7 +120,7 @@ def test_empty_input(spark):
     cleaned, log = cleaning.clean(df, "t")
     assert cleaned.count() == 0
     assert cleaned.columns == ["i", "s", "d", "_ingested_at", "_source"]
-    assert "Dropped high-null columns: none" in log
+    assert "sparse columns: none left out" in log
 
 
 def test_nothing_left_to_fill(spark):

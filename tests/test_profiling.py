@@ -104,3 +104,26 @@ def test_partition_choice(spark):
     assert choose_partition(df.selectExpr("i", "case when i > 3 then 'one' end as s")) == "s"
     assert choose_partition(df.selectExpr("array(day) as days", "current_timestamp() as _ingested_at")) is None
     assert choose_partition(df.limit(0).select("wide")) is None
+
+
+def test_samples_across_a_clock_change(spark):
+    """An hour that comes twice in the session's zone is two hours."""
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.range(200).selectExpr("timestamp_micros(1762059600000000 + id * 36000000) as at", "id", "string(id) as s")
+        found = {r["name"]: r["sample"] for r in profiling.profile_samples(df, "at").collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert found["id"] == found["s"] == ["0", "1", "2"] and len(found["at"]) == 3
+
+
+def test_many_samples(spark):
+    found = {r["name"]: r["sample"] for r in profiling.profile_samples(spark.range(0, 1000, 1, 4).selectExpr("id", "id % 7 as m"), "id", 100).collect()}
+    assert found["id"] == [str(i) for i in range(100)] and len(found["m"]) == 100
+
+
+def test_report_has_no_join_and_no_local_rows(spark):
+    df = spark.range(100).selectExpr("id", "string(id % 3) as s", "cast(null as int) as n")
+    plan = profiling.profile(df, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "ExistingRDD" not in plan
