@@ -33,7 +33,7 @@ from .shared import label_fold, labelled_sample, letter_words, per_text, staged,
 BUCKETS = 1 << 16
 SHORTEST, LONGEST = 4, 7
 #: Bounds of the sample that is learnt from.
-TRAIN_ROWS, TRAIN_MB = 6_000, 24
+TRAIN_ROWS, TRAIN_MB = 10_000, 40
 DIM, EPOCHS, BATCH, RATE, SCALE, DROP, MIN_TEXTS = 8, 9, 32, 0.5, 60.0, 0.5, 3
 THRESHOLD = 0.3
 #: Weights travel as 16-bit numbers, times this.
