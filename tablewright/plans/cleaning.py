@@ -85,6 +85,43 @@ def fill_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.fill_nulls(cleaning.trim_blank(DIRTY_ORDERS.frame(spark, sf_dir)), rel_error=0.0)
 
 
+def _near_median(values: DataFrame, column: str, used: float) -> bool:
+    """Whether at most the default error, one in a hundred, of the values lies between a number and the median."""
+    below, upto = values.agg(F.avg((F.col(column) < used).cast("int")), F.avg((F.col(column) <= used).cast("int"))).first()
+    return below - 0.01 <= 0.5 <= upto + 0.01
+
+
+@query("fill_nulls_default", f"""
+    select o_orderkey, o_custkey, price, coalesce(prio, 'UNKNOWN') as prio, code, odate, true as near
+    from (select {_TRIMMED} from ({DIRTY_ORDERS.sql()}) d) t""")
+def fill_nulls_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the default error; the fills are shown as nulls again, and judged by their rank."""
+    dirty = cleaning.trim_blank(DIRTY_ORDERS.frame(spark, sf_dir))
+    filled = cleaning.fill_nulls(dirty)
+    was_null = F.col("o_orderkey") % 7 == 0
+    used = filled.filter(was_null).agg(F.min("price"), F.max("price")).first()
+    near = used[0] == used[1] and _near_median(dirty, "price", used[0])
+    return filled.withColumn("price", F.when(~was_null, F.col("price"))).withColumn("near", F.lit(near))
+
+
+@query("clean_default", f"""
+    with typed as (
+      select o_orderkey, o_custkey, price, nullif(trim(prio), '') as prio, try_cast(nullif(trim(code), '') as double) as code
+      from (select distinct * from ({DIRTY_ORDERS.sql()}) d) u)
+    select o_orderkey as order_key, o_custkey as cust_key, price as price_eur, coalesce(prio, 'UNKNOWN') as prio, code as code_no,
+      'orders' as _source, true as near from typed""")
+def clean_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole job with its default error; the fills are shown as nulls again, and judged by their rank."""
+    cleaned, _ = cleaning.clean(DIRTY_ORDERS.frame(spark, sf_dir).toDF(*RAW_NAMES), "orders")
+    fills = {"price_eur": F.col("order_key") % 7 == 0, "code_no": F.col("order_key") % 20 == 0}
+    near, shown = True, cleaned.drop("_ingested_at")
+    for name, was_null in fills.items():
+        used = cleaned.filter(was_null).agg(F.min(name), F.max(name)).first()
+        near = near and used[0] == used[1] and _near_median(cleaned.filter(~was_null), name, used[0])
+        shown = shown.withColumn(name, F.when(~was_null, F.col(name)))
+    return shown.withColumn("near", F.lit(near))
+
+
 @query("drop_sparse", f"select o_orderkey, o_custkey, price, prio, code from ({DIRTY_ORDERS.sql()}) d")
 def drop_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.drop_sparse(DIRTY_ORDERS.frame(spark, sf_dir))
