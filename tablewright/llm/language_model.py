@@ -37,7 +37,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import blank_words, label_fold, scratch
+from ..operators.staging import scratch_dir
+from .shared import blank_words, label_fold
 
 #: Bytes of text for each part of the model, distinct words and tokens that a task holds, and tokens scored at once.
 PART_BYTES, HELD_WORDS, HELD_TOKENS, AT_ONCE = 32_000_000, 300_000, 3_000_000, 200_000
@@ -413,7 +414,7 @@ def train(docs: DataFrame) -> Model:
     raw = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("raw"))
     size = raw.agg(F.coalesce(F.sum(F.octet_length("raw")), F.lit(0)).alias("bytes"), F.count("*").alias("texts")).first()
     bits = min(16, max(2, ceil(log2(max(size["bytes"], 1) / PART_BYTES))))
-    model = Model(scratch(docs.sparkSession), bits, texts=size["texts"])
+    model = Model(scratch_dir(docs.sparkSession), bits, texts=size["texts"])
     parts = range(1 << bits)
 
     words = raw.mapInArrow(_count_words(model), _PACKED).groupBy("target").applyInArrow(_merge_words(model), _NUMBERS).collect()

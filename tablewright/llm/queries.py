@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, chat, decontamination, embeddings, language_model, licenses, quality, simhash, toxicity, urls
 from .oracles import ORACLES
+from .shared import ship
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

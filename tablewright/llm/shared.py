@@ -1,18 +1,38 @@
-"""Helpers shared by the operators: words, per-text functions, staged tables, samples."""
+"""Helpers shared by the operators: words, per-text functions, hot groups, samples."""
 
 from __future__ import annotations
 
-import atexit
-import hashlib
 import tempfile
-import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.staging import stage as staged
+
+ROWS_AT_ONCE = 256
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the library's code to the executors of a session, once, as ``--py-files`` would."""
+    application = spark.sparkContext.applicationId
+    if application in _shipped:
+        return
+    package = Path(__file__).resolve().parents[1]
+    archive = f"{tempfile.mkdtemp(prefix='code-')}/{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for source in sorted(package.rglob("*.py")):
+            z.write(source, source.relative_to(package.parent))
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(application)
+
+
 _KEPT = {*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)}
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b in _KEPT else 32 for b in range(256))
 
@@ -27,10 +47,6 @@ def blank_words(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def sha256(data: bytes | str) -> str:
-    return hashlib.sha256(data.encode() if isinstance(data, str) else data).hexdigest()
-
-
 def with_result(
     df: DataFrame, text: str, result: str, schema: T.StructType,
     start: Callable[[], Callable[[bytes], tuple]],
@@ -46,8 +62,11 @@ def with_result(
     def apply(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         one = start()
         for batch in batches:
-            rows = [dict(zip(schema.names, one(v.as_py()), strict=True)) for v in batch]
-            yield pa.array(rows, type=arrow)
+            parts = [pa.array([], type=arrow)]
+            for at in range(0, len(batch), ROWS_AT_ONCE):  # results become Arrow soon, to hold few Python objects
+                rows = [dict(zip(schema.names, one(v.as_py()), strict=True)) for v in batch[at:at + ROWS_AT_ONCE]]
+                parts.append(pa.array(rows, type=arrow))
+            yield pa.concat_arrays(parts)
 
     apply.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     udf = F.arrow_udf(apply, schema).asNondeterministic()
@@ -79,36 +98,21 @@ def unused(name: str, *frames: DataFrame) -> str:
     return next(n for n in (name, *(f"{name}_{i}" for i in range(1 + len(taken)))) if n.lower() not in taken)
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new path under ``spark.checkpoint.dir``, which all executors share.
+#: Large groups up to which their sizes go to every task; more are joined by a shuffle.
+SENT_GROUPS = 100_000
 
-    Where the setting is missing, a local session takes a temporary folder; a cluster raises.
-    What lies there is removed when the driver's Python ends.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="tablewright-")
-    path = f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    return path
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is None:
-        return
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
+def with_parts(rows: DataFrame, sizes: DataFrame, keys: list[str], part: int) -> DataFrame:
+    """``rows`` with ``parts``: into how many parts of ``part`` rows a group of over twice that size is cut, else 1.
 
-def staged(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet under the shared folder and read back: its lineage ends there."""
-    spark = df.sparkSession
-    path = scratch(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    ``sizes`` has a row for each group: its keys and ``count``. Without large groups nothing is joined.
+    """
+    large = staged(sizes.where(F.col("count") > 2 * part).select(*keys, F.ceil(F.col("count") / part).cast("int").alias("parts")))
+    n = large.count()
+    if n == 0:
+        return rows.withColumn("parts", F.lit(1))
+    joined = rows.join(F.broadcast(large) if n <= SENT_GROUPS else large, keys, "left")
+    return joined.withColumn("parts", F.coalesce("parts", F.lit(1)))
 
 
 def label_fold(column: str, folds: int) -> F.Column:
