@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tablewright.llm import bpe, decontamination, quality, simhash, toxicity
 from tablewright.llm import queries as registered
-from tablewright.llm.shared import staged
+from tablewright.llm.shared import ship, staged
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -25,6 +26,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near-duplicates."""
+    ship(spark)
     return simhash.keep_one(docs)
 
 
@@ -35,6 +37,7 @@ def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids) of each document."""
+    ship(spark)
     return bpe.token_digests(docs, registered.tokenizer_path(), with_ids=True)
 
 
