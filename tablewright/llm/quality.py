@@ -141,16 +141,14 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "quali
 
     # read part by part, to hold the sample once
     found = staged(per_text(sample, TERM_SCHEMA, start, ("doc_id", "y")))
-    order = {(r["doc_id"], r["y"]): [] for r in found.select("doc_id", "y").orderBy("doc_id", "y").collect()}
-    table, n = np.zeros((most_rows, TERMS), np.float32), 0
+    order = found.select("doc_id", "y").orderBy("doc_id", "y").collect()
+    places: dict[tuple, list[int]] = {}
+    for i, r in enumerate(order):
+        places.setdefault(tuple(r), []).append(i)
+    table = np.zeros((len(order), TERMS), np.float32)
     for r in found.toLocalIterator():
-        if n == len(table):  # ids that repeat
-            table = np.concatenate((table, np.zeros_like(table)))
-        table[n] = np.frombuffer(r["rates"], np.float32)
-        order[r["doc_id"], r["y"]].append(n)
-        n += 1
-    places = [i for of_id in order.values() for i in of_id]
-    model = train(table[:n][places], np.array([y for (_, y), of_id in order.items() for _ in of_id], dtype=np.float64))
+        table[places[r["doc_id"], r["y"]].pop()] = np.frombuffer(r["rates"], np.float32)
+    model = train(table, np.array([r["y"] for r in order], dtype=np.float64))
     return docs.sparkSession.sparkContext.broadcast(model)
 
 

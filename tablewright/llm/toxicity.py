@@ -33,7 +33,7 @@ from .shared import label_fold, labelled_sample, letter_words, per_text, staged,
 BUCKETS = 1 << 16
 SHORTEST, LONGEST = 4, 7
 #: Bounds of the sample that is learnt from.
-TRAIN_ROWS, TRAIN_MB = 10_000, 40
+TRAIN_ROWS, TRAIN_MB = 8_000, 32
 DIM, EPOCHS, BATCH, RATE, SCALE, DROP, MIN_TEXTS = 8, 9, 32, 0.5, 60.0, 0.5, 3
 THRESHOLD = 0.3
 #: Weights travel as 16-bit numbers, times this.
@@ -81,6 +81,15 @@ def bag(raw: bytes) -> Bag:
     return found, total[found].astype(np.float32)
 
 
+class Sample(NamedTuple):
+    """Bags of the labelled texts, one after the other: text i has the entries from offset i to the next."""
+
+    buckets: np.ndarray
+    weights: np.ndarray  # 16-bit numbers, times FINE
+    offsets: np.ndarray
+    labels: np.ndarray
+
+
 class Model(NamedTuple):
     """The log-odds of a text: the mean over words of the mean weight of their buckets, plus a bias."""
 
@@ -88,20 +97,17 @@ class Model(NamedTuple):
     bias: float
 
 
-def train(bags: list[Bag], labels: np.ndarray, seed: int = 7) -> Model:
-    """``bags`` hold weights times FINE; the list is changed in place."""
-    share = float(labels.mean()) if len(labels) else 0.0
+def train(sample: Sample, seed: int = 7) -> Model:
+    labels, n = sample.labels, len(sample.labels)
+    share = float(labels.mean()) if n else 0.0
     if share in (0.0, 1.0):
         return Model(np.zeros(BUCKETS, np.float32), np.inf if share else -np.inf)
     rng = np.random.default_rng(seed)
     texts = np.zeros(BUCKETS, np.int64)
-    for buckets, _ in bags:
-        texts[buckets] += 1
-    least = MIN_TEXTS if len(bags) >= 100 else 1
-    for i, (buckets, w) in enumerate(bags):
-        often = texts[buckets] >= least
-        bags[i] = buckets[often], w[often]
-    rows = np.array([i for i, (b, _) in enumerate(bags) if len(b)])
+    for i in range(n):
+        texts[sample.buckets[sample.offsets[i]:sample.offsets[i + 1]]] += 1
+    often = texts >= (MIN_TEXTS if n >= 100 else 1)
+    rows = np.flatnonzero(np.diff(sample.offsets))
     embeddings = rng.normal(0, 0.1 / np.sqrt(DIM), (BUCKETS, DIM)).astype(np.float32)
     softmax, bias = rng.normal(0, 0.1, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
     seen, seen_softmax, seen_bias = np.full(BUCKETS, 1e-6, np.float32), np.full((DIM, 2), 1e-6), np.full(2, 1e-6)
@@ -112,13 +118,14 @@ def train(bags: list[Bag], labels: np.ndarray, seed: int = 7) -> Model:
         for start in range(0, len(order), BATCH):
             rate, step = RATE * (1 - step / steps), step + 1
             batch = order[start:start + BATCH]
-            buckets = np.concatenate([bags[i][0] for i in batch])
-            kept = rng.random(len(buckets), np.float32) >= DROP
+            spans = [slice(sample.offsets[i], sample.offsets[i + 1]) for i in batch]
+            buckets = np.concatenate([sample.buckets[s] for s in spans])
+            kept = often[buckets] & (rng.random(len(buckets), np.float32) >= DROP)
             buckets = buckets[kept]
             if not len(buckets):
                 continue
-            row = np.repeat(np.arange(len(batch)), [len(bags[i][0]) for i in batch])[kept]
-            w = np.concatenate([bags[i][1] for i in batch])[kept] * np.float32(SCALE / (1 - DROP) / FINE)
+            row = np.repeat(np.arange(len(batch)), [s.stop - s.start for s in spans])[kept]
+            w = np.concatenate([sample.weights[s] for s in spans])[kept] * np.float32(SCALE / (1 - DROP) / FINE)
             sizes = np.bincount(row, minlength=len(batch))
             starts = np.minimum(np.cumsum(sizes) - sizes, len(buckets) - 1)
             means = np.add.reduceat(embeddings[buckets] * w[:, None], starts, axis=0)
@@ -140,7 +147,7 @@ def train(bags: list[Bag], labels: np.ndarray, seed: int = 7) -> Model:
             seen_bias += to_bias**2
             bias -= (0.2 * rate * to_bias / np.sqrt(seen_bias)).astype(np.float32)
     folded = SCALE * (embeddings @ (softmax[:, 1] - softmax[:, 0]))
-    folded[texts < least] = 0
+    folded[~often] = 0
     return Model(folded.astype(np.float32), float(bias[1] - bias[0]))
 
 
@@ -180,13 +187,24 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "toxic
             return buckets.astype(np.uint16).tobytes(), (weights * FINE).astype(np.float16).tobytes()
         return one
 
-    # read part by part, to hold the sample once
-    found = staged(per_text(sample, BAG_SCHEMA, start, ("doc_id", "y"))).toLocalIterator()
-    rows = [(r["doc_id"], r["y"], np.frombuffer(r["buckets"], np.uint16), np.frombuffer(r["weights"], np.float16)) for r in found]
-    rows.sort(key=lambda r: (r[0], r[1], len(r[2]), r[2].tobytes()))
-    bags = [r[2:] for r in rows]
-    model = train(bags, np.array([r[1] for r in rows], dtype=np.int64))
-    return docs.sparkSession.sparkContext.broadcast(model)
+    found = staged(per_text(sample, BAG_SCHEMA, start, ("doc_id", "y")))
+    return docs.sparkSession.sparkContext.broadcast(train(_gather(found)))
+
+
+def _gather(found: DataFrame) -> Sample:
+    """Bags in the order of their ids, read part by part into arrays of their final size."""
+    entries = (F.octet_length("buckets") / 2).cast("int").alias("n")
+    order = found.select("doc_id", "y", entries).orderBy("doc_id", "y", "n").collect()
+    offsets = np.concatenate(([0], np.cumsum([r["n"] for r in order], dtype=np.int64)))
+    places: dict[tuple, list[int]] = {}
+    for i, r in enumerate(order):
+        places.setdefault(tuple(r), []).append(i)
+    out = Sample(np.zeros(offsets[-1], np.uint16), np.zeros(offsets[-1], np.float16), offsets, np.array([r["y"] for r in order], np.int64))
+    for r in found.toLocalIterator():
+        i = places[r["doc_id"], r["y"], len(r["buckets"]) // 2].pop()
+        out.buckets[offsets[i]:offsets[i + 1]] = np.frombuffer(r["buckets"], np.uint16)
+        out.weights[offsets[i]:offsets[i + 1]] = np.frombuffer(r["weights"], np.float16)
+    return out
 
 
 def score(docs: DataFrame, model: Broadcast) -> DataFrame:
