@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .shared import staged
+from .shared import staged, with_parts
 from .simhash import _join_labels
 
 COSINE = 0.9
@@ -146,9 +146,8 @@ def links(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
 def _meet(vectors: DataFrame, codes: DataFrame, keys: Column) -> DataFrame:
     """A row for each vector and task that it takes part in."""
     sizes = codes.select(F.explode(keys).alias("k")).groupBy("k.kind", "k.common").count()
-    large = sizes.where(F.col("count") > 2 * PART).select("kind", "common", F.ceil(F.col("count") / PART).cast("int").alias("parts"))
     keyed = vectors.select("*", F.explode(keys).alias("k")).select("id", "weight", "embedding", "code", "k.kind", "k.common")
-    cut = keyed.join(large, ["kind", "common"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    cut = with_parts(keyed, sizes, ["kind", "common"], PART)
     cut = cut.withColumn("part", F.pmod(F.xxhash64(F.col("id")), F.col("parts")).cast("int"))
     met = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least("part", j).alias("i"), F.greatest("part", j).alias("j")))
     return cut.withColumn("m", F.explode(met)).select(

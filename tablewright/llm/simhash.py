@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .shared import blank_words, per_text, staged
+from .shared import blank_words, per_text, staged, with_parts
 
 SHINGLE, BITS, SEED = 4, 4, 42
 #: Fingerprints of an even subtrie, of a part of a large one, and of what a task holds at once.
@@ -206,9 +206,7 @@ def trie_links(classes: DataFrame, budget: int = BITS) -> DataFrame:
     masks = _masks(budget, agree)
     keys = F.array(*(F.struct(F.lit(i).alias("kind"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("common")) for i, m in enumerate(masks)))
     rooted = classes.select("fp", F.explode(keys).alias("k")).select("fp", "k.kind", "k.common")
-    large = rooted.groupBy("kind", "common").count().where(F.col("count") > 2 * PART)
-    parts = F.coalesce(F.ceil(F.col("count") / PART).cast("int"), F.lit(1))
-    cut = rooted.join(large, ["kind", "common"], "left").withColumn("parts", parts)
+    cut = with_parts(rooted, rooted.groupBy("kind", "common").count(), ["kind", "common"], PART)
     # a row goes to one task for each other part, together with all of that part
     own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: (j != own) | (F.col("parts") == 1))
