@@ -119,29 +119,37 @@ def label_fold(column: str, folds: int) -> F.Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % folds
 
 
+#: Bytes after which a text counts no more: its terms are hashed, so what a text adds to a sample is bounded.
+COUNTED = 1 << 18
+
+
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, label: str, allowed: F.Column, rows: int, megabytes: int,
 ) -> DataFrame:
     """(doc_id, text, y): labelled documents, at most ``rows`` of them and ``megabytes`` of text.
 
     The order of the sample is a hash of the id. Repeated labels of an id vote; a tie counts
-    as 1. Only ids, labels and sizes come to the driver, at most ``rows`` of them.
+    as 1. Texts are whole, but count for ``COUNTED`` bytes at most. One that doesn't fit into what
+    is left is passed over, and later ones are taken; if none fits, the smallest is. Only ids,
+    labels and sizes come to the driver, at most ``rows`` of them.
     """
+    place = F.xxhash64(F.col("doc_id").cast("string"))
     votes = (
         labels.where(allowed & F.col("doc_id").isNotNull() & F.col(label).isNotNull())
         .groupBy("doc_id").agg((F.avg(F.col(label).cast("double")) >= 0.5).cast("int").alias("y"))
-        .orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(rows)
-        .withColumn("place", F.xxhash64(F.col("doc_id").cast("string")))
+        .orderBy(place, "doc_id").limit(rows)
     )
     spark = docs.sparkSession
     chosen = spark.createDataFrame(votes.collect(), votes.schema)
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull())
-    joined = texts.join(F.broadcast(chosen), "doc_id")
-    sizes = joined.groupBy("doc_id", "place").agg(F.sum(F.octet_length("text")).alias("size")).orderBy("place", "doc_id").collect()
-    last, left = None, megabytes * 1_000_000
+    size = F.sum(F.least(F.octet_length("text"), F.lit(COUNTED))).alias("size")
+    sizes = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(size).orderBy(place, "doc_id").collect()
+    taken, left = [], megabytes * 1_000_000
     for row in sizes:
-        left -= row["size"]
-        if left < 0 and last is not None:
-            break
-        last = row["place"]
-    return joined.where(F.col("place") <= F.lit(last)).select("doc_id", "text", "y")
+        if row["size"] <= left:
+            left -= row["size"]
+            taken.append((row["doc_id"], row["y"]))
+    if sizes and not taken:
+        least = min(sizes, key=lambda r: r["size"])
+        taken.append((least["doc_id"], least["y"]))
+    return texts.join(F.broadcast(spark.createDataFrame(taken, votes.schema)), "doc_id").select("doc_id", "text", "y")

@@ -220,8 +220,10 @@ def score_held_out(docs: DataFrame, labels: DataFrame, folds: int = 4, left_out:
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, folds: int = 4, left_out: int = 2) -> DataFrame:
-    """``docs`` without those that score THRESHOLD or more."""
+    """``docs`` without those that score THRESHOLD or more; all of them where there is nothing to learn from."""
     model = fit(docs, labels, label_fold("doc_id", folds) != left_out)
+    if np.isinf(model.value.bias):
+        return docs
     name = unused("toxicity", docs)
     scored = with_result(docs, "text", name, SCORE_SCHEMA, lambda: _scorer(model))
     return scored.where(F.col(f"{name}.score") < THRESHOLD).select(*docs.columns)

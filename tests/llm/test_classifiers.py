@@ -92,6 +92,31 @@ def test_the_sample_is_bounded(spark):
     assert small <= max(1_000, most)
 
 
+@pytest.mark.parametrize("megabytes, size", [(32, 33_000_000), (1 / 100, 20_000)])
+def test_long_texts_leave_room_for_others(spark, megabytes, size):
+    """The first of the sample alone exceeds the bound."""
+    from pyspark.sql import functions as F
+
+    from tablewright.llm.shared import labelled_sample
+
+    texts, marks = corpus(30)
+    docs, table = documents(spark, texts), labels(spark, marks)
+    first = docs.orderBy(F.xxhash64(F.col("doc_id").cast("string"))).first()["doc_id"]
+    long = F.expr(f"repeat('word ', {size // 5})")
+    docs = docs.withColumn("text", F.when(F.col("doc_id") == first, long).otherwise(F.col("text")))
+    sample = labelled_sample(docs, table, "toxic", F.lit(True), 30, megabytes).select("doc_id", "y", F.length("text").alias("n")).collect()
+    assert len(sample) >= 10 and {r["y"] for r in sample} == {0, 1}
+    assert sum(min(r["n"], 1 << 18) for r in sample) <= megabytes * 1_000_000
+    assert ({r["doc_id"]: r["n"] for r in sample}.get(first) == size) == (megabytes == 32)  # whole, or not at all
+
+
+@pytest.mark.parametrize("toxic", [0, 1])
+def test_one_class_rejects_nothing(spark, toxic):
+    texts, marks = corpus(60)
+    one = [(i, 1, toxic, 5, "") for i, *_ in marks]
+    assert toxicity.reject_toxic(documents(spark, texts), labels(spark, one)).count() == 60
+
+
 def test_misspellings_share_grams():
     a, b = (set(toxicity.subwords([w])[0].tolist()) for w in (b"worthless", b"worthlesss"))
     assert len(a & b) > len(a) / 2
