@@ -1,13 +1,16 @@
 """Near-duplicate embeddings by iterative quantisation and multi-index Hamming tables.
 
-A rotation is learnt on a bounded sample so that the signs of the rotated vectors are balanced
+Vectors of one length, as long as they are no more than an even bucket, are all compared. For more,
+a rotation is learnt on a bounded sample so that the signs of the rotated vectors are balanced
 bits that lose little (principal directions first, then alternating between the nearest binary
-codes and the best rotation for them). Each table keys the codes by some of their bits; vectors
+codes and the best rotation for them); vectors with fewer than 64 components get the sides of
+random planes as further bits, for the tables to differ. Each table keys the codes by some of their bits; vectors
 with equal keys meet, and their cosines are taken from the original vectors in double precision.
 A pair counts in the first table in which it meets, so that nothing is counted twice.
 
 The bits of a key rise with the number of vectors, so that an even bucket keeps its size; the
-number of tables follows from the share of pairs at the very threshold that should meet. A bucket
+number of tables follows from the share of pairs at the very threshold that should meet, tried on
+drawn pairs, as tables share bits. A bucket
 that is still large is cut into parts, and each pair of parts is a task. Equal vectors are one class
 with a weight. Tasks return link counts and a spanning forest, not pairs.
 
@@ -18,7 +21,7 @@ nor do vectors of different lengths; ids may repeat or be null; a component take
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from math import acos, ceil, log, log2, pi
+from math import acos, ceil, log2, pi
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +36,10 @@ from .simhash import _join_labels
 COSINE = 0.9
 #: Vectors learnt from, and rounds of learning.
 TRAIN_ROWS, ROUNDS = 10_000, 30
-#: Share of pairs at the threshold itself that should meet in a table; pairs above it meet more often.
-MEET = 0.98
+#: Share of pairs at the threshold itself that should meet in a table; pairs above it meet more often. Pairs tried.
+MEET, TRIED = 0.98, 20_000
+#: Bits of a code.
+CODE = 64
 #: Vectors of an even bucket, least bits of a key, vectors of a part of a large bucket, rows compared at once.
 EVEN, LEAST_BITS, PART, BLOCK = 4_096, 8, 4_096, 512
 
@@ -54,17 +59,28 @@ def learn_rotation(sample: np.ndarray, bits: int, rounds: int = ROUNDS, seed: in
     return basis @ rotation
 
 
+def planes(sample: np.ndarray, bits: int = CODE, seed: int = 7) -> np.ndarray:
+    """A matrix whose columns give ``bits`` signs: a learnt rotation, and random planes where it has fewer."""
+    learnt = learn_rotation(sample, bits, seed=seed)
+    more = np.random.default_rng(seed + 1).normal(size=(sample.shape[1], bits - learnt.shape[1]))
+    return np.hstack([learnt, more])
+
+
 def tables(n: int, bits: int, cosine: float = COSINE, seed: int = 7) -> list[int]:
-    """Masks of the bits that key each table, for ``n`` vectors."""
-    width = min(bits, max(LEAST_BITS, ceil(log2(max(n, 1) / EVEN)) if n > EVEN else LEAST_BITS))
-    meet = (1 - acos(cosine) / pi) ** width
-    count = ceil(log(1 - MEET) / log(1 - meet))
+    """Masks of the bits that key each table, for ``n`` vectors.
+
+    A pair at the threshold differs in each bit by its angle's share of a half turn.
+    """
+    width = min(bits // 3, max(LEAST_BITS, ceil(log2(max(n, 1) / EVEN))))
     rng, masks, left = np.random.default_rng(seed), [], []
-    while len(masks) < count:
+    apart = rng.random((TRIED, bits)) < acos(cosine) / pi
+    missed = np.ones(TRIED, bool)
+    while missed.mean() > 1 - MEET:
         if len(left) < width:  # each bit serves once before any serves again
             left = [*left, *(int(b) for b in rng.permutation(bits))]
-        masks.append(sum(1 << b for b in set(left[:width])))
-        left = left[width:]
+        key, left = sorted(set(left[:width])), left[width:]
+        masks.append(sum(1 << b for b in key))
+        missed &= apart[:, key].any(axis=1)
     return masks
 
 
@@ -130,12 +146,12 @@ def links(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
     out = None
     for row in classes.groupBy("dim").count().orderBy("dim").collect():
         of_dim = classes.where(F.col("dim") == row["dim"])
-        sample = of_dim.orderBy("id").limit(TRAIN_ROWS).select("embedding").toArrow()
-        bits = min(64, row["dim"])
-        project = learn_rotation(_unit_rows(sample["embedding"], row["dim"]), bits)
-        bits = project.shape[1]
-        masks = tables(row["count"], bits, cosine)
-        coded = of_dim.select("id", "weight", "embedding", _code(project)("embedding").alias("code"))
+        if row["count"] <= EVEN:  # one bucket
+            masks, code = [0], F.lit(0).cast("bigint")
+        else:
+            sample = of_dim.orderBy("id").limit(TRAIN_ROWS).select("embedding").toArrow()
+            masks, code = tables(row["count"], CODE, cosine), _code(planes(_unit_rows(sample["embedding"], row["dim"])))("embedding")
+        coded = of_dim.select("id", "weight", "embedding", code.alias("code"))
         keys = F.array(*(F.struct(F.lit(i).alias("kind"), F.col("code").bitwiseAND(F.lit(_signed(m))).alias("common")) for i, m in enumerate(masks)))
         codes = staged(coded.select("id", "code"))
         found = _meet(of_dim.join(codes, "id"), codes, keys).groupBy("root").applyInArrow(_compare(row["dim"], masks, cosine), LINK_SCHEMA)

@@ -33,6 +33,38 @@ def test_recall_against_all_pairs(spark, monkeypatch, part):
     assert same > 0.97 and all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in found.values())
 
 
+def pairs(n, dim, cosine=0.905, seed=11):
+    """``n`` random vectors, and for each one at that cosine."""
+    rng = np.random.default_rng(seed + dim)
+    a, b = rng.normal(size=(2, n, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b *= np.sqrt(1 - cosine**2) / np.linalg.norm(b, axis=1, keepdims=True)
+    return np.concatenate([a, cosine * a + b]).astype(np.float32).astype(np.float64)
+
+
+def recall(spark, groups):
+    """Share of the links found, for each group of vectors of one length."""
+    rows = [(1_000 * k + i, v) for k, g in enumerate(groups) for i, v in enumerate(g.tolist())]
+    found = {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicates(vectors(spark, rows)).collect()}
+    out = []
+    for k, g in enumerate(groups):
+        links, got = plain(g)[0], np.array([found[1_000 * k + i] for i in range(len(g))])
+        assert (got <= links).all()
+        out.append(got.sum() / links.sum())
+    return out
+
+
+def test_recall_of_narrow_vectors(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "EVEN", 100)
+    shares = recall(spark, [pairs(300, dim) for dim in (2, 3, 4, 8, 10, 16)])
+    assert min(shares) > 0.95, shares
+
+
+def test_few_vectors_are_all_compared(spark):
+    assert recall(spark, [pairs(n, dim) for n, dim in ((1, 64), (2, 63), (3, 62), (5, 61), (300, 5), (300, 16))]) == [1] * 6
+
+
 def test_odd_rows(spark):
     rows = [
         (1, None), (2, [0, 0, 0]), (3, [1, None, 0]), (4, [1, float("nan"), 0]), (5, [float("inf"), 0, 0]), (6, []),
