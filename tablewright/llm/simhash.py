@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .shared import blank_words, per_text, staged, with_parts
+from .shared import blank_words, per_text, staged, unused, with_parts, with_result
 
 SHINGLE, BITS, SEED = 4, 4, 42
 #: Fingerprints of an even subtrie, of a part of a large one, and of what a task holds at once.
@@ -218,31 +218,43 @@ def trie_links(classes: DataFrame, budget: int = BITS) -> DataFrame:
     return dealt.mapInArrow(_link_task(budget), "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, budget: int = BITS) -> DataFrame:
-    """(doc_id, fingerprint, component_id): 16 hexadecimal digits, and the smallest id that links reach."""
+def _grouped(docs: DataFrame, shingle: int, budget: int) -> DataFrame:
+    """(doc_id, fp, component, component_id): a fingerprint that names the group, and its smallest id."""
     found = staged(fingerprints(docs, shingle))
     classes = staged(found.groupBy("fp").agg(F.min("doc_id").alias("least")))
     trees = components(trie_links(classes, budget))
     rooted = classes.join(trees, classes["fp"] == trees["node"], "left")
     rooted = rooted.select("fp", "least", F.coalesce("component", "fp").alias("component"))
     least = rooted.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_class = rooted.join(least, "component").select("fp", "component_id")
+    of_class = rooted.join(least, "component").select("fp", "component", "component_id")
+    return found.join(of_class, "fp").select("doc_id", "fp", "component", "component_id")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, budget: int = BITS) -> DataFrame:
+    """(doc_id, fingerprint, component_id): 16 hexadecimal digits, and the smallest id that links reach."""
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return found.join(of_class, "fp").select("doc_id", digits, "component_id")
+    return _grouped(docs, shingle, budget).select("doc_id", digits, "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, budget: int = BITS) -> DataFrame:
     """``docs`` with one row of each component: that of its smallest id.
 
-    Rows that repeat an id count as one document. Rows without an id can't be named by a
-    group; they stay.
+    Where an id repeats, the smallest of its fingerprints in the component decides, then the order
+    of the texts and other columns. Rows without an id can't be named by a group; they stay.
     """
-    groups = staged(near_duplicates(docs.select("doc_id", "text"), shingle, budget))
-    kept = groups.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count()
-    out = docs.join(kept.where("count = 1"), "doc_id", "left_semi")
-    repeated = kept.where("count > 1")
+    groups = staged(_grouped(docs.select("doc_id", "text"), shingle, budget))
+    own = F.col("doc_id") == F.col("component_id")
+    ids = staged(groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.max(own).alias("first")).where("first"))
+    out = docs.join(ids.where("n = 1"), "doc_id", "left_semi").select(*docs.columns)
+    repeated = ids.where("n > 1").select("doc_id")
     if not repeated.isEmpty():
-        out = out.union(docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+        kept = groups.where(own).join(repeated, "doc_id", "left_semi").groupBy("component", "doc_id").agg(F.min("fp").alias("least"))
+        name = unused("fingerprint", docs)
+        rows = docs.join(repeated, "doc_id", "left_semi")
+        rows = with_result(rows, "text", name, FINGERPRINT_SCHEMA, lambda: lambda raw: (fingerprint(raw, shingle),))
+        row = F.struct(*docs.columns)
+        one = rows.groupBy("doc_id", F.col(f"{name}.fp").alias("least")).agg(F.min_by(row, F.struct("text", F.to_json(row))).alias("row"))
+        out = out.union(one.join(kept, ["doc_id", "least"], "left_semi").select("row.*"))
     if not groups.where("doc_id is null").isEmpty():
         out = out.union(docs.where("doc_id is null"))
-    return out.select(*docs.columns)
+    return out

@@ -95,3 +95,10 @@ def test_components(spark):
     found = {r["node"]: r["component"] for r in components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
     assert found == {i: 0 for i in range(61)} | {100: 100, 150: 100, 200: 100}
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_one_row_of_each_group_where_ids_repeat(spark):
+    a, b, c = ("alpha beta gamma delta epsilon zeta", "one two three four five six seven", "red green blue black white pink grey")
+    rows = [(1, a), (1, b), (2, a), (3, b), (4, c), (3, c), (4, a), (5, a), (5, "north south east west up down left right")]
+    kept = simhash.keep_one(documents(spark, rows))
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == sorted([(1, a), (1, b), (3, c), rows[-1]])
