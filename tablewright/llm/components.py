@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.staging import remove, scratch_dir
 from .shared import staged
 
 
@@ -39,18 +40,21 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node with an edge; the component is its smallest node.
 
     ``edges`` has two columns of one sortable type; direction, repeats and loops don't matter.
-    The number of rounds grows with the logarithm of the longest path. Each round is written to
-    the shared folder, which ends its lineage.
+    Null nodes have no edges. The number of rounds grows with the logarithm of the longest path.
+    Each round is written to the shared folder, which ends its lineage, and the one before removed.
     """
     left, right = edges.columns
+    spark, path = edges.sparkSession, scratch_dir(edges.sparkSession)
     edges = edges.select(F.greatest(left, right).alias("src"), F.least(left, right).alias("dst"))
-    edges = staged(edges.where("src != dst").distinct())
+    edges = staged(edges.where("src != dst").distinct(), path)
     state = None
     while True:
         found = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("src", "dst"))).first()
         if tuple(found) == state or found[0] == 0:
             break
         state = tuple(found)
-        edges = staged(_small_star(_large_star(edges)))
+        before, path = path, scratch_dir(spark)
+        edges = staged(_small_star(_large_star(edges)), path)
+        remove(spark, before)
     roots = edges.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct()
     return edges.select(F.col("src").alias("node"), F.col("dst").alias("component")).union(roots)

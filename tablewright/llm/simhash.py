@@ -33,9 +33,9 @@ from .shared import blank_words, per_text, staged, unused, with_parts, with_resu
 
 SHINGLE, BITS, SEED = 4, 4, 42
 #: Fingerprints of an even subtrie, of a part of a large one, and of what a task holds at once.
-EVEN, PART, AT_ONCE = 20_000, 25_000, 200_000
+EVEN, PART, AT_ONCE = 20_000, 10_000, 100_000
 #: Node pairs with so few pairs of fingerprints are compared directly; so many are held at once.
-DIRECT, HELD = 256, 1_000_000
+DIRECT, HELD = 256, 65_536
 
 _HASHES = 1 << 16
 FINGERPRINT_SCHEMA = T.StructType([T.StructField("fp", T.LongType())])
@@ -173,15 +173,14 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.concat_tables(held)
 
 
-def _link_task(budget: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _link_task(budget: int, carried: tuple[str, ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches):
             roots, fps = table["root"].to_numpy(), table["fp"].to_numpy().view(np.uint64)
             order = np.lexsort((fps, roots))
-            roots, fps = roots[order], fps[order]
-            rows, firsts = Trie(roots, fps, budget).links()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(fps[rows].view(np.int64)), pa.array(fps[firsts].view(np.int64))], ["a", "b"])
+            ends = [order[at] for at in Trie(roots[order], fps[order], budget).links()]
+            columns = {f"{side}{name}": table[of].take(at) for of, name in [("fp", ""), *((c, f"_{c}") for c in carried)] for side, at in zip("ab", ends)}
+            yield from pa.table(columns).to_batches(max_chunksize=AT_ONCE)
     return apply
 
 
@@ -196,37 +195,43 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def trie_links(classes: DataFrame, budget: int = BITS) -> DataFrame:
+def trie_links(classes: DataFrame, budget: int = BITS, carried: tuple[str, ...] = ()) -> DataFrame:
     """(a, b): links between distinct fingerprints, enough of them for all components.
 
-    ``classes`` has a column ``fp`` without repeats.
+    ``classes`` has a column ``fp`` without repeats. Of each carried column ``c``, links have
+    ``a_c`` and ``b_c``.
     """
     n = classes.count()
     agree = next((a for a in (1, 2) if n >> (64 * a // (budget + a)) <= EVEN), 3)
     masks = _masks(budget, agree)
     keys = F.array(*(F.struct(F.lit(i).alias("kind"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("common")) for i, m in enumerate(masks)))
-    rooted = classes.select("fp", F.explode(keys).alias("k")).select("fp", "k.kind", "k.common")
+    rooted = classes.select("fp", *carried, F.explode(keys).alias("k")).select("fp", *carried, "k.kind", "k.common")
     cut = with_parts(rooted, rooted.groupBy("kind", "common").count(), ["kind", "common"], PART)
     # a row goes to one task for each other part, together with all of that part
     own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: (j != own) | (F.col("parts") == 1))
     met = F.transform(others, lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
-    tasks = cut.select("fp", "kind", "common", F.explode(met).alias("m"))
+    tasks = cut.select("fp", *carried, "kind", "common", F.explode(met).alias("m"))
     root = F.xxhash64("kind", "common", "m.i", "m.j")
-    tasks = tasks.select("fp", root.alias("root"))
+    tasks = tasks.select("fp", *carried, root.alias("root"))
     dealt = tasks.repartition("root").sortWithinPartitions("root")
-    return dealt.mapInArrow(_link_task(budget), "a bigint, b bigint")
+    types = ["a bigint, b bigint", *(f"a_{c} {t}, b_{c} {t}" for c in carried for t in [classes.schema[c].dataType.simpleString()])]
+    return dealt.mapInArrow(_link_task(budget, carried), ", ".join(types))
+
+
+def _node(least: str, fp: str) -> F.Column:
+    """A class as a node: the smallest node of a component has its smallest id; null ids come last."""
+    return F.struct(F.col(least).isNull().alias("none"), F.col(least).alias("least"), F.col(fp).alias("fp"))
 
 
 def _grouped(docs: DataFrame, shingle: int, budget: int) -> DataFrame:
     """(doc_id, fp, component, component_id): a fingerprint that names the group, and its smallest id."""
     found = staged(fingerprints(docs, shingle))
     classes = staged(found.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    trees = components(trie_links(classes, budget))
-    rooted = classes.join(trees, classes["fp"] == trees["node"], "left")
-    rooted = rooted.select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    least = rooted.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_class = rooted.join(least, "component").select("fp", "component", "component_id")
+    links = trie_links(classes, budget, ("least",)).select(_node("a_least", "a").alias("a"), _node("b_least", "b").alias("b"))
+    trees = components(links).select(F.col("node.fp").alias("fp"), "component")
+    root = F.coalesce("component", _node("least", "fp"))
+    of_class = classes.join(trees, "fp", "left").select("fp", root.getField("fp").alias("component"), root.getField("least").alias("component_id"))
     return found.join(of_class, "fp").select("doc_id", "fp", "component", "component_id")
 
 
