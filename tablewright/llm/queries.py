@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontamination, embeddings, language_model, licenses, quality, simhash, toxicity, urls
+from . import (
+    alignment, bpe, chat, decontamination, embeddings, language_model, licenses, packing, quality, simhash, spelling, toxicity, urls,
+)
 from .oracles import ORACLES
 from .shared import ship
 
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -22,6 +25,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def piece_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(PIECES)
+
+
 def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_read(spark, sf_dir, "documents"))
 
@@ -66,4 +75,16 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_windows(turns.union(extra)))
 
 
-QUERIES = {f.__name__: f for f in (op1_licenses, op2_simhash, op3_bpe, op4_decontamination, op5_toxicity, op6_quality, op7_urls, op8_language_model, op9_embeddings, op10_chat)}
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_read(spark, sf_dir, "documents"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.score_links(_read(spark, sf_dir, "documents"), tokenizer_path(), piece_path())
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_digests(_read(spark, sf_dir, "documents"), tokenizer_path())
+
+
+QUERIES = {f.__name__: f for f in (op1_licenses, op2_simhash, op3_bpe, op4_decontamination, op5_toxicity, op6_quality, op7_urls, op8_language_model, op9_embeddings, op10_chat, op11_spelling, op12_alignment, op13_packing)}

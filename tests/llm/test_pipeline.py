@@ -53,5 +53,5 @@ def test_stages(spark, tmp_path):
 
 def test_registered():
     names = entry_module.queries()
-    assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
+    assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 14)}
     assert os.path.exists(tokenizer_path())
