@@ -19,7 +19,9 @@ from ..operators.tables import read_table
 from ..sources import jdbc, registry
 from ..sources.files import load_file, read_csv, read_json, read_parquet
 from ..sources.ingest import ingest_typed
+from ..sources.ranges import read_csv_ranges, read_json_ranges
 from ..sources.workbooks import parse_workbooks
+from ..streaming.arrivals import BATCH, load_new_files
 from . import jobs
 from .contract import query
 from .inputs import DIRTY_ORDERS, ACCOUNTS, REGISTRY, table
@@ -84,6 +86,27 @@ def load_by_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loaded
 
 
+#: Bytes of a range in the queries, small enough that small tables have many.
+RANGE_BYTES = 1 << 16
+
+
+@query("scan_csv_ranges", "select doc_id, text, lang from documents")
+def scan_csv_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts with their line breaks, commas and quotes, from files that are read in ranges."""
+    path = scratch_dir(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs.write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(f"{path}/documents.csv")
+    return read_csv_ranges(spark, f"{path}/documents.csv", docs.schema, RANGE_BYTES, escape='"')
+
+
+@query("scan_json_ranges", "select doc_id, text, lang from documents")
+def scan_json_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from JSON arrays of many records."""
+    path = scratch_dir(spark) + "/documents.json"
+    _json_documents(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), path)
+    return read_json_ranges(spark, path, split_bytes=RANGE_BYTES).select("doc_id", "text", "lang")
+
+
 _MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
 _REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 _PACKAGE = "http://schemas.openxmlformats.org/package/2006/relationships"
@@ -171,6 +194,18 @@ def jdbc_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jdbc.read_jdbc(spark, url, "accounts", DERBY, partition=('"c_custkey"', 4))
 
 
+@query("jdbc_append_once", f"""
+    with n as (select count(*) as arrived from customer)
+    select p.*, arrived from ({ACCOUNTS.sql()} union all {ACCOUNTS.sql()}) p, n""")
+def jdbc_append_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run that is repeated after it arrived adds nothing."""
+    url, accounts = _database(spark, sf_dir), ACCOUNTS.frame(spark, sf_dir)
+    props = {**DERBY, "createTableColumnTypes": _TEXT_COLUMNS}
+    arrived = [jdbc.append_jdbc_once(accounts, url, "accounts", props, "first") for _ in range(2)]
+    stored = jdbc.read_jdbc(spark, url, "accounts", DERBY, partition=('"c_custkey"', 4))
+    return stored.withColumn("arrived", F.lit(sum(arrived)).cast("bigint"))
+
+
 @query("jdbc_insert_check", f"""
     with n as (select count(*) as rows_before from customer), added as ({_NEW_ROW_SQL})
     select added.*, rows_before, rows_before + 1 as rows_after from added, n""")
@@ -222,6 +257,22 @@ def load_file_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, jobs.load_file_table(spark, f"{root}/accounts.csv", f"{new_namespace(spark)}.accounts").table)
 
 
+@query("load_new_files", f"""
+    select p.*, (select count(*) from customer where c_custkey % 3 <> 1) as first_rows,
+      (select count(*) from customer where c_custkey % 3 = 1) as second_rows, cast(0 as bigint) as third_rows
+    from ({ACCOUNTS.sql()}) p""")
+def load_growing_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files arrive between the first run and the second; the third finds none."""
+    root, target = scratch_dir(spark), f"{new_namespace(spark)}.accounts"
+    accounts, counts = ACCOUNTS.frame(spark, sf_dir), []
+    for arriving in ("tier <> 'gold'", "tier = 'gold'", "false"):
+        if arriving != "false":
+            accounts.filter(arriving).write.mode("append").parquet(f"{root}/in")
+        counts.append(load_new_files(spark, f"{root}/in", target, f"{root}/taken", accounts.schema, "parquet").rows)
+    named = zip(("first_rows", "second_rows", "third_rows"), counts)
+    return read_table(spark, target).drop(BATCH).withColumns({n: F.lit(c).cast("bigint") for n, c in named})
+
+
 @query("ingest_typed", f"""
     select o_orderkey, o_custkey, coalesce(price, 0.0) as price,
       nullif(prio, '') as prio, nullif(code, '') as code, cast(odate as varchar) as odate
