@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from ..functions.names import clean_names, col
 from ..functions.values import FLOATS
-from .quantiles import exact_quantiles
+from .quantiles import exact_quantiles, sketched_quantile
 from .staging import scratch_dir, stage
 
 # The types that get a median, and the text for missing strings.
@@ -109,11 +109,14 @@ def medians(df: DataFrame, columns: list[str], rel_error: float) -> dict[str, fl
     if not columns:
         return {}
     if rel_error > 0:
-        plain = df.select(*[col(c).alias(f"c{i}") for i, c in enumerate(columns)])
-        found = plain.approxQuantile(plain.columns, [0.5], rel_error)
-        return {c: float(q[0]) if q else 0.0 for c, q in zip(columns, found)}
-    exact = exact_quantiles(df, columns)
-    return {c: 0.0 if exact[c] is None else exact[c] for c in columns}
+        found = _aggregate(df, {c: sketched_quantile(col(c), df.schema[c].dataType, rel_error) for c in columns})
+    else:
+        found = exact_quantiles(df, columns)
+    return {c: 0.0 if found[c] is None else found[c] for c in columns}
+
+
+def _medians_found(found: dict, columns: list[str]) -> dict[str, float]:
+    return {c: 0.0 if found[c, "median"] is None else found[c, "median"] for c in columns}
 
 
 def _filled(c: Column, dtype: T.DataType, value: float | str) -> Column:
@@ -125,16 +128,20 @@ def _filled(c: Column, dtype: T.DataType, value: float | str) -> Column:
 def fill_nulls(df: DataFrame, rel_error: float = 0.01) -> DataFrame:
     """Fill numbers with the median and strings with ``UNKNOWN``.
 
-    ``rel_error`` 0 gives the exact median, in a few scans of the columns that
-    hold nulls. Columns of other types, and columns without nulls, stay as is.
+    One scan counts the nulls and sketches the medians. ``rel_error`` 0 gives the exact
+    median, in a few more scans of the columns that hold nulls. Columns of other types,
+    and columns without nulls, stay as is.
     """
     fillable = [f for f in df.schema.fields if _is_text(f) or isinstance(f.dataType, MEDIAN_TYPES)]
     if not fillable:
         return df
-    nulls = _aggregate(df, {f.name: F.count_if(col(f.name).isNull()) for f in fillable})
-    holes = {f.name: f.dataType for f in fillable if nulls[f.name]}
+    measures: dict = {f.name: F.count_if(col(f.name).isNull()) for f in fillable}
+    if rel_error > 0:
+        measures |= {(f.name, "median"): sketched_quantile(col(f.name), f.dataType, rel_error) for f in fillable if not _is_text(f)}
+    found = _aggregate(df, measures)
+    holes = {f.name: f.dataType for f in fillable if found[f.name]}
     numbers = [name for name, dtype in holes.items() if not isinstance(dtype, T.StringType)]
-    values: dict[str, float | str] = dict(medians(df, numbers, rel_error))
+    values = _medians_found(found, numbers) if rel_error > 0 else medians(df, numbers, 0.0)
     return df.select(*[
         _filled(col(c), holes[c], values.get(c, MISSING_TEXT)).alias(c) if c in holes else col(c)
         for c in df.columns
@@ -171,8 +178,8 @@ def clean(
 
     1. Group by all columns and count the copies. The count carries the rows lost
        to empty rows and duplicates, exact under task retries.
-    2. One aggregation of the staged copy counts values, numbers and nulls; one
-       median call reads only the columns that need a fill.
+    2. One aggregation of the staged copy counts values, numbers and nulls, and
+       sketches the medians; ``rel_error`` 0 adds scans for exact ones.
     3. One projection casts, fills, drops and adds the metadata.
 
     The result reads the staged copy, at ``staging_path`` or under the scratch
@@ -212,6 +219,9 @@ def clean(
         measures[f.name, "filled"] = F.count(value)
         if _is_text(f):
             measures[f.name, "parsed"] = F.count(_as_number(value))
+        if rel_error > 0 and (_is_text(f) or isinstance(f.dataType, MEDIAN_TYPES)):
+            number, dtype = (_as_number(value), T.DoubleType()) if _is_text(f) else (value, f.dataType)
+            measures[f.name, "median"] = sketched_quantile(number, dtype, rel_error)
     found = _aggregate(staged, measures)
     rows = found["kept"]
     dropped_empty = found["empty"] or 0
@@ -234,7 +244,7 @@ def clean(
         if nulls[f.name] and (_is_text(f) or isinstance(f.dataType, MEDIAN_TYPES))
     }
     numbers = [n for n, dtype in holes.items() if not isinstance(dtype, T.StringType)]
-    values: dict[str, float | str] = dict(medians(live, numbers, rel_error))
+    values: dict[str, float | str] = dict(_medians_found(found, numbers) if rel_error > 0 else medians(live, numbers, 0.0))
     for n in holes:
         values.setdefault(n, MISSING_TEXT)
         what = f"median {values[n]}" if n in numbers else MISSING_TEXT

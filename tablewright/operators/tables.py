@@ -9,14 +9,15 @@ tables two writers of one table must take turns.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 from dataclasses import dataclass
 from hashlib import sha256
 from itertools import islice
+from threading import Lock
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +28,10 @@ from .staging import staged
 METADATA_COLUMNS = ("_ingested_at", "_source")
 MIN_CATEGORIES, MAX_CATEGORIES = 2, 100
 SHOWN_SNAPSHOTS = 5
+#: Partitions that one statement drops.
+DROPPED_AT_ONCE = 500
+#: With this option in its description, a table's overwrites replace only the partitions that occur.
+BY_PARTITION = "partitionOverwriteMode"
 
 _MOMENTS = (T.TimestampType, T.TimestampNTZType)
 
@@ -63,10 +68,18 @@ def _spread(df: DataFrame, partition_by: list[str]) -> DataFrame:
     return df.hint("rebalance", *[col(p) for p in partition_by]) if partition_by else df
 
 
+def _new_table(df: DataFrame, partition_by: list[str]) -> DataFrameWriter:
+    """The writer of a new Parquet table."""
+    writer = _spread(df, partition_by).write.format("parquet").partitionBy(*partition_by)
+    return writer.option(BY_PARTITION, "dynamic") if partition_by else writer
+
+
 def create_table(spark: SparkSession, table: str, schema: T.StructType, partition_by: list[str] = ()) -> None:
     """Create an empty table with these columns if it is absent (K3)."""
     if not table_exists(spark, table):
         writer = spark.createDataFrame([], schema).writeTo(table).using("parquet")
+        if partition_by and not has_format(spark, table):
+            writer = writer.option(BY_PARTITION, "dynamic")
         (writer.partitionedBy(*map(col, partition_by)) if partition_by else writer).create()
 
 
@@ -78,7 +91,7 @@ def create_or_replace(df: DataFrame, table: str, partition_by: list[str] = ()) -
         (writer.partitionedBy(*map(col, partition_by)) if partition_by else writer).createOrReplace()
         return
     with staged(df) as rows:
-        _spread(rows, partition_by).write.mode("overwrite").format("parquet").partitionBy(*partition_by).saveAsTable(table)
+        _new_table(rows, partition_by).mode("overwrite").saveAsTable(table)
 
 
 def replace_ctas(df: DataFrame, table: str, partition_col: str | None = None) -> None:
@@ -86,7 +99,8 @@ def replace_ctas(df: DataFrame, table: str, partition_col: str | None = None) ->
     partition_by = [partition_col] if partition_col else []
     with staged(df) as rows:
         df.sparkSession.sql(f"DROP TABLE IF EXISTS {quoted(table)}")
-        _spread(rows, partition_by).write.partitionBy(*partition_by).saveAsTable(table)
+        writer = _spread(rows, partition_by).write.partitionBy(*partition_by) if has_format(df.sparkSession, table) else _new_table(rows, partition_by)
+        writer.saveAsTable(table)
 
 
 def conformed(df: DataFrame, table: str) -> DataFrame:
@@ -117,19 +131,32 @@ def overwrite_partitions(df: DataFrame, table: str) -> None:
     if has_format(df.sparkSession, table):
         rows.writeTo(table).overwritePartitions()
         return
-    with _dynamic_overwrite(df.sparkSession):
-        _spread(rows, partition_columns(df.sparkSession, table)).write.mode("overwrite").insertInto(table)
+    by = partition_columns(df.sparkSession, table)
+    with _replacing_by_partition(df.sparkSession, table) if by else nullcontext():
+        _spread(rows, by).write.mode("overwrite").insertInto(table)
+
+
+_session_setting = Lock()
 
 
 @contextmanager
-def _dynamic_overwrite(spark: SparkSession) -> Iterator[None]:
-    key = "spark.sql.sources.partitionOverwriteMode"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "dynamic")
-    try:
+def _replacing_by_partition(spark: SparkSession, table: str) -> Iterator[None]:
+    """Tables of this library say in their own description how they are overwritten.
+
+    For others the session says it while they are written, one at a time.
+    """
+    described = spark.sql(f"DESCRIBE TABLE EXTENDED {quoted(table)}").where("col_name = 'Storage Properties'").first()
+    if described and f"{BY_PARTITION}=dynamic" in described["data_type"]:
         yield
-    finally:
-        spark.conf.set(key, before)
+        return
+    key = "spark.sql.sources.partitionOverwriteMode"
+    with _session_setting:
+        before = spark.conf.get(key)
+        spark.conf.set(key, "dynamic")
+        try:
+            yield
+        finally:
+            spark.conf.set(key, before)
 
 
 def read_table(spark: SparkSession, table: str) -> DataFrame:
@@ -227,10 +254,18 @@ def _rewrite(spark: SparkSession, table: str, cause: DataFrame, change: Callable
             left = rows.select(*map(col, by)).distinct()
             emptied = places.join(left, [places[p].eqNullSafe(left[p]) for p in by], "left_anti")
             overwrite_partitions(rows, table)
-            # a name of a partition for each, no rows
-            for row in emptied.select(*[col(p).cast("string") for p in by]).toLocalIterator():
-                spec = ", ".join(f"`{p}` = " + ("null" if v is None else "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'") for p, v in zip(by, row))
-                spark.sql(f"ALTER TABLE {quoted(table)} DROP IF EXISTS PARTITION ({spec})")
+            _drop_partitions(spark, table, by, emptied)
+
+
+def _drop_partitions(spark: SparkSession, table: str, by: list[str], emptied: DataFrame) -> None:
+    """Drop the partitions that ``emptied`` names, ``DROPPED_AT_ONCE`` in a statement. A name for each, no rows."""
+    def literal(value: str | None) -> str:
+        return "null" if value is None else "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    names = emptied.select(*[col(p).cast("string") for p in by]).toLocalIterator()
+    while some := list(islice(names, DROPPED_AT_ONCE)):
+        specs = [", ".join(f"`{p}` = {literal(v)}" for p, v in zip(by, row)) for row in some]
+        spark.sql(f"ALTER TABLE {quoted(table)} DROP IF EXISTS " + ", ".join(f"PARTITION ({spec})" for spec in specs))
 
 
 def choose_partition(df: DataFrame) -> str | None:

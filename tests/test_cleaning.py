@@ -131,3 +131,12 @@ def test_nothing_left_to_fill(spark):
     assert cleaned.filter("i is null or f is null or s is null").count() == 0
     assert cleaned.count() <= 60
     assert {r[0] for r in cleaned.select("_source").distinct().collect()} == {"t"}
+
+
+def test_no_scan_for_medians(spark, monkeypatch):
+    """The default error needs no call beside the counts, and fills are near the median."""
+    monkeypatch.setattr(cleaning, "medians", None)
+    df = spark.range(9_000).select("id", F.when(F.col("id") % 9 > 0, F.col("id") * 1.0).alias("x"), F.when(F.col("id") % 9 > 0, F.col("id").cast("string")).alias("t"))
+    for filled in (cleaning.clean(df, "s")[0], cleaning.fill_nulls(df.drop("t"))):
+        for name in {"x", "t"} & set(filled.columns):
+            assert abs(filled.where("id % 9 = 0").agg(F.max(name)).first()[0] - 4_500) <= 90

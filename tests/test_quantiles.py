@@ -4,6 +4,8 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewright.operators import quantiles
 from tablewright.operators.quantiles import exact_quantiles
@@ -72,3 +74,24 @@ def test_neighbours_take_few_rounds(spark, monkeypatch):
 def test_no_columns_and_no_rows(spark):
     assert exact_quantiles(spark.range(3), []) == {}
     assert exact_quantiles(spark.range(0), ["id"]) == {"id": None}
+
+
+@pytest.mark.parametrize("rel_error", [0.2, 0.01])
+def test_sketched_ranks_stay_within_the_error(spark, rel_error):
+    """Against the exact ranks, over skewed values in many tasks, merged from groups too."""
+    values = spark.range(0, 60_000, 1, 16).select("id", (F.pow(F.rand(3), 6) * 1e6).alias("x")).cache()
+    found = values.agg(quantiles.sketched_quantile(F.col("x"), T.DoubleType(), rel_error).alias("m")).first()["m"]
+    parts = values.groupBy(F.col("id") % 50).agg(quantiles.sketched(F.col("x"), T.DoubleType(), rel_error).alias("s"))
+    merged = parts.agg(F.kll_sketch_get_quantile_double(F.kll_merge_agg_double("s"), F.lit(0.5)).alias("m")).first()["m"]
+    for median in (found, merged):
+        below = values.where(F.col("x") <= median).count() / 60_000
+        assert abs(below - 0.5) <= rel_error
+    assert quantiles.sketch_size(rel_error) < quantiles.sketch_size(rel_error / 2) <= quantiles.LARGEST_SKETCH
+    values.unpersist()
+
+
+def test_sketches_without_values(spark):
+    df = spark.createDataFrame([(None, float("nan"), 3), (None, None, 3)], "n double, x double, i int")
+    row = df.agg(*[quantiles.sketched_quantile(F.col(f.name), f.dataType, 0.01).alias(f.name) for f in df.schema]).first()
+    assert tuple(row) == (None, None, 3.0)
+    assert df.limit(0).agg(quantiles.sketched_quantile(F.col("i"), T.IntegerType(), 0.01)).first()[0] is None

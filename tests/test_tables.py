@@ -215,3 +215,33 @@ def test_scratch_folder_is_a_shared_one():
     shared = FakeSession(**{"spark.checkpoint.dir": "hdfs://shared/scratch/"})
     assert scratch_dir(shared).startswith("hdfs://shared/scratch/") and scratch_dir(shared) != scratch_dir(shared)
     assert scratch_dir(FakeSession(**{"spark.sql.warehouse.dir": "file:/lake"})).startswith("file:/lake/.scratch/")
+
+
+def test_tables_say_how_they_are_overwritten(spark):
+    """No session setting changes while a table of this library is written; one of another maker still keeps its other partitions."""
+    namespace = new_namespace(spark)
+    key, seen = "spark.sql.sources.partitionOverwriteMode", []
+    rows = spark.range(6).select("id", (F.col("id") % 3).alias("p"))
+    tables.create_or_replace(rows, f"{namespace}.own", ["p"])
+    rows.write.partitionBy("p").saveAsTable(f"{namespace}.other")
+    tables.create_table(spark, f"{namespace}.made", rows.schema, ["p"])
+    tables.append(rows, f"{namespace}.made")
+    for name in ("own", "made", "other"):
+        with tables._replacing_by_partition(spark, f"{namespace}.{name}"):
+            seen.append(spark.conf.get(key).lower())
+        tables.overwrite_partitions(spark.createDataFrame([(10, 1)], "id bigint, p bigint"), f"{namespace}.{name}")
+        assert sorted(r["id"] for r in spark.table(f"{namespace}.{name}").collect()) == [0, 2, 3, 5, 10]
+    assert seen == ["static", "static", "dynamic"] and spark.conf.get(key).lower() == "static"
+
+
+def test_many_emptied_partitions_go_in_few_statements(spark, monkeypatch):
+    namespace = new_namespace(spark)
+    monkeypatch.setattr(tables, "DROPPED_AT_ONCE", 4)
+    rows = spark.range(40).select("id", F.concat(F.lit("it's "), F.col("id") % 20).alias("p"), F.when(F.col("id") % 20 < 19, F.col("id") % 20).alias("q"))
+    tables.create_or_replace(rows, f"{namespace}.many", ["p", "q"])
+    asked, sql = [], type(spark).sql
+    monkeypatch.setattr(type(spark), "sql", lambda self, text, *a, **k: asked.append(text) or sql(self, text, *a, **k))
+    tables.delete_where(spark, f"{namespace}.many", "id % 20 >= 10", confirm=True)
+    assert sum("DROP IF EXISTS PARTITION" in t for t in asked) == 3
+    assert sorted(r["id"] for r in spark.table(f"{namespace}.many").collect()) == [i for i in range(40) if i % 20 < 10]
+    assert sql(spark, f"show partitions {namespace}.many").count() == 10
