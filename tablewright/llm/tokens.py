@@ -14,8 +14,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import cache, cached_property
-from itertools import groupby
+from functools import cached_property
 
 import numpy as np
 import sentencepiece
@@ -40,11 +39,16 @@ def parts(text: str, size: int = PART) -> Iterator[str]:
     yield text[at:]
 
 
-@cache
-def _unassigned() -> re.Pattern:
-    found = (c for c in range(0x80, 0x110000) if unicodedata.category(chr(c)) == "Cn")
-    runs = [[c for _, c in g] for _, g in groupby(enumerate(found), lambda p: p[1] - p[0])]
-    return re.compile("[" + "".join(f"{chr(r[0])}-{chr(r[-1])}" for r in runs) + "]")
+_assigned: set[str] = set()
+
+
+def _all_assigned(text: str) -> bool:
+    """Whether Unicode 15.1 knows all code points of a text."""
+    for c in set(text) - _assigned:
+        if unicodedata.category(c) == "Cn":
+            return False
+        _assigned.add(c)
+    return True
 
 
 class ByteTokens:
@@ -83,8 +87,11 @@ class ByteTokens:
         found = [self._part(part, special) for part in parts(text)]
         return found[0] if len(found) == 1 else np.concatenate(found)
 
+    def decoded(self, ids: np.ndarray) -> bytes:
+        return self._fast.decode_bytes(ids.tolist())
+
     def _part(self, text: str, special: bool) -> np.ndarray:
-        if self.alike and (text.isascii() or not _unassigned().search(text)):
+        if self.alike and (text.isascii() or _all_assigned(text)):
             try:
                 return self._fast.encode_to_numpy(text, allowed_special="all" if special else set(), disallowed_special=())
             except ValueError:  # a run of blanks too long for its pattern
@@ -99,9 +106,13 @@ class PieceTokens:
     def __init__(self, path: str):
         with open(path, "rb") as f:
             self.model = f.read()
+        # no piece holds a space after another character, and the normaliser changes no code point but U+2581
+        points = (c for c in map(chr, range(0x110000)) if c != "▁" and unicodedata.category(c) not in ("Cn", "Cs", "Co"))
+        self.cuttable = not any(b" " in b.lstrip(b" ") for b in self.bytes_of) and all(
+            self.decoded(self._part(f"a{c}a")) == f" a{c}a".encode() for c in points)
 
     def __getstate__(self) -> dict:
-        return {"model": self.model}
+        return {"model": self.model, "cuttable": self.cuttable}
 
     @cached_property
     def _library(self) -> sentencepiece.SentencePieceProcessor:
@@ -114,14 +125,18 @@ class PieceTokens:
         return [bytes([int(n[1:-1], 16)]) if library.is_byte(i) else n.replace("▁", " ").encode() for i, n in enumerate(names)]
 
     @cached_property
-    def _cuttable(self) -> bool:
-        """No piece holds a space after another character."""
-        return not any(b" " in b.lstrip(b" ") for b in self.bytes_of)
+    def _table(self) -> np.ndarray:
+        return np.array(self.bytes_of, object)
+
+    def decoded(self, ids: np.ndarray) -> bytes:
+        return b"".join(self._table[ids].tolist())
+
+    def _part(self, text: str) -> np.ndarray:
+        return np.array(self._library.encode(text, num_threads=1), np.uint32)
 
     def ids(self, text: str) -> np.ndarray:
         """Ids of a text; the model adds a space in front."""
-        cut = list(parts(text)) if self._cuttable else [text]
-        found = [np.array(self._library.encode(p[i > 0:], num_threads=1), np.uint32) for i, p in enumerate(cut)]
+        found = [self._part(part[i > 0:]) for i, part in enumerate(parts(text) if self.cuttable else [text])]
         return found[0] if len(found) == 1 else np.concatenate(found)
 
 
