@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ SALTS = np.array([0x47B6137B, 0x44974D91, 0x8824AD5B, 0xA2B7289D, 0x705495C7, 0x
 #: Bits for each hash, and the bytes that a filter has at most.
 BITS_EACH, MOST = 16, 64 << 20
 #: Blocks that one task fills.
-RANGE = 1 << 14
+RANGE = 1 << 8
 
 
 def blocks_for(n: int, bits: int = BITS_EACH, most: int = MOST) -> int:
@@ -51,16 +52,26 @@ def probe(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return at
 
 
+def may_hold(hashes: F.Column, words: Broadcast) -> F.Column:
+    """Whether the filter that was sent may hold each row's hash."""
+    def apply(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            hit = np.zeros(len(batch), bool)
+            hit[probe(words.value, batch.to_numpy().view(np.uint64))] = True
+            yield pa.array(hit)
+
+    apply.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(apply, "boolean")(hashes)
+
+
 def build(rows: DataFrame, sizes: dict[int, int], bits: int = BITS_EACH, most: int = MOST) -> dict[int, np.ndarray]:
     """A filter for each shard. ``rows`` has ``shard`` and ``hash``; ``sizes`` says how many rows a shard has."""
     if not sizes:
         return {}
     blocks = {s: blocks_for(n, bits, most) for s, n in sizes.items()}
     pairs = [F.lit(x) for s, n in blocks.items() for x in (s, n)]
-    upper = F.shiftrightunsigned("hash", 32)
-    # the product of two numbers of 32 bits may pass 63 bits, so the block is worked out in two parts
-    count = F.create_map(*pairs)[F.col("shard")]
-    place = F.shiftright(F.shiftright(upper, 16) * count + F.shiftright(upper.bitwiseAND(0xFFFF) * count, 16), 16)
+    # 32 bits times the number of blocks stays below 63 bits
+    place = F.shiftright(F.shiftrightunsigned("hash", 32) * F.create_map(*pairs)[F.col("shard")], 32)
     placed = rows.select("shard", "hash", place.alias("place")).withColumn("part", F.floor(F.col("place") / RANGE))
     folds = placed.repartition("shard", "part").sortWithinPartitions("shard", "part")
 

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import bloom
 from .components import components
 from .shared import blank_words, per_text, staged, unused, with_parts, with_result
 
@@ -244,13 +245,23 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, budget: int = BITS)
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, budget: int = BITS) -> DataFrame:
     """``docs`` with one row of each component: that of its smallest id.
 
-    Where an id repeats, the smallest of its fingerprints in the component decides, then the order
-    of the texts and other columns. Rows without an id can't be named by a group; they stay.
+    Texts stay where they are: a Bloom filter of the ids that go, or repeat, keeps all rows that it
+    can't hold, and only the others meet those ids in a join. Where an id repeats, the smallest of its
+    fingerprints in the component decides, then the order of the texts and other columns. Rows without an
+    id can't be named by a group; they stay.
     """
     groups = staged(_grouped(docs.select("doc_id", "text"), shingle, budget))
     own = F.col("doc_id") == F.col("component_id")
-    ids = staged(groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.max(own).alias("first")).where("first"))
-    out = docs.join(ids.where("n = 1"), "doc_id", "left_semi").select(*docs.columns)
+    ids = groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.max(own).alias("first"))
+    ids = staged(ids.where("n > 1 or not first"))
+    hashed = F.xxhash64("doc_id")
+    filters = bloom.build(ids.select(F.lit(0).cast("bigint").alias("shard"), hashed.alias("hash")), {0: max(1, ids.count())})
+    maybe = bloom.may_hold(hashed, docs.sparkSession.sparkContext.broadcast(filters[0]))
+    out = docs.where(F.col("doc_id").isNull() | ~maybe)
+    passed = staged(docs.select("doc_id").where("doc_id is not null").where(maybe).join(ids, "doc_id", "left_anti"))
+    if not passed.isEmpty():
+        out = out.union(docs.where(maybe).join(passed, "doc_id", "left_semi").select(*docs.columns))
+    ids = ids.where("first")
     repeated = ids.where("n > 1").select("doc_id")
     if not repeated.isEmpty():
         kept = groups.where(own).join(repeated, "doc_id", "left_semi").groupBy("component", "doc_id").agg(F.min("fp").alias("least"))
@@ -260,6 +271,4 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, budget: int = BITS) -> Dat
         row = F.struct(*docs.columns)
         one = rows.groupBy("doc_id", F.col(f"{name}.fp").alias("least")).agg(F.min_by(row, F.struct("text", F.to_json(row))).alias("row"))
         out = out.union(one.join(kept, ["doc_id", "least"], "left_semi").select("row.*"))
-    if not groups.where("doc_id is null").isEmpty():
-        out = out.union(docs.where("doc_id is null"))
     return out
