@@ -19,10 +19,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import cached_property
 from itertools import accumulate
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -34,7 +36,7 @@ from .shared import staged
 from .tokens import ByteTokens, PieceTokens, broadcast_tokens
 
 #: Bytes and documents of a block; products expanded at once; pairs that a task holds; pairs that are sent to every task.
-BLOCK_BYTES, BLOCK_DOCS, EXPANDED, HELD, SENT = 1 << 20, 4_096, 1 << 21, 1 << 21, 2_000_000
+BLOCK_BYTES, BLOCK_DOCS, EXPANDED, HELD, SENT = 1 << 18, 4_096, 1 << 21, 1 << 21, 2_000_000
 
 
 class Csr(NamedTuple):
@@ -45,8 +47,9 @@ class Csr(NamedTuple):
 
     def transposed(self, width: int) -> Csr:
         rows = np.repeat(np.arange(len(self.starts) - 1), np.diff(self.starts))
-        order = np.argsort(self.columns, kind="stable")
-        return Csr(np.concatenate(([0], np.cumsum(np.bincount(self.columns, minlength=width)))), rows[order])
+        if np.any(self.columns[1:] < self.columns[:-1]):
+            rows = rows[np.argsort(self.columns, kind="stable")]
+        return Csr(np.concatenate(([0], np.cumsum(np.bincount(self.columns, minlength=width)))), rows)
 
 
 def bytes_of_tokens(ends: np.ndarray) -> Csr:
@@ -72,9 +75,11 @@ def product(left: Csr, right: Csr, expanded: int = EXPANDED) -> Iterator[tuple[n
         hi = min(n, max(lo + 1, int(np.searchsorted(work, work[lo] + expanded, "right")) - 1))
         named = left.columns[left.starts[lo]:left.starts[hi]]
         many = sizes[left.starts[lo]:left.starts[hi]]
-        rows = np.repeat(np.repeat(np.arange(lo, hi), np.diff(left.starts[lo:hi + 1])), many)
-        within = np.arange(len(rows)) - np.repeat(np.cumsum(many) - many, many)
-        columns = right.columns[np.repeat(right.starts[named], many) + within]
+        rows, at = np.repeat(np.arange(lo, hi), np.diff(left.starts[lo:hi + 1])), right.starts[named]
+        if (many != 1).any():
+            within = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            rows, at = np.repeat(rows, many), np.repeat(at, many) + within
+        columns = right.columns[at]
         if len(rows):
             later = (rows[1:] > rows[:-1]) | (columns[1:] >= columns[:-1])
             if not later.all():
@@ -93,9 +98,19 @@ class Block:
         empty = [np.zeros(0, np.int64)]
         self.a, self.b = (np.concatenate(x + empty).astype(np.int64) for x in (a, b))
         self.a_ends, self.b_ends = np.cumsum(sizes[0][self.a]), np.cumsum(sizes[1][self.b])
-        self.borders = np.intersect1d(self.a_ends, self.b_ends, assume_unique=True)
         self.doc_of_a = np.repeat(np.arange(len(a)), self.n_a)
 
+    @cached_property
+    def last(self) -> tuple[np.ndarray, np.ndarray]:
+        """The last token of each group, of A and of B: they end at the same offset."""
+        at = np.searchsorted(self.b_ends, self.a_ends)
+        same = np.flatnonzero(self.b_ends[at] == self.a_ends)  # both sides end together, so each place exists
+        return same, at[same]
+
+    @property
+    def borders(self) -> np.ndarray:
+        return self.a_ends[self.last[0]]
+
     def overlaps(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """A·Bᵀ: tokens of A, tokens of B, bytes that they share."""
         width = int(self.a_ends[-1]) if len(self.a_ends) else 0
@@ -108,16 +123,18 @@ class Block:
 
     def group_texts(self, names: tuple[list[list[bytes]], list[list[bytes]]]) -> list[bytes]:
         """Each document's groups: `a1,a2|b1;a3|b2,b3`. ``names`` has each id followed by a comma, and by a group's mark."""
-        group_a, group_b = (np.searchsorted(self.borders, e) for e in (self.a_ends, self.b_ends))
-        n_groups = len(self.borders)
-        first_b = np.concatenate(([0], np.cumsum(np.bincount(group_b, minlength=n_groups))))
-        last_a = np.cumsum(np.bincount(group_a, minlength=n_groups))
-        place_a = np.arange(len(self.a)) + first_b[group_a]
-        place_b = np.arange(len(self.b)) + last_a[group_b]
+        closes, groups = [], []
+        for ids, last in zip((self.a, self.b), self.last):
+            closing = np.zeros(len(ids), bool)
+            closing[last] = True
+            closes.append(closing)
+            groups.append(np.cumsum(closing) - closing)
+        many_a, many_b = (last + 1 for last in self.last)  # tokens up to the end of each group
+        place_a = np.arange(len(self.a)) + np.concatenate(([0], many_b))[groups[0]]
+        place_b = np.arange(len(self.b)) + many_a[groups[1]]
         out = np.empty(len(self.a) + len(self.b), object)
-        for ids, ends, place, (inner, closing) in ((self.a, self.a_ends, place_a, names[0]), (self.b, self.b_ends, place_b, names[1])):
-            closes = np.isin(ends, self.borders, assume_unique=True)
-            for chosen, table in ((~closes, inner), (closes, closing)):
+        for ids, place, closing, (inner, marked) in zip((self.a, self.b), (place_a, place_b), closes, names):
+            for chosen, table in ((~closing, inner), (closing, marked)):
                 out[place[chosen]] = table[ids[chosen]]
         sizes, marked = (self.n_a + self.n_b).tolist(), out.tolist()
         return [b"".join(marked[e - n:e])[:-1] for e, n in zip(accumulate(sizes), sizes)]
@@ -128,7 +145,6 @@ class _Pair:
 
     def __init__(self, a: ByteTokens, b: PieceTokens):
         self.a, self.b = a, b
-        self.tables = a.bytes_of, b.bytes_of
         self.sizes = tuple(np.array([len(t) for t in x], np.int64) for x in (self._dense(a.bytes_of), b.bytes_of))
         self.kinds = tuple("<u2" if len(x) <= 1 << 16 else "<u4" for x in self.sizes)
         self.names = tuple(
@@ -146,8 +162,7 @@ class _Pair:
             return none, none
         text, spaced = raw.decode("utf-8", "replace"), b" " + raw
         both = self.a.ids(" " + text, special=False), self.b.ids(text)
-        same = all(b"".join(map(table.__getitem__, ids.tolist())) == spaced for table, ids in zip(self.tables, both))
-        return both if same else (none, none)
+        return both if self.a.decoded(both[0]) == spaced == self.b.decoded(both[1]) else (none, none)
 
 
 def _start(a, b) -> _Pair:
@@ -193,7 +208,7 @@ def _align_task(a, b) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
             n_links = np.zeros(len(of_a), np.int64)
             for links, _, _ in block.overlaps():
                 n_links += np.bincount(block.doc_of_a[links], minlength=len(of_a))
-            group_doc = block.doc_of_a[np.searchsorted(block.a_ends, block.borders)]
+            group_doc = block.doc_of_a[block.last[0]]
             digests = [hashlib.sha256(t).hexdigest() if t else "" for t in block.group_texts(pair.names)]
             raw = [pa.array([i.astype(kind).tobytes() for i in ids], pa.binary()) for ids, kind in zip((of_a, of_b), pair.kinds)]
             yield pa.RecordBatch.from_arrays([
@@ -267,19 +282,25 @@ def _count_task(a, b, by_block: bool) -> Callable[[Iterator[pa.RecordBatch]], It
     return apply
 
 
-class PairCounts(NamedTuple):
-    """Packed id pairs in rising order, their counts, and whether each is the highest of its first id."""
+class PairCounts:
+    """Packed id pairs, their counts, and whether each is the highest of its first id."""
+
+    def __init__(self, pairs: np.ndarray, counts: np.ndarray, best: np.ndarray):
+        self.pairs, self.counts, self.best = pairs, counts, best
 
-    pairs: np.ndarray
-    counts: np.ndarray
-    best: np.ndarray
+    def __getstate__(self) -> dict:
+        return {"pairs": self.pairs, "counts": self.counts, "best": self.best}
+
+    @cached_property
+    def places(self) -> pd.Index:
+        """The place of each pair, by a hash table that each worker makes once."""
+        return pd.Index(self.pairs)
 
     def scores(self, pair: _Pair, block: Block) -> tuple[np.ndarray, np.ndarray]:
         """For each document, links that are best, and the sum of the links' counts."""
         best, total = (np.zeros(len(block.n_a), np.int64) for _ in range(2))
         for doc, key in _keys(pair, block):
-            keys, back = np.unique(key, return_inverse=True)
-            at = np.searchsorted(self.pairs, keys)[back]
+            at = self.places.get_indexer(key)
             best += np.bincount(doc[self.best[at]], minlength=len(best))
             ends = np.concatenate(([0], np.cumsum(self.counts[at])))
             edges = np.searchsorted(doc, np.arange(len(total) + 1))
@@ -362,7 +383,7 @@ def score_links(docs: DataFrame, byte_path: str, piece_path: str, sent: int = SE
     a, b = _broadcast(spark, byte_path, piece_path)
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {SCORED}"
     if counts.count() <= sent:
-        table = counts.orderBy("pair").toArrow()
+        table = counts.toArrow()
         columns = (table[c].to_numpy() for c in ("pair", "count", "best"))
         everything = spark.sparkContext.broadcast(PairCounts(*columns))
 
@@ -375,8 +396,7 @@ def score_links(docs: DataFrame, byte_path: str, piece_path: str, sent: int = SE
     answers = asked.join(counts, "pair").select("block", "pair", "count", "best")
 
     def meet(documents: pa.Table, found: pa.Table) -> pa.Table:
-        table = found.sort_by("pair")
-        columns = (table[c].to_numpy() for c in ("pair", "count", "best"))
+        columns = (found[c].to_numpy() for c in ("pair", "count", "best"))
         return pa.Table.from_batches(list(_scored(_start(a, b), PairCounts(*columns), iter(documents.combine_chunks().to_batches()))))
 
     return aligned.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(meet, schema)
