@@ -236,6 +236,42 @@ def merge(df: DataFrame, table: str, key: str) -> None:
             *map(col, touched.columns)).unionByName(updates))
 
 
+def create_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> None:
+    """Create or replace a Parquet table whose rows are kept in buckets by a key, for ``merge_bucketed``."""
+    with staged(df.repartition(buckets, col(key))) as rows:
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {quoted(table)}")
+        rows.repartition(buckets, col(key)).write.format("parquet").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+
+
+def merged_buckets(updates: DataFrame, table: str, key: str, buckets: int) -> DataFrame:
+    """The rows of a bucketed table after a merge. Updates go to the table's buckets; the table's rows stay where they are."""
+    current = read_table(updates.sparkSession, table)
+    placed = updates.repartition(buckets, col(key))
+    kept = current.join(placed.select(col(key)).hint("merge"), key, "left_anti").select(*map(col, current.columns))
+    return kept.unionByName(placed)
+
+
+def merge_bucketed(df: DataFrame, table: str, key: str) -> None:
+    """Store rows by key in a bucketed table: replace equal keys, insert new ones (K13). A key that repeats in ``df`` raises.
+
+    The table's rows are never shuffled, only ``df``. All buckets are written again, to a table that then takes the
+    place of the old one. ``df`` may read the table itself.
+    """
+    spark = df.sparkSession
+    described = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE TABLE EXTENDED {quoted(table)}").collect()}
+    if described.get("Bucket Columns") != f"[`{key}`]":
+        raise ValueError(f"{table} is not in buckets by {key}")
+    buckets, following = int(described["Num Buckets"]), f"{table}__next"
+    with staged(conformed(df, table)) as updates:
+        twice = updates.groupBy(col(key)).count().filter("count > 1").first()
+        if twice is not None:
+            raise ValueError(f"the key {twice[0]!r} repeats in the rows to merge")
+        spark.sql(f"DROP TABLE IF EXISTS {quoted(following)}")
+        merged_buckets(updates, table, key, buckets).write.format("parquet").bucketBy(buckets, key).sortBy(key).saveAsTable(following)
+    spark.sql(f"DROP TABLE {quoted(table)}")
+    spark.sql(f"ALTER TABLE {quoted(following)} RENAME TO {quoted(table)}")
+
+
 def _rewrite(spark: SparkSession, table: str, cause: DataFrame, change: Callable[[DataFrame], DataFrame]) -> None:
     """Write the partitions again that hold a row of ``cause``: ``change`` makes their new rows.
 

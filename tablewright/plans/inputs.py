@@ -128,18 +128,22 @@ REGISTRY = Derived("orders", ((
      "o_orderstatus as source", "cast(floor(o_totalprice) as bigint) as row_count",
      "concat('2024-01-', lpad(cast(1 + o_orderkey % 28 as varchar(2)), 2, '0'), ' 10:30') as created_at"), None),))
 
-# The rules, in order (pattern, fix, message).
+# Rules for the lines above, in order (pattern, fix, message).
 ERROR_RULES = [
-    ("externally-managed-environment", "use_venv", "System Python blocked package installation"),
-    ("pg_config executable not found", "install_libpq_dev", "PostgreSQL development package missing"),
-    ("No module named 'psycopg2'", "install_psycopg2", "Postgres Python driver missing"),
-    ("ModuleNotFoundError: No module named 'airflow'", "reinstall_airflow",
-     "Airflow is not installed in the active environment"),
-    ("connection refused", "start_postgres", "PostgreSQL is not running or DB URL is wrong"),
-    ("address already in use", "change_port", "Selected port is already in use"),
-    ("permission denied for schema public", "fix_public_schema_privileges",
-     "Airflow database user does not have schema permissions"),
-    ("InsufficientPrivilege", "fix_public_schema_privileges", "Database privilege problem for Airflow user"),
-    ('relation "job" does not exist', "reset_airflow_db", "Airflow metadata tables are missing"),
-    ("UndefinedTable", "reset_airflow_db", "Airflow metadata tables are missing"),
+    ("pg_config executable", "add_client_headers", "The database client's headers are not there"),
+    ("could not translate host name", "check_host", "The host has no address"),
+    ("Connection Refused", "start_server", "Nothing listens at the address"),
+    ("password authentication failed", "check_password", "The server refuses the password"),
+    ("address already in use", "free_port", "Another process has the port"),
+    ("permission denied for schema", "grant_schema", "The user may not use the schema"),
+    ("insufficientprivilege", "grant_rights", "The user lacks a right"),
+    ("UndefinedTable", "create_tables", "The tables have not been made"),
+    ('relation "job"', "upgrade_tables", "The job table is missing"),
+    ("no space left on device", "free_disk", "The disk is full"),
 ]
+
+#: Messages that name a part and another with the same words, and rules for the names: one name may begin another.
+PART_LINES = Derived("part", ((
+    ("p_partkey", "concat('Lot ', cast(p_partkey as varchar(20)), ': ', p_name, ' ', p_brand, ' beside ', p_name, ' Brand#', "
+     "cast(1 + p_partkey % 40 as varchar(20)), '.') as message"), None),))
+PART_RULES = Derived("part", ((("concat(upper(p_name), ' ', p_brand) as pattern", "p_type", "p_size"), "p_partkey % 5 > 0"),))

@@ -180,6 +180,14 @@ def jdbc_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jdbc.read_jdbc(spark, _database(spark, sf_dir), "accounts", DERBY, partition=('"c_custkey"', 4))
 
 
+@query("jdbc_scan_even", f"select p.*, true as even from ({ACCOUNTS.sql()}) p")
+def jdbc_scan_even(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column of few values, cut within a value by the key; whether no range has over twice the rows of another."""
+    read = jdbc.read_jdbc_even(spark, _database(spark, sf_dir), "accounts", '"visits"', 6, DERBY, '"c_custkey"')
+    sizes = [r["count"] for r in read.groupBy(F.spark_partition_id()).count().collect()]
+    return read.withColumn("even", F.lit(len(sizes) >= 5 and max(sizes) <= 2 * min(sizes)))
+
+
 @query("jdbc_literal_row", f"{ACCOUNTS.sql()} union all {_NEW_ROW_SQL}")
 def jdbc_literal_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     url = _database(spark, sf_dir)

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import profiling
+from ..operators import profiling, sketches, tables
 from ..operators.querying import row_count
 from .contract import query
-from .inputs import DIRTY_ORDERS, table
+from .inputs import ACCOUNTS, DIRTY_ORDERS, table
+from .storing import new_namespace
 
 _DIRTY = {"o_orderkey": "bigint", "o_custkey": "bigint", "price": "double", "prio": "string", "code": "string",
           "odate": "timestamp_ntz"}
@@ -160,3 +161,31 @@ def profile(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(F.array_sort(F.transform(F.map_entries("dtypes"),
                                               lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ", ").alias("dtypes"),
         F.array_join(F.transform("preview", lambda r: r["o_orderkey"].cast("string")), ",").alias("preview_keys"))
+
+
+@query("profile_merged", f"""
+    with p as ({ACCOUNTS.sql()})""" + " union all ".join(f"""
+    select '{name}' as name, cast(count(*) as bigint) as "rows", cast(count(*) - count({name}) as bigint) as nulls, true as distinct_near,
+      {median} as median_near, cast(3 as bigint) as first_scanned, cast(1 as bigint) as then_scanned from p"""
+    for name, median in (("c_custkey", "true"), ("c_name", "cast(null as boolean)"), ("balance", "true"), ("area", "cast(null as boolean)"), ("visits", "true"))))
+def profile_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kept sketches, of all folders first and then of the one that got rows, beside the table's own counts and ranks."""
+    columns = ["c_custkey", "c_name", "balance", "area", "visits"]
+    namespace, accounts = new_namespace(spark), ACCOUNTS.frame(spark, sf_dir).select(*columns, "season")
+    target, store = f"{namespace}.accounts", f"{namespace}.sketches"
+    later = "season = '2020-21' and c_custkey % 2 = 0"
+    tables.create_or_replace(accounts.filter(f"not ({later})"), target, ["season"])
+    first = sketches.refresh_sketches(spark, target, store)
+    tables.append(accounts.filter(later), target)
+    then = sketches.refresh_sketches(spark, target, store)
+    merged = {r["name"]: r for r in sketches.merged_profile(spark, target, store).collect()}
+    stored, rows = tables.read_table(spark, target), []
+    exact = stored.agg(*[F.count_distinct(c).alias(c) for c in columns]).first()
+    for name in columns:
+        found, near = merged[name], None
+        if found["median_estimate"] is not None:
+            below, upto = stored.agg(*[F.avg(F.expr(f"cast({name} {o} {found['median_estimate']!r}D as int)")) for o in ("<", "<=")]).first()
+            near = below - sketches.RANK_ERROR <= 0.5 <= upto + sketches.RANK_ERROR
+        distinct_near = abs(found["distinct_estimate"] - exact[name]) <= 0.04 * exact[name]
+        rows.append((name, found["rows"], found["nulls"], distinct_near, near, first.scanned, then.scanned))
+    return spark.createDataFrame(rows, "name string, rows bigint, nulls bigint, distinct_near boolean, median_near boolean, first_scanned bigint, then_scanned bigint")

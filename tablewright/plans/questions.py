@@ -116,12 +116,10 @@ def fiscal_after_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     s as (select regexp_replace(json_extract_string(doc, '$.sql'), '[0-9]+', '7', 'g') as sql from j)
     select sql, count(*) as replies, sql like 'SELECT%' as is_read from s where sql is not null group by sql""")
 def guard_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The statements of the replies, their numbers aside, judged by their plans."""
+    """The statements of the replies, their numbers aside, judged where they are."""
     parsed = textjobs.parse_replies(REPLIES.frame(spark, sf_dir), "reply")
     shapes = parsed.where("sql is not null").groupBy(F.regexp_replace("sql", "[0-9]+", "7").alias("sql")).agg(F.count("*").alias("replies"))
-    verdicts = {r["sql"]: querying.guard_sql(spark, r["sql"]).reads for r in shapes.collect()}  # a handful of shapes
-    judged = F.create_map(*[F.lit(x) for pair in verdicts.items() for x in pair])
-    return shapes.withColumn("is_read", judged[F.col("sql")])
+    return querying.guard_statements(shapes, "sql")
 
 
 @query("guard_sql", f"""

@@ -105,6 +105,18 @@ def table_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_table(spark, target)
 
 
+@query("table_merge_bucketed", f"""
+    select * replace (cast(case when tier = 'gold' then visits + 200 when tier = 'basic' then visits + 100 else visits end as integer) as visits)
+    from ({ACCOUNTS.sql()}) p""")
+def table_merge_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two merges; neither shuffles the table."""
+    target, accounts = _new_table(spark), ACCOUNTS.frame(spark, sf_dir)
+    tables.create_bucketed(accounts.filter("tier <> 'basic'"), target, "c_custkey", 8)
+    tables.merge_bucketed(_with_more_visits(accounts.filter("tier <> 'silver'")), target, "c_custkey")
+    tables.merge_bucketed(_with_more_visits(_with_more_visits(accounts.filter("tier = 'gold'"))), target, "c_custkey")
+    return tables.read_table(spark, target)
+
+
 @query("table_verify", "select count(*) as rows_written, count(*) as rows_stored from customer")
 def table_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     target, accounts = _new_table(spark), ACCOUNTS.frame(spark, sf_dir)
@@ -155,7 +167,7 @@ def refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
       case when o_custkey % 2 = 0 then 'append' else 'overwrite' end as operation, count(*) as added_records
     from orders group by o_custkey order by committed_at desc, snapshot_id desc limit 5""")
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest of a snapshot log; a customer's orders stand for a snapshot."""
+    """A plain top-n: the newest rows of a table that has the columns of a snapshot log. No snapshots are read."""
     log = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("snapshot_id")).agg(
         F.max("o_orderdate").cast("timestamp_ntz").alias("committed_at"),
         F.create_map(F.lit("added-records"), F.count("*").cast("string")).alias("summary"),

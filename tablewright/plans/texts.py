@@ -8,7 +8,9 @@ from pyspark.sql import types as T
 
 from ..operators import textjobs
 from .contract import query
-from .inputs import DIALOGUES, ERROR_LINES, ERROR_RULES, ERROR_TEXTS, REPLIES, REQUESTS, RUN_HEADER, RUN_LINES, table
+from .inputs import (
+    DIALOGUES, ERROR_LINES, ERROR_RULES, ERROR_TEXTS, PART_LINES, PART_RULES, REPLIES, REQUESTS, RUN_HEADER, RUN_LINES, table,
+)
 
 _TABLE = "lake.sales.events"
 _COMPARED = textjobs.COMPARISON.removeprefix("(?U)")
@@ -115,6 +117,19 @@ def match_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return textjobs.match_rules(ERROR_LINES.frame(spark, sf_dir), "message", ERROR_RULES)
 
 
+@query("match_rule_list", f"""
+    with d as ({PART_LINES.sql()}),
+    rules as (select pattern, min(p_type) as fix, cast(max(p_size) as varchar) as note, row_number() over (order by pattern desc) as rule_no
+      from ({PART_RULES.sql()}) r group by pattern)
+    select p_partkey, message, arg_min(fix, rule_no) as fix, arg_min(note, rule_no) as fix_message
+    from d left join rules on contains(lower(message), lower(pattern)) group by p_partkey, message""")
+def match_rule_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule for each name and brand of a part: as many as these words make, whatever the number of parts."""
+    found = PART_RULES.frame(spark, sf_dir).groupBy("pattern").agg(F.min("p_type").alias("fix"), F.max("p_size").cast("string").alias("note"))
+    rules = [tuple(r) for r in found.orderBy(F.desc("pattern")).collect()]
+    return textjobs.match_rule_list(PART_LINES.frame(spark, sf_dir), "message", rules)
+
+
 def _status_oracle(start: int, end: int) -> str:
     fields = ", ".join(f"trim(split_part(line, '|', {i + 1})) as f{i}" for i in range(6))
     return f"""

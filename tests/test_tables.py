@@ -245,3 +245,24 @@ def test_many_emptied_partitions_go_in_few_statements(spark, monkeypatch):
     assert sum("DROP IF EXISTS PARTITION" in t for t in asked) == 3
     assert sorted(r["id"] for r in spark.table(f"{namespace}.many").collect()) == [i for i in range(40) if i % 20 < 10]
     assert sql(spark, f"show partitions {namespace}.many").count() == 10
+
+
+def test_merges_that_do_not_shuffle_the_table(spark):
+    table = f"{new_namespace(spark)}.b"
+    rows = spark.range(1_000).select(F.col("id").alias("k"), F.lit("old").alias("v"))
+    tables.create_bucketed(rows, table, "k", 4)
+    for round_ in range(2):
+        changed = spark.range(900, 1_100 + round_).select(F.col("id").alias("k"), F.lit(f"new{round_}").alias("v"))
+        plan = tables.merged_buckets(changed, table, "k", 4)._jdf.queryExecution().executedPlan().toString()
+        before_table = plan[:plan.index("FileScan parquet")]
+        path = [line for line in before_table.splitlines() if "Exchange" in line]
+        assert not path and "SelectedBucketsCount: 4 out of 4" in plan
+        tables.merge_bucketed(changed, table, "k")
+        stored = {r["k"]: r["v"] for r in spark.table(table).collect()}
+        assert stored == {k: "old" for k in range(900)} | {k: f"new{round_}" for k in range(900, 1_100 + round_)} and spark.table(table).count() == len(stored)
+    tables.merge_bucketed(spark.table(table).where("k < 5").withColumn("v", F.lit("own")), table, "k")
+    assert spark.table(table).where("v = 'own'").count() == 5
+    with pytest.raises(ValueError, match="repeats"):
+        tables.merge_bucketed(spark.createDataFrame([(1, "a"), (1, "b")], "k bigint, v string"), table, "k")
+    with pytest.raises(ValueError, match="buckets"):
+        tables.merge_bucketed(rows, table, "v")
