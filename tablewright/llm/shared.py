@@ -128,22 +128,25 @@ def labelled_sample(
 ) -> DataFrame:
     """(doc_id, text, y): labelled documents, at most ``rows`` of them and ``megabytes`` of text.
 
-    The order of the sample is a hash of the id. Repeated labels of an id vote; a tie counts
-    as 1. Texts are whole, but count for ``COUNTED`` bytes at most. One that doesn't fit into what
-    is left is passed over, and later ones are taken; if none fits, the smallest is. Only ids,
-    labels and sizes come to the driver, at most ``rows`` of them.
+    Only ids that have a label and a text count. The order of the sample is a hash of the id. Repeated
+    labels of an id vote; a tie counts as 1. Of several texts of an id the smallest in order of code points
+    is taken, so that an id gives one row. Texts are whole, but count for ``COUNTED`` bytes at most. One that
+    doesn't fit into what is left is passed over, and later ones are taken; if none fits, the smallest is.
+    Only ids, labels and sizes come to the driver, at most ``rows`` of them.
     """
     place = F.xxhash64(F.col("doc_id").cast("string"))
+    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull())
     votes = (
         labels.where(allowed & F.col("doc_id").isNotNull() & F.col(label).isNotNull())
         .groupBy("doc_id").agg((F.avg(F.col(label).cast("double")) >= 0.5).cast("int").alias("y"))
+        .join(texts.select("doc_id"), "doc_id", "left_semi")
         .orderBy(place, "doc_id").limit(rows)
     )
     spark = docs.sparkSession
     chosen = spark.createDataFrame(votes.collect(), votes.schema)
-    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull())
-    size = F.sum(F.least(F.octet_length("text"), F.lit(COUNTED))).alias("size")
-    sizes = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(size).orderBy(place, "doc_id").collect()
+    one = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    size = F.least(F.octet_length("text"), F.lit(COUNTED)).alias("size")
+    sizes = one.select("doc_id", "y", size).orderBy(place, "doc_id").collect()
     taken, left = [], megabytes * 1_000_000
     for row in sizes:
         if row["size"] <= left:
@@ -152,4 +155,5 @@ def labelled_sample(
     if sizes and not taken:
         least = min(sizes, key=lambda r: r["size"])
         taken.append((least["doc_id"], least["y"]))
-    return texts.join(F.broadcast(spark.createDataFrame(taken, votes.schema)), "doc_id").select("doc_id", "text", "y")
+    sample = texts.join(F.broadcast(spark.createDataFrame(taken, votes.schema)), "doc_id")
+    return sample.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y")

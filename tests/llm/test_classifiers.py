@@ -120,3 +120,31 @@ def test_one_class_rejects_nothing(spark, toxic):
 def test_misspellings_share_grams():
     a, b = (set(toxicity.subwords([w])[0].tolist()) for w in (b"worthless", b"worthlesss"))
     assert len(a & b) > len(a) / 2
+
+
+def test_labels_without_texts_take_no_room(spark):
+    """100 labelled documents among 20,000 labels, and a bound that holds them."""
+    from pyspark.sql import functions as F
+
+    from tablewright.llm.shared import labelled_sample
+
+    texts, marks = corpus(100)
+    others = [(i, 1, 0, 0, "") for i in range(10_000, 30_000)]
+    sample = labelled_sample(documents(spark, texts), labels(spark, marks + others), "toxic", F.lit(True), 1_000, 10)
+    assert {r["doc_id"] for r in sample.collect()} == {i for i, _ in texts}
+
+
+def test_an_id_gives_one_row(spark):
+    """One id repeats with other texts; the bound is a bound on rows, and the smallest text is taken."""
+    from pyspark.sql import functions as F
+
+    from tablewright.llm.shared import labelled_sample
+
+    texts, marks = corpus(100)
+    first = min(i for i, _ in texts)
+    repeated = [(first, f"text {n}") for n in range(3_000)]
+    rows = labelled_sample(documents(spark, texts + repeated), labels(spark, marks + marks), "toxic", F.lit(True), 59, 10).collect()
+    assert len(rows) == 59 and len({r["doc_id"] for r in rows}) == 59
+    whole = labelled_sample(documents(spark, texts + repeated), labels(spark, marks), "toxic", F.lit(True), 1_000, 10)
+    smallest = min(t for i, t in texts + repeated if i == first)
+    assert whole.count() == 100 and whole.where(F.col("doc_id") == first).first()["text"] == smallest
