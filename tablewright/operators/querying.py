@@ -131,12 +131,21 @@ def _all_nodes(plan) -> Iterator[tuple[str, str]]:
         node = stack.pop()
         kind = node.getClass().getSimpleName()
         yield kind, node.nameParts().mkString(".").lower() if kind == "UnresolvedFunction" else ""
-        known = {m.getName() for m in node.getClass().getMethods() if m.getParameterCount() == 0}
-        for inside in known & {"children", "innerChildren", "expressions"}:
+        for inside in _parts_of(node):
             group = getattr(node, inside)()
-            stack += [group.apply(i) for i in range(group.size())]
-        if "plan" in known:
-            stack.append(node.plan())
+            stack += [group] if inside in ("plan", "logicalPlan") else [group.apply(i) for i in range(group.size())]
+
+
+#: What holds further nodes, for each class of node that has been met.
+_parts: dict[str, tuple[str, ...]] = {}
+
+
+def _parts_of(node) -> tuple[str, ...]:
+    name = node.getClass().getName()
+    if name not in _parts:
+        known = {m.getName() for m in node.getClass().getMethods() if m.getParameterCount() == 0}
+        _parts[name] = tuple(known & {"children", "innerChildren", "expressions", "plan", "logicalPlan"})
+    return _parts[name]
 
 
 def guard_sql(spark: SparkSession, sql: str) -> Verdict:
@@ -155,21 +164,35 @@ def guard_sql(spark: SparkSession, sql: str) -> Verdict:
     return Verdict(root in READING_PLANS and not writing and not foreign, writing or foreign or root)
 
 
+def _comment(depth: int) -> str:
+    """A bracketed comment with comments in it, as many levels down as given."""
+    inner = _comment(depth - 1) + "|" if depth else ""
+    return rf"/\*(?:[^/*]++|{inner}/(?!\*)|\*(?!/))*+\*/"
+
+
+# Text of a statement that is no code. A raw string has no escapes; a doubled mark stays inside.
+COMMENT_LEVELS = 6
+NO_CODE = "(?s)" + "|".join([
+    r"--[^\n]*", _comment(COMMENT_LEVELS), r"(?<!\w)[rR](?:'[^']*'|\"[^\"]*\")",
+    r"'(?:[^'\\]|\\.|'')*+'", r'"(?:[^"\\]|\\.|"")*+"', r"`(?:[^`]|``)*+`",
+])
+
+
 def reads(statement: Column) -> Column:
     """Whether a statement only reads (Q14), by its words; a null one doesn't.
 
-    Comments and quoted text are blanked first. A statement reads if it starts with a reading
-    keyword, holds no second statement, no clause that writes, and no call of foreign code.
+    Comments, which may nest, and quoted text are blanked first; a mark that is not closed, or comments
+    nested too deep, make it no read. A statement reads if it starts with a reading keyword, holds no
+    second statement, no clause that writes, and no call of foreign code.
     """
-    bare = F.regexp_replace(
-        statement, r"(?s)/\*.*?\*/|--[^\n]*|'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`", " ")
+    bare = F.regexp_replace(statement, NO_CODE, " ")
     objects = "table|view|temporary|temp|global|external|database|schema|namespace|function|catalog|index|user|role|or\\s+replace"
     found = (
         bare.rlike(r"(?i)^[\s(]*(select|with|describe|desc|show|explain|values|table|from)\b")
         & ~bare.rlike(r"(?i)\b(insert\s+(into|overwrite)|delete\s+from|update\s+\S+\s+set|merge\s+into|truncate\s+table|(grant|revoke)\s+\S+\s+on)\b")
         & ~bare.rlike(rf"(?i)\b(create|drop|alter)\s+({objects})\b")
         & ~bare.rlike(rf"(?i)\b({'|'.join(FOREIGN_CALLS)})\s*\(")
-        & ~bare.rlike(r";\s*\S")
+        & ~bare.rlike(r";\s*\S") & ~bare.rlike(r"/\*|['\"`]")
     )
     return F.coalesce(found, F.lit(False))
 
