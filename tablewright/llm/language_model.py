@@ -361,6 +361,8 @@ def _merge_bigrams(model: Model) -> Callable[[pa.Table], pa.Table]:
     def apply(table: pa.Table) -> pa.Table:
         part = table["target"][0].as_py()
         keys, counts = _unpack(table)
+        if int(counts.max(initial=0)) >> 32:
+            raise ValueError("a pair of words occurs more often than 32 bits can count")
         _write(model.folder, f"bigrams-{part}", keys, counts.astype(np.uint32))
         contexts, words = keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)
         offsets = model.offsets
