@@ -7,8 +7,10 @@ word, the length of the longest run that ends there. A length of ``width`` or mo
 many words; the end of a whole short item covers the item. Words covered are hit; a document
 is contaminated if at least one word in ``1 / coverage`` is hit.
 
-The automaton grows with the benchmark, so its size is checked: items are dealt to as many
-shards as ``shard_words`` asks for, one automaton each, and documents pass all shards in turn.
+The automaton grows with the benchmark, so its size is bounded: items are dealt to as many
+shards as ``shard_words`` asks for, one automaton each. With several, each shard has a pass of its own
+over the documents, so that the driver builds and a worker holds one at a time; only the hits of a text,
+under its digest, are put together with those of other shards.
 
 Defined cases: null texts have no words, and items without words no windows; items with null
 ids are left out; an item id that repeats counts once; rows of documents may repeat.
@@ -17,20 +19,23 @@ ids are left out; an item id that repeats counts once; rows of documents may rep
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import letter_words, unused, with_result
+from .shared import letter_words, staged, unused, with_result
 
 WIDTH = 13
 #: A document with fewer hit words than one in so many is clean.
 COVERAGE = 20
-SHARD_WORDS = 2_000_000
+#: Words of a shard's items: an automaton of as many different words takes some 200 MB.
+SHARD_WORDS = 250_000
 
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
@@ -38,6 +43,7 @@ HITS_SCHEMA = T.StructType([
     T.StructField("n_words", T.LongType()), T.StructField("starts", T.ArrayType(T.LongType())),
     T.StructField("ends", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType())),
 ])
+N_SCHEMA = T.StructType([T.StructField("n_words", T.LongType())])
 CUT_SCHEMA = T.StructType([
     T.StructField("contaminated", T.BooleanType()), T.StructField("empty", T.BooleanType()), T.StructField("text", T.StringType()),
 ])
@@ -183,6 +189,17 @@ def automata(items: DataFrame, width: int = WIDTH, shard_words: int = SHARD_WORD
     return out
 
 
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges that neither overlap nor touch, in order."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def _scan_all(shards: list[Broadcast], words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
     spans: list[tuple[int, int]] = []
     found: set[str] = set()
@@ -190,38 +207,74 @@ def _scan_all(shards: list[Broadcast], words: list[bytes]) -> tuple[list[tuple[i
         more, names = shard.value.scan(words)
         spans += more
         found |= names
-    if len(shards) > 1:
-        merged: list[tuple[int, int]] = []
-        for a, b in sorted(spans):
-            if merged and a <= merged[-1][1]:
-                merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
-            else:
-                merged.append((a, b))
-        spans = merged
-    return spans, found
+    return _merged(spans) if len(shards) > 1 else spans, found
 
 
-def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """(doc_id, n_words, starts, ends, items): ranges of hit words, and sorted ids of the items hit."""
-    shards = automata(items, width, shard_words)
-
+def _hit_row(shards: list[Broadcast]) -> Callable[[], Callable[[bytes], tuple]]:
     def start() -> Callable[[bytes], tuple]:
         def one(raw: bytes) -> tuple:
             words = letter_words(raw)
             spans, found = _scan_all(shards, words)
             return len(words), [a for a, _ in spans], [b for _, b in spans], sorted(found)
         return one
+    return start
+
+
+def _key() -> Column:
+    """A text's digest; equal texts have equal hits."""
+    return F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256)
+
+
+def _hits(texts: DataFrame, shards: list[Broadcast]) -> DataFrame:
+    """(key, n_words, spans, items) of the texts (key, text) that any shard hits, a pass for each shard."""
+    parts = []
+    for shard in shards:
+        one = with_result(texts, "text", "hits", HITS_SCHEMA, _hit_row([shard])).where(F.size("hits.starts") > 0)
+        parts.append(staged(one.select("key", "hits.*").dropDuplicates(["key"])))
+    zipped = F.flatten(F.collect_list(F.arrays_zip("starts", "ends")))
+    names = F.array_sort(F.array_distinct(F.flatten(F.collect_list("items"))))
+    return reduce(DataFrame.union, parts).groupBy("key").agg(
+        F.first("n_words").alias("n_words"), _merged_column(zipped).alias("spans"), names.alias("items"))
+
 
-    name = unused("hits", docs)
-    out = with_result(docs.select("doc_id", "text"), "text", name, HITS_SCHEMA, start)
-    return out.select("doc_id", f"{name}.*")
+_SPANS = T.ArrayType(T.StructType([T.StructField("starts", T.LongType()), T.StructField("ends", T.LongType())]))
 
 
-def contamination_digests(docs: DataFrame, items: DataFrame, width: int = WIDTH, coverage: int = COVERAGE) -> DataFrame:
+def _merged_column(spans: Column) -> Column:
+    kind = pa.list_(pa.struct([("starts", pa.int64()), ("ends", pa.int64())]))
+
+    def apply(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            rows = [_merged([(s["starts"], s["ends"]) for s in row]) for row in batch.to_pylist()]
+            yield pa.array([[{"starts": a, "ends": b} for a, b in row] for row in rows], kind)
+
+    apply.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(apply, _SPANS)(spans)
+
+
+def _count_words() -> Callable[[bytes], tuple]:
+    return lambda raw: (len(letter_words(raw)),)
+
+
+def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """(doc_id, n_words, starts, ends, items): ranges of hit words, and sorted ids of the items hit."""
+    shards = automata(items, width, shard_words)
+    docs = docs.select("doc_id", "text")
+    if len(shards) == 1:
+        return with_result(docs, "text", "hits", HITS_SCHEMA, _hit_row(shards)).select("doc_id", "hits.*")
+    counted = with_result(docs.withColumn("key", _key()), "text", "counted", N_SCHEMA, _count_words)
+    found = _hits(docs.select(_key().alias("key"), "text"), shards).select("key", "spans", "items")
+    none = F.array().cast("array<bigint>")
+    return counted.select("doc_id", "key", "counted.n_words").join(found, "key", "left").select(
+        "doc_id", "n_words", F.coalesce("spans.starts", none).alias("starts"), F.coalesce("spans.ends", none).alias("ends"),
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
+def contamination_digests(docs: DataFrame, items: DataFrame, width: int = WIDTH, coverage: int = COVERAGE, shard_words: int = SHARD_WORDS) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated)."""
     n_hit = F.aggregate(F.zip_with("ends", "starts", lambda e, s: e - s), F.lit(0).cast("bigint"), lambda a, x: a + x)
     return (
-        contamination(docs, items, width)
+        contamination(docs, items, width, shard_words)
         .withColumn("n_hit", n_hit)
         .select(
             "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
@@ -244,12 +297,17 @@ def cut(raw: bytes, shards: list[Broadcast], coverage: int) -> tuple[bool, bytes
         if not n_hit or coverage * n_hit < len(words):
             return contaminated, raw
         contaminated = True
-        places = [m.span() for m in _WORD.finditer(raw)]
-        kept, at = [], 0
-        for a, b in spans:
-            kept.append(raw[at:places[a][0]])
-            at = places[b - 1][1]
-        raw = b"".join([*kept, raw[at:]])
+        raw = _without(raw, spans)
+
+
+def _without(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """A text without the words of some ranges."""
+    places = [m.span() for m in _WORD.finditer(raw)]
+    kept, at = [], 0
+    for a, b in spans:
+        kept.append(raw[at:places[a][0]])
+        at = places[b - 1][1]
+    return b"".join([*kept, raw[at:]])
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH, coverage: int = COVERAGE, shard_words: int = SHARD_WORDS) -> DataFrame:
@@ -258,6 +316,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH, coverag
     Other rows stay as they are, those with null texts included.
     """
     shards = automata(items, width, shard_words)
+    if len(shards) > 1:
+        return _decontaminated(docs, shards, coverage)
 
     def start() -> Callable[[bytes], tuple]:
         def one(raw: bytes) -> tuple:
@@ -271,3 +331,32 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH, coverag
     return out.withColumn("text", text).select(*docs.columns)
 
 
+def _decontaminated(docs: DataFrame, shards: list[Broadcast], coverage: int) -> DataFrame:
+    """The same with a pass for each shard; contaminated texts alone are cut and scanned again until all are clean."""
+    hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["ends"] - s["starts"])
+    texts, cut_texts = docs.select(_key().alias("key"), "text"), None
+    while True:
+        found = staged(_hits(texts, shards).where(coverage * hit >= F.col("n_words")).select("key", "spans"))
+        if found.isEmpty():
+            break
+        dirty = texts.join(found, "key").dropDuplicates(["key"])
+        rest = staged(dirty.select("key", _cut_column(F.col("text"), F.col("spans")).alias("text")))
+        cut_texts = rest if cut_texts is None else staged(cut_texts.join(rest, "key", "left_anti").union(rest))
+        texts = rest
+    if cut_texts is None:
+        return docs
+    key, row = unused("key", docs), unused("rest", docs)
+    left = with_result(cut_texts, "text", "counted", N_SCHEMA, _count_words)
+    left = left.select(F.col("key").alias(key), F.struct("text", "counted.n_words").alias(row))
+    out = docs.withColumn(key, _key()).join(left, key, "left").where(F.coalesce(F.col(f"{row}.n_words") > 0, F.lit(True)))
+    return out.withColumn("text", F.when(F.col(row).isNotNull(), F.col(f"{row}.text")).otherwise(F.col("text"))).select(*docs.columns)
+
+
+def _cut_column(text: Column, spans: Column) -> Column:
+    def apply(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for raws, rows in batches:
+            rests = [_without(r.as_py(), [(s["starts"], s["ends"]) for s in row.as_py()]) for r, row in zip(raws, rows)]
+            yield pa.array([r.decode("utf-8", "replace") for r in rests], pa.string())
+
+    apply.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+    return F.arrow_udf(apply, "string")(text.cast("binary"), spans)

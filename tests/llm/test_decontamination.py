@@ -73,3 +73,18 @@ def test_cut_spans(spark):
     texts = {r["doc_id"]: r["text"] for r in out.collect()}
     assert 2 not in texts and texts[3] == rows[2][1] and texts[4] == "clean text" and texts[5] is None
     assert re.sub(r"\s+", " ", texts[1]) == "Before: . After" and re.sub(r"\s+", " ", texts[6]) == "a b"
+
+
+@pytest.mark.parametrize("vocabulary, shortest", [("ab", 13), ("abc", 1), ("abcdefgh", 3)])
+def test_queries_with_many_shards(spark, vocabulary, shortest):
+    """A pass for each shard gives the rows of one automaton, and the same texts after all cuts."""
+    items, texts = corpus(8, vocabulary, shortest)
+    table, docs = spark.createDataFrame(items, "item_id bigint, text string"), documents(spark, [*texts, *texts[:5], (500, None), (501, "")])
+    assert len(d.automata(table, d.WIDTH, 60)) > 2
+    found = sorted(map(tuple, d.contamination_digests(docs, table, shard_words=60).collect()))
+    assert found == sorted((r["doc_id"], *plain(r["text"], items)) for r in docs.collect())
+    rows = lambda df: sorted(map(str, df.collect()))
+    for coverage in (20, 2):
+        assert rows(d.decontaminate(docs, table, coverage=coverage, shard_words=60)) == rows(d.decontaminate(docs, table, coverage=coverage))
+    clean = docs.where("doc_id >= 500")
+    assert rows(d.decontaminate(clean, table, shard_words=60)) == rows(clean)
