@@ -27,7 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -325,13 +325,16 @@ def align(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
 
     ``a`` and ``b`` are the ids as little-endian unsigned numbers, of 16 bits where the vocabulary allows.
     """
-    a, b = _broadcast(docs.sparkSession, byte_path, piece_path)
+    return _align(docs, *_broadcast(docs.sparkSession, byte_path, piece_path))
+
+
+def _align(docs: DataFrame, a: Broadcast, b: Broadcast) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
     return rows.mapInArrow(_align_task(a, b), f"doc_id {kind}, {ALIGNED}")
 
 
-def _broadcast(spark: SparkSession, byte_path: str, piece_path: str):
+def _broadcast(spark: SparkSession, byte_path: str, piece_path: str) -> tuple[Broadcast, Broadcast]:
     return broadcast_tokens(spark, ByteTokens(byte_path)), broadcast_tokens(spark, PieceTokens(piece_path))
 
 
@@ -359,7 +362,10 @@ def links(aligned: DataFrame, byte_path: str, piece_path: str, of: str = "overla
 
 def pair_counts(aligned: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
     """(a_id, b_id, pair, count, best): in how many documents each id pair is linked; ``best`` if no pair of ``a_id`` has more."""
-    a, b = _broadcast(aligned.sparkSession, byte_path, piece_path)
+    return _pair_counts(aligned, *_broadcast(aligned.sparkSession, byte_path, piece_path))
+
+
+def _pair_counts(aligned: DataFrame, a: Broadcast, b: Broadcast) -> DataFrame:
     width = len(b.value.bytes_of)
     partial = aligned.select("a", "b").mapInArrow(_count_task(a, b, False), "pair bigint, n bigint")
     counts = partial.groupBy("pair").agg(F.sum("n").alias("count"))
@@ -376,11 +382,11 @@ def score_links(docs: DataFrame, byte_path: str, piece_path: str, sent: int = SE
     """
     spark = docs.sparkSession
     path = scratch_dir(spark)
-    written = align(docs, byte_path, piece_path)
+    a, b = _broadcast(spark, byte_path, piece_path)
+    written = _align(docs, a, b)
     written.write.option("compression", "zstd").parquet(path)
     aligned = spark.read.schema(written.schema).parquet(path)
-    counts = staged(pair_counts(aligned, byte_path, piece_path).select("pair", "count", "best"))
-    a, b = _broadcast(spark, byte_path, piece_path)
+    counts = staged(_pair_counts(aligned, a, b).select("pair", "count", "best"))
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {SCORED}"
     if counts.count() <= sent:
         table = counts.toArrow()
