@@ -148,3 +148,17 @@ def test_an_id_gives_one_row(spark):
     whole = labelled_sample(documents(spark, texts + repeated), labels(spark, marks), "toxic", F.lit(True), 1_000, 10)
     smallest = min(t for i, t in texts + repeated if i == first)
     assert whole.count() == 100 and whole.where(F.col("doc_id") == first).first()["text"] == smallest
+
+
+def test_the_first_rows_by_hash(spark):
+    """A bound on the hash gives the rows that a sort of all gives."""
+    from pyspark.sql import functions as F
+
+    from tablewright.llm import shared
+
+    ids, place = spark.range(20_000).withColumnRenamed("id", "doc_id"), F.xxhash64(F.col("doc_id").cast("string"))
+    for rows in (1, 300, 19_000, 30_000):
+        found = [r["doc_id"] for r in shared._first(ids, place, rows).collect()]
+        assert found == [r["doc_id"] for r in ids.orderBy(place, "doc_id").limit(rows).collect()]
+    skewed = ids.where(place > 1 << 62)  # no hash is small: the bound widens until it holds enough
+    assert [r["doc_id"] for r in shared._first(skewed, place, 40).collect()] == [r["doc_id"] for r in skewed.orderBy(place, "doc_id").limit(40).collect()]
