@@ -1,4 +1,9 @@
-"""A corpus made ready for training: each stage reads what the one before has written."""
+"""A corpus made ready for training: each stage reads what the one before has written.
+
+Defined cases, for all stages: an empty table gives an empty one. A null text counts as empty and stays
+null. Rows with equal or null ids are rows of their own, but for the SimHash stage, as it says. Other
+columns, whatever their names, are carried along by all stages but the last. Very long texts are read whole.
+"""
 
 from __future__ import annotations
 
@@ -15,28 +20,41 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model doesn't reject."""
+    """Documents that the toxicity model doesn't reject: all of them where labels name one class only, or none.
+
+    An empty or null text scores what the model gives without words. Equal texts score alike.
+    """
     return toxicity.reject_toxic(docs, _table(spark, sf_dir, "labels"))
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality model doesn't reject."""
+    """Documents that the quality model doesn't reject: all of them where labels name one class only, or none.
+
+    An empty or null text scores the share of good labels. Equal texts score alike.
+    """
     return quality.keep_good(docs, _table(spark, sf_dir, "labels"))
 
 
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates."""
+    """The document with the smallest id of each group of near-duplicates.
+
+    Empty and null texts are one group. Of rows with that id one stays for each group, the one that comes first
+    by fingerprint, text and other columns. Rows without an id all stay.
+    """
     ship(spark)
     return simhash.keep_one(docs)
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the benchmark passages of contaminated ones; those that are nothing else go."""
+    """Documents without the benchmark passages of contaminated ones; those that are nothing else go.
+
+    Null and empty texts are clean. Items without an id, a text or words don't count.
+    """
     return decontamination.decontaminate(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids) of each document."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids) of each document; an empty or null text has no ids."""
     ship(spark)
     return bpe.token_digests(docs, registered.tokenizer_path(), with_ids=True)
 
