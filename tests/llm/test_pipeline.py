@@ -55,3 +55,29 @@ def test_registered():
     names = entry_module.queries()
     assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 14)}
     assert os.path.exists(tokenizer_path())
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Nulls, repeated ids and rows, long and empty texts, columns with the names that stages use; then no rows at all."""
+    from odd import TEXTS, documents, labels
+
+    from tablewright.llm.shared import letter_words
+
+    benchmark = spark.createDataFrame([(1, "One word, two words three four five six seven"), (2, None), (None, "x"), (3, "")], "item_id bigint, text string")
+    for name, rows in (("full", TEXTS + [(5, "another text under the same id")]), ("empty", [])):
+        folder, docs = f"{tmp_path}/{name}", documents(spark, rows)
+        labels(spark, [(4, 1, 0, 0, ""), (6, 1, 0, 0, "")] if rows else []).write.parquet(f"{folder}/labels.parquet")
+        (benchmark if rows else benchmark.limit(0)).write.parquet(f"{folder}/benchmark.parquet")
+        docs.write.parquet(f"{folder}/documents.parquet")
+        docs, counts = spark.read.parquet(f"{folder}/documents.parquet"), []
+        for stage_name, stage in corpus_pipeline.STAGES:
+            before = docs
+            docs = corpus_pipeline.staged(stage(spark, docs, folder))
+            counts.append(docs.count())
+            if stage_name != "bpe":
+                assert docs.schema == before.schema
+            if stage_name == "decontamination" and rows:
+                assert all("two" not in letter_words((r["text"] or "").encode()) for r in docs.collect())
+        # labels of one class reject nothing; ids 1, 2, 3 are one empty group, 4 and 5 copies; 4 is nothing but an item
+        assert counts == ([len(rows), len(rows), len(rows) - 4, len(rows) - 5, len(rows) - 5] if rows else [0] * 5)
+        assert corpus_pipeline.run(spark, folder).count() == counts[-1]
