@@ -112,13 +112,13 @@ def _pieces(spark: SparkSession, path: str | list[str], separator: str, split_by
     pieces = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value")
     view = f"pieces_{uuid.uuid4().hex}"
     pieces.createGlobalTempView(view)
-    found = spark.table(f"global_temp.{view}")
+    found = spark.table(f"{spark.conf.get('spark.sql.globalTempDatabase')}.{view}")
     spark.catalog.dropGlobalTempView(view)
     return found
 
 
-def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, Iterator[str]]]:
-    """(file, first byte, pieces) of each run of rows of one range; a range may come in several runs."""
+def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, list[str]]]:
+    """(file, first byte, pieces) of runs of rows of one range; a range that lies in several batches has as many runs."""
     for batch in batches:
         files, starts, values = batch["file"].to_pylist(), batch["start"].to_pylist(), batch["value"].to_pylist()
         lo = 0

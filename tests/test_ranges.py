@@ -134,7 +134,7 @@ def test_json_lines_and_nothing(spark, tmp_path):
 
 
 @settings(max_examples=60, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(st.lists(st.text(alphabet='a",\n\;é', max_size=6), min_size=2, max_size=2), min_size=1, max_size=8), st.sampled_from(['"', "\\"]))
+@given(st.lists(st.lists(st.text(alphabet='a",\n\\;é', max_size=6), min_size=2, max_size=2), min_size=1, max_size=8), st.sampled_from(['"', "\\"]))
 def test_csv_steps(values, escape):
     """Lines, from state to state, give the records back."""
     form = ranges.csv_format(escape=escape)
