@@ -6,7 +6,8 @@ before it, through a small state: in quotes or not, and for JSON the depth. So e
 once for every mode in which it may begin; a range then maps the state before it to the state after it,
 and the maps are composed in file order, one row for each range. With its state known, each range is
 cut into records, and Spark's own parsers read these. Only records that cross a border of ranges are
-shuffled, in two or more fragments.
+shuffled, in two or more fragments. A task takes as many ranges as Spark's own scan would give it bytes,
+so that small ranges don't make more tasks.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from collections import defaultdict
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -69,8 +71,8 @@ def csv_format(sep: str = ",", quote: str = '"', escape: str = "\\") -> Format:
     return Format("\n", False, 2, step, lambda first: False)
 
 
-_STRINGS = re.compile(r'"(?:[^"\\]|\\.)*+"', re.DOTALL)
-_REST = re.compile(r'(?:[^"\\]|\\.)*+"', re.DOTALL)
+_STRINGS = re.compile(r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', re.DOTALL)
+_REST = re.compile(r'[^"\\]*+(?:\\.[^"\\]*+)*+"', re.DOTALL)
 
 
 def json_format() -> Format:
@@ -97,6 +99,10 @@ class State(NamedTuple):
     owner: int
 
 
+def _cores(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.files.minPartitionNum", None) or spark.sparkContext.defaultParallelism)
+
+
 def _pieces(spark: SparkSession, path: str | list[str], separator: str, split_bytes: int | None) -> DataFrame:
     """(file, start, value): what lies between separators, and the first byte of its range.
 
@@ -104,8 +110,7 @@ def _pieces(spark: SparkSession, path: str | list[str], separator: str, split_by
     a session of its own; a view brings it back to the caller's.
     """
     pinned = spark.newSession()
-    cores = spark.conf.get("spark.sql.files.minPartitionNum", None) or spark.sparkContext.defaultParallelism
-    pinned.conf.set("spark.sql.files.minPartitionNum", str(cores))
+    pinned.conf.set("spark.sql.files.minPartitionNum", str(_cores(spark)))
     pinned.conf.set("spark.sql.files.maxPartitionBytes", str(split_bytes or spark.conf.get("spark.sql.files.maxPartitionBytes")))
     pinned.conf.set("spark.sql.files.openCostInBytes", str(split_bytes or spark.conf.get("spark.sql.files.openCostInBytes")))
     text = pinned.read.text(path, lineSep=separator)
@@ -117,15 +122,26 @@ def _pieces(spark: SparkSession, path: str | list[str], separator: str, split_by
     return found
 
 
+#: Tasks for each core, at least: ranges differ in what they cost.
+WAVES = 4
+
+
+def _shared(spark: SparkSession, pieces: DataFrame, path: str | list[str]) -> DataFrame:
+    """The same ranges, several to a task where they are smaller than what Spark's scan of the files gives a task."""
+    plain = spark.read.text(path).rdd.getNumPartitions()
+    return pieces.coalesce(max(plain, WAVES * _cores(spark)))
+
+
 def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, list[str]]]:
     """(file, first byte, pieces) of runs of rows of one range; a range that lies in several batches has as many runs."""
     for batch in batches:
-        files, starts, values = batch["file"].to_pylist(), batch["start"].to_pylist(), batch["value"].to_pylist()
-        lo = 0
-        for at in range(1, len(files) + 1):
-            if at == len(files) or (files[at], starts[at]) != (files[lo], starts[lo]):
-                yield files[lo], starts[lo], values[lo:at]
-                lo = at
+        if not batch.num_rows:
+            continue
+        files, starts = batch["file"].dictionary_encode(), batch["start"].to_numpy()
+        codes = files.indices.to_numpy()
+        borders = np.flatnonzero((codes[1:] != codes[:-1]) | (starts[1:] != starts[:-1])) + 1
+        for lo, hi in zip([0, *borders.tolist()], [*borders.tolist(), batch.num_rows]):
+            yield files[lo].as_py(), int(starts[lo]), batch["value"].slice(lo, hi - lo).to_pylist()
 
 
 def _scan_task(form: Format) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -174,10 +190,14 @@ def _composed(rows: list) -> dict[tuple[str, int], State]:
     return states
 
 
+#: A batch of records goes to Spark when it has so many, or so many characters were read for it.
+BATCH_ROWS, BATCH_CHARS = 10_000, 1 << 22
+
+
 def _cut_task(form: Format, known: Callable[[], dict]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         states = known()
-        now, out, held = None, [], []
+        now, out, held, size = None, [], [], 0
         at: State | None = None
         owner, first = 0, False
 
@@ -205,8 +225,11 @@ def _cut_task(form: Format, known: Callable[[], dict]) -> Callable[[Iterator[pa.
                 held.clear()
                 owner, first = start, False
             at = State(mode, depth, base, owner)
-            yield _record_batch(out)
-            out.clear()
+            size += sum(map(len, pieces))
+            if len(out) >= BATCH_ROWS or size >= BATCH_CHARS:
+                yield _record_batch(out)
+                out.clear()
+                size = 0
         fragment()
         yield _record_batch(out)
 
@@ -227,7 +250,7 @@ def records(spark: SparkSession, path: str | list[str], form: Format, split_byte
 
     ``split_bytes`` is the size of a range, by default that of Spark's scans. A compressed file is one range.
     """
-    pieces = _pieces(spark, path, form.separator, split_bytes)
+    pieces = _shared(spark, _pieces(spark, path, form.separator, split_bytes), path)
     scanned = pieces.mapInArrow(_scan_task(form), "file string, start bigint, nested boolean, ends array<struct<mode: bigint, depth: bigint, lowest: bigint>>")
     known = spark.sparkContext.broadcast({place: tuple(state) for place, state in _composed(scanned.collect()).items()})
     cut = pieces.mapInArrow(_cut_task(form, lambda: known.value), _RECORD)

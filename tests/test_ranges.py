@@ -75,6 +75,34 @@ def test_a_long_field_over_many_ranges(spark, tmp_path):
     assert pieces.select(F.spark_partition_id()).distinct().count() > 20
 
 
+@pytest.mark.parametrize("read, end", [(ranges.read_json_ranges, "json")])
+def test_smaller_ranges_make_no_more_tasks(spark, tmp_path, read, end):
+    from pyspark.sql import types as T
+
+    schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("v", T.StringType())])
+    records = [(i, f'"{i}", {{}}\n' * (1 + i % 5)) for i in range(1_500)]
+    if end == "json":
+        path = write(tmp_path / "a.json", json.dumps([{"k": k, "v": v} for k, v in records]))
+    else:
+        path = write(tmp_path / "a.csv", "k,v\n" + "".join(f"{k},{field(v, chr(34))}\n" for k, v in records))
+    options = {"escape": '"'} if end == "csv" else {}
+    small, large = (read(spark, path, schema, split_bytes=size, **options) for size in (200, 400))
+    assert ranges._pieces(spark, path, "\n", 200).rdd.getNumPartitions() > 150
+    assert small.rdd.getNumPartitions() == large.rdd.getNumPartitions() < 100
+    assert rows(large) == sorted(records, key=repr)
+
+
+def test_ranges_of_one_task():
+    """Ranges of several files in one batch, and one range in two batches."""
+    import pyarrow as pa
+
+    def batch(*found):
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), (pa.string(), pa.int64(), pa.string()))], ["file", "start", "value"])
+
+    batches = [batch(("a", 0, "1"), ("a", 0, "2"), ("b", 0, "3"), ("b", 9, "4")), batch(("b", 9, "5"), ("a", 9, "6"))]
+    assert list(ranges._ranges(iter(batches))) == [("a", 0, ["1", "2"]), ("b", 0, ["3"]), ("b", 9, ["4"]), ("b", 9, ["5"]), ("a", 9, ["6"])]
+
+
 def test_ranges_stay_when_settings_change(spark, tmp_path):
     path = write(tmp_path / "a.csv", csv_text(random.Random(4), '"', n=60))
     cut = ranges.read_csv_ranges(spark, path, split_bytes=100, escape='"')
