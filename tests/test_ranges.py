@@ -75,7 +75,7 @@ def test_a_long_field_over_many_ranges(spark, tmp_path):
     assert pieces.select(F.spark_partition_id()).distinct().count() > 20
 
 
-@pytest.mark.parametrize("read, end", [(ranges.read_json_ranges, "json")])
+@pytest.mark.parametrize("read, end", [(ranges.read_json_ranges, "json"), (ranges.read_csv_ranges, "csv")])
 def test_smaller_ranges_make_no_more_tasks(spark, tmp_path, read, end):
     from pyspark.sql import types as T
 
